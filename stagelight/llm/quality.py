@@ -88,8 +88,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP4_SQL = r"""
 with w as (select doc_id, source, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
-l as (select *, list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) as lines,
-  list_transform(range(1, len(words) - 1), i -> words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]) as windows from w),
+l as (select *, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines,
+  list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]) as windows from w),
 numbered as (select *, row_number() over () as r from l),
 x as (select r, unnest(windows) as win, unnest(range(1, len(windows) + 1)) as pos from numbered),
 twice as (select r, pos from (select r, pos, count(*) over (partition by r, win) as n from x) where n > 1),
