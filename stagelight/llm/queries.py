@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, quality, url_filter
+from . import byte_bpe, exact_dedup, mixing, pii, quality, url_filter
 
 QUERIES = {
+    "op1_bootstrapped_pii": pii.op1,
     "op2_exact_dedup": exact_dedup.op2,
     "op3_source_mixing": mixing.op3,
     "op4_quality_rules": quality.op4,
+    "op8_byte_bpe": byte_bpe.op8,
     "op10_url_filter": url_filter.op10,
 }
 
