@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, mixing, pii, quality, url_filter
+from . import byte_bpe, exact_dedup, mixing, near_dedup, pii, quality, url_filter
 
 QUERIES = {
     "op1_bootstrapped_pii": pii.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_source_mixing": mixing.op3,
     "op4_quality_rules": quality.op4,
     "op8_byte_bpe": byte_bpe.op8,
+    "op9_minhash_near_dedup": near_dedup.op9,
     "op10_url_filter": url_filter.op10,
 }
 
