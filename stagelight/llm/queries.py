@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, mixing, near_dedup, pii, quality, url_filter
+from . import byte_bpe, exact_dedup, html_text, mixing, near_dedup, pii, quality, toxicity, url_filter
 
 QUERIES = {
     "op1_bootstrapped_pii": pii.op1,
     "op2_exact_dedup": exact_dedup.op2,
     "op3_source_mixing": mixing.op3,
     "op4_quality_rules": quality.op4,
+    "op5_toxicity": toxicity.op5,
+    "op7_html_text": html_text.op7,
     "op8_byte_bpe": byte_bpe.op8,
     "op9_minhash_near_dedup": near_dedup.op9,
     "op10_url_filter": url_filter.op10,
