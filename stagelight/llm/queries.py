@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, html_text, mixing, near_dedup, pii, quality, toxicity, url_filter
+from . import byte_bpe, exact_dedup, html_text, mixing, near_dedup, pii, quality, substring_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_bootstrapped_pii": pii.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_source_mixing": mixing.op3,
     "op4_quality_rules": quality.op4,
     "op5_toxicity": toxicity.op5,
+    "op6_substring_dedup": substring_dedup.op6,
     "op7_html_text": html_text.op7,
     "op8_byte_bpe": byte_bpe.op8,
     "op9_minhash_near_dedup": near_dedup.op9,
