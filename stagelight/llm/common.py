@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +35,13 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shield(docs: DataFrame, *needed: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with all columns but the needed ones renamed, so that no name clashes with a helper's; and what turns rows back."""
+    columns = docs.columns
+    hidden = {c: f"_col{i}" for i, c in enumerate(columns) if c not in needed}
+    return docs.withColumnsRenamed(hidden), lambda df: df.select(*(F.col(hidden.get(c, c)).alias(c) for c in columns))
+
+
 def rows(spark: SparkSession, values: list[dict], types: dict[str, str]) -> DataFrame:
     """A small literal table made by the JVM alone."""
     made = [F.struct(*(F.lit(v[c]).cast(t).alias(c) for c, t in types.items())) for v in values]

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, bloom, durable, probe, text_of
+from .common import ascii_lower, bloom, durable, probe, shield, text_of
 
 PREFIX_CHARS = 64
 
@@ -48,16 +48,17 @@ def exact_groups(docs: DataFrame, digest_all: bool = False) -> DataFrame:
 
 def without_copies(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns."""
+    docs, restore = shield(docs, "doc_id", "text")
     columns = docs.columns
-    text = text_of()
     judged = exact_groups(docs, digest_all=True)
-    again = judged.groupBy("doc_id", "digest").agg(F.count("*").alias("_n"), F.max("kept").alias("_kept")).where("_n > 1 or not _kept")
-    again = durable(again, "copies")
-    tagged = docs.withColumn("_digest", F.unhex(F.sha2(ascii_lower(text), 256)))
-    joined = tagged.join(again.withColumnsRenamed({"doc_id": "_id", "digest": "_d"}), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_d")), "left")
+    # Only what goes, or repeats with its id, needs to be looked up.
+    told = judged.groupBy("doc_id", "digest").agg(F.max("kept").alias("_kept"), F.count("*").alias("_n")).where("_n > 1 or not _kept")
+    told = durable(told.withColumnsRenamed({"doc_id": "_id", "digest": "_d"}), "copies")
+    tagged = docs.withColumn("_digest", F.unhex(F.sha2(ascii_lower(text_of()), 256)))
+    joined = tagged.join(told, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_d")), "left")
     once = joined.where("_n is null").select(columns)
     repeated = joined.where("_n > 1 and _kept").groupBy("_id", "_d").agg(F.min(F.struct(*columns)).alias("_row")).select("_row.*")
-    return once.unionByName(repeated)
+    return restore(once.unionByName(repeated))
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

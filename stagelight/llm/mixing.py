@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, durable, text_of
+from .common import NOT_SPACE, durable, shield, text_of
 
 WEIGHTS = (5, 2, 1)
 MOST = 3  # times a source, and so a document, at most
@@ -152,11 +152,9 @@ class Mix:
 
     def documents(self, docs: DataFrame) -> DataFrame:
         """The mixed rows with docs' own columns: a row per copy, a partition per shard, each shuffled by a hash."""
-        columns = docs.columns
-        tagged = docs.withColumn("h", _hash())
-        dealt = self.copies(tagged).select(*columns, "h", F.posexplode("shards").alias("turn", "shard"))
-        n = SHARDS
-        return dealt.repartition(n, "shard").sortWithinPartitions("shard", F.xxhash64("h", "turn"), "doc_id").select(columns)
+        docs, restore = shield(docs, "doc_id", "source", "text")
+        dealt = self.copies(docs.withColumn("h", _hash())).select(*docs.columns, "h", F.posexplode("shards").alias("turn", "shard"))
+        return restore(dealt.repartition(SHARDS, "shard").sortWithinPartitions("shard", F.xxhash64("h", "turn"), "doc_id"))
 
 
 #: ln n!: exact products up to 15, Stirling's series above.

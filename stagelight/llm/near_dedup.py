@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, ascii_lower, bloom, durable, fenced, probe, text_of
+from .common import SPACE, ascii_lower, bloom, durable, fenced, probe, shield, text_of
 from .components import components
 
 HALF, ROWS = 11, 3
@@ -218,9 +218,10 @@ class NearCopies:
 
 def without_near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The documents that stay, with all their columns: of each group the one with the smallest doc_id, of rows alike in that too just one."""
+    docs, restore = shield(docs, "doc_id", "text")
     columns = docs.columns
     judged = NearCopies(docs, words, percent).judged()
-    # Every document is alike to its own text's row; only those that go, or repeat, need looking up.
+    # Only what goes, or repeats with its id, needs to be looked up.
     key = ["doc_id", "text_key"]
     told = judged.groupBy(*key).agg(F.max("kept").alias("_kept"), F.count("*").alias("_n"), F.max("n_shingles").alias("_size")).where("not _kept or (_n > 1 and _size > 0)")
     told = durable(told.withColumnsRenamed({"doc_id": "_id", "text_key": "_key"}), "told")
@@ -228,7 +229,7 @@ def without_near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> D
     joined = tagged.join(told, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left")
     once = joined.where("_n is null").select(columns)
     repeated = joined.where("_n > 1 and _kept").groupBy("_id", "_key").agg(F.min(F.struct(*columns)).alias("_row")).select("_row.*")
-    return once.unionByName(repeated)
+    return restore(once.unionByName(repeated))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, fenced, text_of
+from .common import durable, fenced, shield, text_of
 
 FOLDS = 5
 #: Labelled rows that the classifier is fitted on, at most, about.
@@ -196,10 +196,9 @@ class Scorer:
 
 def without_toxic(docs: DataFrame, labels: DataFrame, limit: float = 0.5) -> DataFrame:
     """The documents that score below the limit, with all their columns."""
-    work = docs.withColumnsRenamed({c: f"c{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")})
-    scorer = Scorer(sample_of(docs.select("doc_id", "text"), labels))
-    kept = scorer.score(work).where(~(F.col("score") >= limit))
-    return kept.withColumnsRenamed({f"c{i}": c for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}).select(docs.columns)
+    work, restore = shield(docs, "doc_id", "text")
+    scorer = Scorer(sample_of(work.select("doc_id", "text"), labels))
+    return restore(scorer.score(work).where(F.col("score") < limit))
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
