@@ -15,11 +15,12 @@ texts and pieces take time in proportion to their bytes. Repeated rows are encod
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
-import struct
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import public_tokenizers
 import regex
@@ -27,9 +28,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Entries at most in each of a worker's caches of pieces and of token pairs; a full cache starts anew.
-CACHED = 300_000
-TOKEN, NEVER = -1, 1 << 40
+#: Pieces that a worker remembers at most, and a quarter of the token pairs; a full cache starts anew.
+CACHED = 500_000
+NEVER = 1 << 40
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -45,23 +46,33 @@ class Tokenizer:
         self.bytes_of = {i: t for t, i in ranks.items()}
         self.split = regex.compile(pattern).findall
         self.iterate = regex.compile(pattern).finditer
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.pieces: dict[str, array] = {}
+        #: By left token: whether a right one fits.
+        self.pairs: dict[int, dict[int, bool]] = {}
+        self.learned = 0
+        #: The packed ids of pieces met before.
+        self.pieces: dict[str, bytes] = {}
         self.longest = max(map(len, ranks))
         #: A token that its own bytes do not merge into is met only as a whole piece; the others by the bytes they begin with.
-        self.trie: dict = {}
+        self.trie: dict[int, tuple] = {}
         #: The two parts of a token that merge last.
         self.parts: dict[int, tuple[int, int]] = {}
         for t, i in ranks.items():
             last = self._merged(t, 2)
             if len(t) == 1 or len(last) == 2:
-                node = self.trie
-                for byte in t:
-                    node = node.setdefault(byte, {})
-                node[TOKEN] = i
+                self._grow(t, i)
             if len(t) > 1 and len(last) == 2:
                 self.parts[i] = (ranks[last[0]], ranks[last[1]])
 
+    def _grow(self, token: bytes, rank: int) -> None:
+        """Nodes of the trie are their children and the token that ends there, or None."""
+        children = self.trie
+        for byte in token[:-1]:
+            if byte not in children:
+                children[byte] = ({}, None)
+            children = children[byte][0]
+        below = children.get(token[-1])
+        children[token[-1]] = (below[0] if below else {}, rank)
+
     def _merged(self, piece: bytes, least: int = 1) -> list[bytes]:
         """The plain merging of a short byte string, best-ranked neighbours first and the leftmost of equals, down to `least` parts; fewer merges if none is left."""
         parts = [piece[i : i + 1] for i in range(len(piece))]
@@ -94,30 +105,39 @@ class Tokenizer:
 
     def extend(self, piece: bytes, last: list[int], done: int = 0) -> list[int]:
         """Fill last, where last[i] is the last token of the first i bytes, from its first `done` settled entries on."""
-        n, trie, pairs = len(piece), self.trie, self.pairs
+        n, trie, pairs, longest = len(piece), self.trie, self.pairs, self.longest
         del last[done + 1 :]
         last.extend([-1] * (n - done))
         # A token that ends beyond `done` can begin up to a token's length before it.
-        for start in range(max(0, done - self.longest), n):
-            before, node, end = last[start], trie, start
-            while end < n:
-                node = node.get(piece[end])
+        for start in range(max(0, done - longest), n):
+            before, children, end = last[start], trie, start
+            known = pairs.get(before)
+            if known is None:
+                known = pairs[before] = {}
+            for byte in piece[start : start + longest]:
+                node = children.get(byte)
                 if node is None:
                     break
                 end += 1
-                if last[end] < 0 and (token := node.get(TOKEN)) is not None:
-                    if not start:
-                        last[end] = token
-                        continue
-                    ok = pairs.get((before, token))
-                    if ok is None:
-                        if len(pairs) >= CACHED:
-                            pairs.clear()
-                        ok = pairs[before, token] = self.fits(before, token)
-                    if ok:
-                        last[end] = token
+                children, token = node
+                if token is not None and last[end] < 0:
+                    if start:
+                        ok = known.get(token)
+                        if ok is None:
+                            ok = self._learn(known, before, token)
+                        if not ok:
+                            continue
+                    last[end] = token
         return last
 
+    def _learn(self, known: dict[int, bool], left: int, right: int) -> bool:
+        self.learned += 1
+        if self.learned >= 4 * CACHED:
+            self.learned = 0
+            self.pairs.clear()
+        known[right] = ok = self.fits(left, right)
+        return ok
+
     def backwards(self, last: list[int]) -> list[int]:
         ids, at = [], len(last) - 1
         while at:
@@ -125,12 +145,12 @@ class Tokenizer:
             at -= len(self.bytes_of[last[at]])
         return ids[::-1]
 
-    def piece(self, text: str) -> array:
+    def piece(self, text: str) -> bytes:
         found = self.pieces.get(text)
         if found is None:
             raw = text.encode("utf-8", "surrogatepass")
             whole = self.ranks.get(raw)
-            found = array("I", [whole] if whole is not None else self.backwards(self.extend(raw, [0])))
+            found = array("I", [whole] if whole is not None else self.backwards(self.extend(raw, [0]))).tobytes()
             if len(text) <= 64:
                 if len(self.pieces) >= CACHED:
                     self.pieces.clear()
@@ -138,9 +158,8 @@ class Tokenizer:
         return found
 
     def encode(self, text: str) -> array:
-        ids, cached, piece = array("I"), self.pieces.get, self.piece
-        for match in self.split(text):
-            ids += cached(match) or piece(match)
+        known, piece, ids = self.pieces, self.piece, array("I")
+        ids.frombytes(b"".join([known.get(m) or piece(m) for m in self.split(text)]))
         return ids
 
     def decode(self, ids) -> bytes:
@@ -178,7 +197,9 @@ class Encoded:
         return len(starts)
 
     def tokens(self) -> list[int]:
-        return [i for piece in self.ids for i in piece]
+        ids = array("I")
+        ids.frombytes(b"".join(self.ids))
+        return ids.tolist()
 
 
 _ready: dict[str, Tokenizer] = {}
@@ -188,6 +209,7 @@ def tokenizer(path: str) -> Tokenizer:
     """One a worker and vocabulary."""
     if path not in _ready:
         _ready[path] = Tokenizer(read_ranks(path))
+        gc.freeze()  # the trie is never garbage
     return _ready[path]
 
 
@@ -225,8 +247,8 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
             out = []
             for text in texts:
                 ids = t.encode(text or "")
-                packed = struct.pack(f"<{len(ids)}I", *ids)
-                out.append((len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(t.decode(ids)).hexdigest()))
+                little = np.frombuffer(ids, dtype=np.uint32).astype("<u4").tobytes() if len(ids) else b""
+                out.append((len(ids), hashlib.sha256(little).hexdigest(), hashlib.sha256(t.decode(ids)).hexdigest()))
             yield pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.withColumn("_digest", digest(F.coalesce(F.col("text"), F.lit("")))).select(*docs.columns, "_digest.*")
