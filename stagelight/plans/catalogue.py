@@ -6,12 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-Query = Callable[[SparkSession, str], DataFrame]
+from stagelight.plans import listing
+from stagelight.plans.registry import ORACLE, PLANS
+from stagelight.sources.star import Star
 
 
-def queries() -> dict[str, Query]:
-    return {}
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listing.listing_page(Star(spark, sf_dir))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(PLANS)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
