@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stagelight.plans import listing
+from stagelight.plans import health, listing  # noqa: F401
 from stagelight.plans.registry import ORACLE, PLANS
 from stagelight.sources.star import Star
 
