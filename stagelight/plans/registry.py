@@ -19,7 +19,9 @@ def plan(name: str, sql: str | None = None):
         PLANS[name] = lambda spark, sf_dir: build(star.Star(spark, sf_dir))
         if sql:
             text = sql.strip()
-            ORACLE[name] = f"with {star.SQL}{', ' + text[5:] if text.lower().startswith('with ') else text}"
+            recursive = text.lower().startswith("with recursive ")
+            rest = text[15 if recursive else 5 :]
+            ORACLE[name] = f"with {'recursive ' * recursive}{star.SQL}{', ' + rest if text.lower().startswith('with ') else text}"
         return build
 
     return register
