@@ -264,6 +264,6 @@ def calendar_file(s: Star) -> DataFrame:
     rows = s.showings.where(F.col("shows_at") < ts("1995-02-01")).join(s.works, "work_id")
     stamp = lambda c: F.date_format(c, "yyyyMMdd'T'HHmmss'Z'")
     end = F.timestamp_add("MINUTE", F.col("runtime"), "shows_at")
-    summary = F.replace(F.replace("title", F.lit(","), F.lit("\\,")), F.lit(";"), F.lit("\\;"))
+    summary = F.replace(F.replace("title", F.lit(","), F.lit("\\,")), F.lit(";"), F.lit(r"\;"))
     lines = [F.lit("BEGIN:VEVENT"), F.concat(F.lit("UID:"), "showing_id", F.lit("-"), "venue_id"), F.concat(F.lit("DTSTART:"), stamp(F.col("shows_at"))), F.concat(F.lit("DTEND:"), stamp(end)), F.concat(F.lit("SUMMARY:"), summary), F.lit("END:VEVENT")]
     return rows.select(F.concat_ws("\n", *lines).alias("event"))

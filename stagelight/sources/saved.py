@@ -5,16 +5,21 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """Written as Parquet under spark.checkpoint.dir and read again: lineage ends there. The setting is made only where it is unset."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; set here only where it is unset."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         where = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", where)
-    path = f"{where.rstrip('/')}/saved-{uuid.uuid4().hex}"
+    return where.rstrip("/")
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """Written as Parquet in the shared folder and read again: lineage ends there."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/saved-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
