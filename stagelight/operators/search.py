@@ -137,3 +137,34 @@ def band(similarity: Column) -> Column:
 def length_aware(words: Column) -> Column:
     """The similarity that a title of so many words needs."""
     return F.when(words <= 3, 0.78).when(words <= 5, 0.70).otherwise(0.60)
+
+
+def word_similarity(query: Column, text: Column) -> Column:
+    """The largest overlap of the query's trigrams with those of any run of the text's ordered trigrams."""
+    q = trigrams(query)
+    words = F.transform(terms(text), lambda w: F.concat(F.lit("  "), w, F.lit(" ")))
+    ordered = F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substring(w, i, 3))))
+    n = F.size(ordered)
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: overlap(q, F.array_distinct(F.slice(ordered, i, k))))))
+    return F.when(n > 0, F.array_max(runs)).otherwise(0.0)
+
+
+def ambiguity(title: Column, year: Column, common: list[str]) -> Column:
+    """How likely a title names several works: short, made of common words, without a year; 1 at most."""
+    words = terms(title)
+    score = (
+        F.when(F.size(words) <= 1, 0.4).when(F.size(words) == 2, 0.2).otherwise(0.0) + F.when(F.length(title) <= 5, 0.2).otherwise(0.0)
+        + F.when(F.exists(words, lambda w: w.isin(common)), 0.25).otherwise(0.0) + F.when(year.isNull(), 0.3).otherwise(0.0)
+    )
+    return F.least(F.lit(1.0), score)
+
+
+def confidence(title: Column, year: Column, runtime: Column, popularity: Column) -> Column:
+    """Weighted agreement of four signals, each between 0 and 1."""
+    return 0.4 * title + 0.25 * year + 0.2 * runtime + 0.15 * popularity
+
+
+def runtime_check(a: Column, b: Column) -> Column:
+    """How two runtimes agree: unknown, match within 5 minutes, close within 15, else apart."""
+    gap = F.abs(a - b)
+    return F.when(gap.isNull(), "unknown").when(gap <= 5, "match").when(gap <= 15, "close").otherwise("apart")

@@ -1,0 +1,49 @@
+"""A Python data source of venue feeds: one partition a venue, rows from JSON lines in files named by venue."""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Iterator
+
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+SCHEMA = "venue_id long, title string, starts string, url string"
+
+
+class VenuePartition(InputPartition):
+    def __init__(self, venue_id: int):
+        self.venue_id = venue_id
+
+
+class VenueFeedReader(DataSourceReader):
+    """Makes each venue's rows where its partition runs. The feed's pages are generated, since there is no network; a connector overrides rows_of."""
+
+    def __init__(self, venues: list[int], pages: int):
+        self.venues, self.pages = venues, pages
+
+    def partitions(self) -> list[VenuePartition]:
+        return [VenuePartition(v) for v in self.venues]
+
+    def rows_of(self, venue_id: int) -> Iterator[dict]:
+        for page in range(self.pages):
+            body = json.dumps({"title": f"Feature {venue_id * 7 % 5}", "starts": f"1998-06-{page % 28 + 1:02d}T19:{venue_id % 60:02d}:00", "url": f"https://venue{venue_id}.example/{page}"})
+            yield json.loads(body)
+
+    def read(self, partition: VenuePartition) -> Iterator[tuple]:
+        for row in self.rows_of(partition.venue_id):
+            yield partition.venue_id, row["title"], row["starts"], row["url"]
+
+
+class VenueFeed(DataSource):
+    """spark.read.format("venue_feed").option("venues", "1,2,3").option("pages", 2)"""
+
+    @classmethod
+    def name(cls) -> str:
+        return "venue_feed"
+
+    def schema(self) -> str:
+        return SCHEMA
+
+    def reader(self, schema) -> VenueFeedReader:
+        venues = [int(v) for v in self.options.get("venues", "").split(",") if v]
+        return VenueFeedReader(venues, int(self.options.get("pages", "1")))
