@@ -9,7 +9,7 @@ sources' permuted slots, and its rows are shuffled locally by a hash.
 
 Only rows of (document, source, size, hash) are grouped; text is read once to count words. Blocks are at most BLOCKS a
 source and level: a source is split further, block by block, until the block that the target cuts holds few documents, and
-within that one documents are picked by size to fill what is left. No task sees more than BLOCKS blocks or one small block.
+within that one documents are picked by size to fill what is left, with one exchange to come nearer. No task sees more than BLOCKS blocks or one small block.
 
 Null texts have size 0. Null is a source like any other, ordered last. Documents alike in id, source and text are treated alike. If
 all sizes are 0, all targets are. Rows with equal hashes share a fate.
@@ -95,16 +95,19 @@ class Mix:
             largest = cut.agg(F.max("n")).first()[0] or 0
             if largest <= 4 * BLOCK_DOCS or level >= 6:
                 break
-        # Within the cut block: documents by size, the largest first, each taken if it still fits. Equal hashes are one entry.
+        # Within the cut block, at most 4 x BLOCK_DOCS documents: by size, the largest first, each taken if it still fits. Equal hashes are one entry.
         entries = inside.groupBy("at", "h").agg(F.sum("size").alias("size"))
-        lists = entries.groupBy("at").agg(F.sort_array(F.collect_list(F.struct("size", "h")), asc=False).alias("docs")).join(at.select("at", "rest"), "at")
-        start = F.struct(F.col("rest").alias("left"), F.array().cast("array<bigint>").alias("taken"))
-
-        def fill(state, doc):
-            fits = (doc["size"] > 0) & (doc["size"] <= state["left"])
-            return F.when(fits, F.struct((state["left"] - doc["size"]).alias("left"), F.concat(state["taken"], F.array(doc["h"])).alias("taken"))).otherwise(state)
-
-        self.picked = durable(lists.select("at", F.explode(F.aggregate("docs", start, fill)["taken"]).alias("h")).withColumn("picked", F.lit(True)), "picked")
+        lists = entries.where("size > 0").groupBy("at").agg(F.sort_array(F.collect_list(F.struct("size", "h")), asc=False).alias("docs")).join(at.select("at", "rest"), "at")
+        doc, none = "struct<size: bigint, h: bigint>", "named_struct('size', 0L, 'h', 0L)"
+        fill = f"aggregate(docs, named_struct('left', rest, 'taken', cast(array() as array<{doc}>)), (s, d) -> if(d.size <= s.left, named_struct('left', s.left - d.size, 'taken', concat(s.taken, array(d))), s))"
+        filled = lists.selectExpr("at", "docs", f"explode(array({fill})) as f")
+        # Then the one that, in place of a taken one or of none, comes nearest to the target.
+        untaken = "array_except(docs, f.taken)"
+        nearer = "abs(f.left - u.size + t.size) < s.gap"
+        swap = f"aggregate({untaken}, named_struct('gap', f.left, 'goes', {none}, 'comes', {none}), (r, u) -> aggregate(concat(array({none}), f.taken), r, (s, t) -> if({nearer}, named_struct('gap', abs(f.left - u.size + t.size), 'goes', t, 'comes', u), s)))"
+        swapped = filled.selectExpr("at", "f", f"explode(array({swap})) as s")
+        kept = swapped.selectExpr("at", "explode(if(s.comes.size > 0, concat(array_except(f.taken, array(s.goes)), array(s.comes)), f.taken)) as d")
+        self.picked = durable(kept.select("at", F.col("d.h").alias("h")).withColumn("picked", F.lit(True)), "picked")
 
     def _deal(self, shards: int) -> None:
         """Quotas of block slots by source, split down the tree; then each shard's slots. Small tables: slots are at most (MOST + 1) x BLOCKS a source."""
