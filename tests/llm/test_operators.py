@@ -73,7 +73,7 @@ def test_personal_data_of_a_table(spark, sf, texts):
 
 
 def test_patterns_find_unseen_identifiers(spark):
-    seeds = [(i, f"please call +44 20 7946 {i:04d} today") for i in range(100, 160)]
+    seeds = [(i, f"please call +4 20 7946 {i:04d} today") for i in range(100, 160)]
     unseen = [(900 + i, f"please call 0207-946-0{i:03d} today") for i in range(100, 106)]
     other = [(2000 + i, f"batch number 77{i:04d} shipped") for i in range(100, 160)]
     docs = spark.createDataFrame([*seeds, *unseen, *other], "doc_id long, text string")
