@@ -97,3 +97,21 @@ def probe(df: DataFrame, key: Column, blocks: tuple[DataFrame, int], name: str)
         hit &= F.col(f"_w{i}").bitwiseAND(_bit("_g", i)) != 0
     out = hashed.join(F.broadcast(filter_), "_block", "left").withColumn(name, F.coalesce(hit, F.lit(False)))
     return out.drop("_h", "_g", "_block", *(f"_w{i}" for i in range(WORDS)))
+
+
+def settled(tagged: DataFrame, told: DataFrame, same: list[tuple[str, str]]) -> DataFrame:
+    """The rows that stay of tagged, given what is told (_kept, _n) of some keys: unknown rows, kept ones, and of kept rows alike in key one.
+
+    Rows that the Bloom filter of told's keys does not know pass without a join, and so without a shuffle. `same` pairs the
+    columns of the key with told's names for them; null keys are alike.
+    """
+    columns = tagged.columns
+    here, there = F.xxhash64(*(a for a, _ in same)), F.xxhash64(*(b for _, b in same))
+    probed = probe(tagged, here, bloom(told, there, told.count()), "_maybe")
+    on = F.lit(True)
+    for a, b in same:
+        on &= F.col(a).eqNullSafe(F.col(b))
+    met = probed.where("_maybe").join(told, on, "left")
+    out = probed.where("not _maybe").select(columns).unionByName(met.where("_n is null or (_n = 1 and _kept)").select(columns))
+    twice = met.where("_n > 1 and _kept").groupBy(*(b for _, b in same)).agg(F.min(F.struct(*columns)).alias("_one"))
+    return out.unionByName(twice.select("_one.*"))

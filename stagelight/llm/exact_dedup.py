@@ -14,18 +14,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, bloom, durable, probe, shield, text_of
+from .common import ascii_lower, bloom, durable, probe, settled, shield, text_of
 
 PREFIX_CHARS = 64
 
 
+def _keyed(docs: DataFrame, *columns: str) -> DataFrame:
+    """These columns with n_bytes and prefix_hash of the normalised text."""
+    text = text_of()
+    return docs.select(*columns, F.octet_length(text).alias("n_bytes"), F.xxhash64(ascii_lower(F.substring(text, 1, PREFIX_CHARS))).alias("prefix_hash"))
+
+
 def exact_groups(docs: DataFrame, digest_all: bool = False) -> DataFrame:
     """One row per document: doc_id, n_bytes, prefix_hash, digest, keep_id, group_size, kept.
 
     digest is the binary SHA-256 of the normalised text of surviving groups; with digest_all of every row, for callers that report it.
     """
-    text = text_of()
-    keyed = docs.select("doc_id", "text", F.octet_length(text).alias("n_bytes"), F.xxhash64(ascii_lower(F.substring(text, 1, PREFIX_CHARS))).alias("prefix_hash"))
+    text, keyed = text_of(), _keyed(docs, "doc_id", "text")
     groups = durable(keyed.groupBy("n_bytes", "prefix_hash").agg(F.count("*").alias("n")), "prefixes")
     lengths = groups.groupBy("n_bytes").agg(F.sum("n").alias("n")).where("n > 1").select("n_bytes")
     shared = groups.where("n > 1").join(lengths, "n_bytes", "left_semi")
@@ -36,7 +41,7 @@ def exact_groups(docs: DataFrame, digest_all: bool = False) -> DataFrame:
     rows = durable(rows.withColumn("_row", F.monotonically_increasing_id()), "digests")
     by = ["n_bytes", "prefix_hash", "digest"]
     found = rows.where("survives").groupBy(*by).agg(F.count("*").alias("group_size"), F.max(F.struct("doc_id", "_row")).alias("keep")).where("group_size > 1")
-    joined = rows.join(found, by, "left")
+    joined = rows.join(durable(found, "groups"), by, "left")  # written, so that the join's own exchanges can be split
     single = F.col("group_size").isNull()
     return joined.select(
         "doc_id", *by,
@@ -49,16 +54,15 @@ def exact_groups(docs: DataFrame, digest_all: bool = False) -> DataFrame:
 def without_copies(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns."""
     docs, restore = shield(docs, "doc_id", "text")
-    columns = docs.columns
-    judged = exact_groups(docs, digest_all=True)
-    # Only what goes, or repeats with its id, needs to be looked up.
-    told = judged.groupBy("doc_id", "digest").agg(F.max("kept").alias("_kept"), F.count("*").alias("_n")).where("_n > 1 or not _kept")
-    told = durable(told.withColumnsRenamed({"doc_id": "_id", "digest": "_d"}), "copies")
-    tagged = docs.withColumn("_digest", F.unhex(F.sha2(ascii_lower(text_of()), 256)))
-    joined = tagged.join(told, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_d")), "left")
-    once = joined.where("_n is null").select(columns)
-    repeated = joined.where("_n > 1 and _kept").groupBy("_id", "_d").agg(F.min(F.struct(*columns)).alias("_row")).select("_row.*")
-    return restore(once.unionByName(repeated))
+    judged = exact_groups(docs)
+    # Only what goes, or repeats with its id, is looked up; only texts that may be among those are hashed again.
+    by = ["doc_id", "n_bytes", "prefix_hash"]
+    told = judged.where("group_size > 1").groupBy(*by, "digest").agg(F.max("kept").alias("_kept"), F.count("*").alias("_n")).where("_n > 1 or not _kept")
+    told = durable(told.withColumnsRenamed({c: f"_{c}" for c in (*by, "digest")}), "copies")
+    tagged = _keyed(docs, *docs.columns)
+    tagged = probe(tagged, F.xxhash64(*by), bloom(told, F.xxhash64(*(f"_{c}" for c in by)), told.count()), "_may")
+    hashed = F.when(F.col("_may"), F.unhex(F.sha2(ascii_lower(text_of()), 256)))
+    return restore(settled(tagged.withColumn("hashed", hashed).drop("_may"), told, [*((c, f"_{c}") for c in by), ("hashed", "_digest")]))
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
