@@ -25,12 +25,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, ascii_lower, bloom, durable, fenced, probe, shield, text_of
+from .common import SPACE, ascii_lower, bloom, durable, fenced, probe, settled, shield, text_of
 from .components import components
 
 HALF, ROWS = 11, 3
 #: Shingles in a block of a star, about; a block is what one call holds.
-BLOCK = 200_000
+BLOCK = 50_000
 SEED = 9
 
 _SIGNED = "n_shingles long, digest binary, a array<long>, b array<long>"
@@ -140,7 +140,7 @@ class NearCopies:
         docs = self.docs.select("doc_id", "text", F.xxhash64(text_of()).alias("text_key"))
         docs = probe(docs, key, bloom(needed, key, needed.count()), "needed").where("needed").drop("needed")
         same = docs["doc_id"].eqNullSafe(needed["doc_id"]) & (docs["text_key"] == needed["text_key"])
-        texts = docs.join(needed, same).groupBy("node", "n_shingles", "a", "b").agg(F.first("text").alias("text"))
+        texts = docs.join(needed, same).groupBy("node").agg(*(F.first(c).alias(c) for c in ("n_shingles", "a", "b", "text")))
         return durable(shingles(texts, self.words).select("node", "n_shingles", "a", "b", F.array_sort(F.array_distinct("shingles")).alias("shingles")), "sets")
 
     def _to_anchors(self, stars: DataFrame) -> DataFrame:
@@ -219,17 +219,12 @@ class NearCopies:
 def without_near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The documents that stay, with all their columns: of each group the one with the smallest doc_id, of rows alike in that too just one."""
     docs, restore = shield(docs, "doc_id", "text")
-    columns = docs.columns
     judged = NearCopies(docs, words, percent).judged()
-    # Only what goes, or repeats with its id, needs to be looked up.
-    key = ["doc_id", "text_key"]
-    told = judged.groupBy(*key).agg(F.max("kept").alias("_kept"), F.count("*").alias("_n"), F.max("n_shingles").alias("_size")).where("not _kept or (_n > 1 and _size > 0)")
-    told = durable(told.withColumnsRenamed({"doc_id": "_id", "text_key": "_key"}), "told")
-    tagged = docs.withColumn("_text_key", F.xxhash64(text_of()))
-    joined = tagged.join(told, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left")
-    once = joined.where("_n is null").select(columns)
-    repeated = joined.where("_n > 1 and _kept").groupBy("_id", "_key").agg(F.min(F.struct(*columns)).alias("_row")).select("_row.*")
-    return restore(once.unionByName(repeated))
+    # Only what goes, or repeats with its id, is looked up.
+    told = judged.groupBy("doc_id", "text_key").agg(F.max("kept").alias("_kept"), F.count("*").alias("_n"), F.max("n_shingles").alias("_size"))
+    told = told.where("not _kept or (_n > 1 and _size > 0)").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "_kept", "_n")
+    tagged = docs.withColumn("text_key", F.xxhash64(text_of()))
+    return restore(settled(tagged, durable(told, "told"), [("doc_id", "_id"), ("text_key", "_key")]))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
