@@ -57,7 +57,7 @@ def judged(docs: DataFrame, limits: dict[str, float] = HOST_LIMITS) -> DataFrame
     df = df.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
     df = df.withColumn("many_symbols", F.col("n_symbols") * 4 > F.col("word_chars")).withColumn("many_dup_lines", F.col("n_dup_lines") * 20 > F.col("n_words"))
     df = durable(df, "measures")
-    hosts = host_verdicts(df, limits).select("source", "host_failed")
+    hosts = durable(host_verdicts(df, limits).select("source", "host_failed"), "hosts")  # written, so that its size is known to the join
     failed = F.coalesce("host_failed", F.lit(False))
     return df.join(hosts, "source", "left").withColumn("host_failed", failed).withColumn("kept", ~(F.col("base_failed") | failed))
 
