@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stagelight.plans import dedupe, health, ingest, listing, matching, rollups, scalars, search, streams  # noqa: F401
+from stagelight.plans import basics, dedupe, health, ingest, listing, matching, rollups, scalars, search, streams  # noqa: F401
 from stagelight.plans.registry import ORACLE, PLANS
 from stagelight.sources.star import Star
 
