@@ -132,7 +132,7 @@ def local_hours(s: Star) -> DataFrame:
 
 
 @plan("composite_keys", """
-select venue_id || '-' || replace(title, ' ', '-') || '-' || strftime(date_trunc('minute', shows_at), '%Y-%m-%dT%H:%M') || '-' || format as key, lower(title) || '|' || strftime(shows_at, '%Y-%m-%dT%H:%M:%S') as second_key, to_json({'id': showing_id, 'title': title}) as body from showings join works using (work_id) where shows_at < timestamp '1995-03-01'
+select venue_id || '-' || replace(title, ' ', '-') || '-' || strftime(date_trunc('minute', shows_at), '%Y-%m-%dT%H:%M') || '-' || format as key, lower(title) || '|' || strftime(shows_at, '%Y-%m-%dT%H:%M:%S') as second_key, to_json({'id': showing_id, 'title': title})::varchar as body from showings join works using (work_id) where shows_at < timestamp '1995-03-01'
 """)
 def composite_keys(s: Star) -> DataFrame:
     """Composite keys and JSON bodies."""
