@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,17 +75,22 @@ def half_keys(least: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _sign(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+def _sign(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Size, digest and half keys of each set; on views of Arrow's buffers, so that a batch is held once."""
     for sets in batches:
-        out = []
-        for hashes in sets:
-            if hashes is None or len(hashes) == 0:
-                out.append((0, None, None, None))
-                continue
-            one = _distinct(hashes)
-            keys = half_keys(minhashes(one))
-            out.append((len(one), hashlib.sha256(one.tobytes()).digest()[:16], keys[:HALF], keys[HALF:]))
-        yield pd.DataFrame(out, columns=["n_shingles", "digest", "a", "b"])
+        values, ends = sets.values.to_numpy(zero_copy_only=False), sets.offsets.to_numpy()
+        valid = sets.is_valid().to_numpy(zero_copy_only=False)
+        sizes, digests, keys, held = [], [], [np.empty(0, np.int64)], [0]
+        for i in range(len(sets)):
+            one = _distinct(values[ends[i] : ends[i + 1]]) if valid[i] else values[:0]
+            sizes.append(len(one))
+            digests.append(hashlib.sha256(one.tobytes()).digest()[:16] if len(one) else None)
+            if len(one):
+                keys.append(half_keys(minhashes(one)))
+            held.append(held[-1] + HALF * bool(len(one)))
+        halves = np.concatenate(keys).reshape(-1, 2, HALF)
+        a, b = (pa.ListArray.from_arrays(pa.array(held, pa.int32()), pa.array(halves[:, k].ravel())) for k in (0, 1))
+        yield pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), a, b], names=["n_shingles", "digest", "a", "b"])
 
 
 def _sizes(offsets: np.ndarray, total: int) -> np.ndarray:
@@ -108,7 +114,7 @@ class NearCopies:
 
     def __init__(self, docs: DataFrame, words: int, percent: int = 80):
         self.docs, self.words, self.percent = docs, words, percent
-        signed = shingles(docs.select("doc_id", "text"), words).select("doc_id", F.xxhash64(text_of()).alias("text_key"), F.pandas_udf(_sign, _SIGNED)("shingles").alias("s"))
+        signed = shingles(docs.select("doc_id", "text"), words).select("doc_id", F.xxhash64(text_of()).alias("text_key"), F.arrow_udf(_sign, _SIGNED)("shingles").alias("s"))
         self.rows = durable(signed.select("doc_id", "text_key", "s.*"), "signed")
         first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key"))
         nodes = self.rows.where("n_shingles > 0").groupBy("digest", "n_shingles").agg(first.alias("at"), F.first("a").alias("a"), F.first("b").alias("b"))
