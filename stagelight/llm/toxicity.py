@@ -21,7 +21,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -119,11 +119,13 @@ def features(docs: DataFrame, lexicon: list[str]) -> DataFrame:
     """docs with a column for each of FEATURES."""
     listed, persons = frozenset(INSULTS) | frozenset(lexicon), frozenset(SECOND_PERSON)
 
-    def measured(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def measured(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pd.DataFrame([measure(t or "", listed, persons) for t in texts], columns=FEATURES, dtype="float64")
+            # One text at a time: the batch itself stays in Arrow's buffer.
+            rows = np.array([measure(t.as_py() or "", listed, persons) for t in texts], dtype=np.float64).reshape(-1, len(FEATURES))
+            yield pa.StructArray.from_arrays([pa.array(c) for c in rows.T], names=FEATURES)
 
-    measured_udf = F.pandas_udf(measured, ", ".join(f"{f} double" for f in FEATURES))
+    measured_udf = F.arrow_udf(measured, ", ".join(f"{f} double" for f in FEATURES))
     return docs.withColumn("_features", measured_udf(text_of())).select(*docs.columns, "_features.*")
 
 
