@@ -34,8 +34,10 @@ from .common import durable, fenced, shield, text_of
 FOLDS = 5
 #: Labelled rows that the classifier is fitted on, at most, about.
 SAMPLE = 20_000
-#: A learned word is that many times likelier in a toxic text than in another, in LEAST_SHARE of the toxic texts, and after LEAST_COMPANY different words: copies of one text do not make one.
-LEAST_RATIO, LEAST_SHARE, LEAST_COMPANY, MOST_WORDS = 20.0, 0.05, 8, 200
+#: A learned word is that many times likelier in a toxic text than in another, in LEAST_SHARE of the toxic texts (3 at least), and after LEAST_COMPANY different words: copies of one text do not make one.
+LEAST_RATIO, LEAST_SHARE, LEAST_COMPANY, MOST_WORDS = 20.0, 0.01, 6, 400
+#: Letters of a stem; words are learned by themselves and, under a star, by stem.
+STEM = 5
 #: Common insults of four languages, and words of the second person.
 INSULTS = """
 idiot idiots moron morons stupid dumb scum trash garbage loser losers clown clowns pathetic worthless disgusting vermin
@@ -79,12 +81,12 @@ def _plain(word: str) -> str:
     return re.sub(r"(.)\1\1+", r"\1", re.sub(r"[\W\d_]", "", "".join(SIGNS.get(c, c) for c in word)))
 
 
-def measure(text: str, lexicon: frozenset[str], persons: frozenset[str]) -> list[float]:
+def measure(text: str, lexicon: frozenset[str], persons: frozenset[str], stems: frozenset[str] = frozenset()) -> list[float]:
     """The values of FEATURES."""
     low = text.lower()
     tokens = TOKEN.findall(low)
     n = max(1, len(tokens))
-    at = [i for i, t in enumerate(tokens) if t in lexicon]
+    at = [i for i, t in enumerate(tokens) if t in lexicon or t[:STEM] in stems]
     near = sum(1 for i in at if not persons.isdisjoint(tokens[max(0, i - NEAR) : i + NEAR + 1]))
     code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     kinds = CLASSES[np.minimum(code, 0x3000)]
@@ -117,12 +119,13 @@ def held_out() -> Column:
 
 def features(docs: DataFrame, lexicon: list[str]) -> DataFrame:
     """docs with a column for each of FEATURES."""
-    listed, persons = frozenset(INSULTS) | frozenset(lexicon), frozenset(SECOND_PERSON)
+    listed, persons = frozenset(INSULTS) | {w for w in lexicon if w[-1] != "*"}, frozenset(SECOND_PERSON)
+    stems = frozenset(w[:-1] for w in lexicon if w[-1] == "*")
 
     def measured(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             # One text at a time: the batch itself stays in Arrow's buffer.
-            rows = np.array([measure(t.as_py() or "", listed, persons) for t in texts], dtype=np.float64).reshape(-1, len(FEATURES))
+            rows = np.array([measure(t.as_py() or "", listed, persons, stems) for t in texts], dtype=np.float64).reshape(-1, len(FEATURES))
             yield pa.StructArray.from_arrays([pa.array(c) for c in rows.T], names=FEATURES)
 
     measured_udf = F.arrow_udf(measured, ", ".join(f"{f} double" for f in FEATURES))
@@ -140,19 +143,21 @@ def sample_of(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataF
 
 
 def learned_words(labelled: DataFrame) -> list[str]:
-    """Words that mark toxic texts: few, and bounded by MOST_WORDS."""
+    """Words that mark toxic texts, and stems with a star: few, and bounded by MOST_WORDS."""
     n = {r["toxic"]: r["count"] for r in labelled.groupBy("toxic").count().collect()}
     if not n.get(0) or not n.get(1):
         return []
     df = fenced(labelled.select("toxic", "text"), words=F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
     pairs = F.transform("words", lambda w, i: F.struct(w.alias("word"), F.when(i > 0, F.get("words", i - 1)).alias("before")))
-    df = fenced(df, pairs=pairs)
-    toxic = df.where("toxic = 1").select(F.explode("pairs").alias("p")).select("p.*").where("length(word) > 2")
+    toxic = fenced(df.where("toxic = 1"), pairs=pairs).select(F.explode("pairs").alias("p")).select("p.*").where("length(word) > 2")
+    stem = F.concat(F.left("word", F.lit(STEM)), F.lit("*"))
+    toxic = toxic.unionByName(toxic.where(F.length("word") > STEM).select(stem.alias("word"), "before"))
+    df = df.withColumn("words", F.concat("words", F.transform(F.filter("words", lambda w: F.length(w) >= STEM), lambda w: F.concat(F.left(w, F.lit(STEM)), F.lit("*")))))
     company = toxic.groupBy("word").agg(F.approx_count_distinct("before").alias("company")).where(f"company >= {LEAST_COMPANY}")
     seen = df.select("toxic", F.explode(F.array_distinct("words")).alias("word"))
     counts = seen.groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
     ratio = (F.col("bad") / n[1]) / ((F.col("good") + 0.5) / n[0])
-    found = counts.where((F.col("bad") >= n[1] * LEAST_SHARE) & (ratio >= LEAST_RATIO)).join(company, "word", "left_semi")
+    found = counts.where((F.col("bad") >= max(3, n[1] * LEAST_SHARE)) & (ratio >= LEAST_RATIO)).join(company, "word", "left_semi")
     return sorted(r["word"] for r in found.orderBy(F.desc("bad"), "word").limit(MOST_WORDS).collect())
 
 
