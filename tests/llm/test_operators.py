@@ -199,6 +199,32 @@ def test_chains_are_ordered_and_best():
     assert substring_dedup.common_words(list("abcde"), list("xbzde")) == 3
 
 
+def test_chains_find_a_near_predecessor_behind_a_better_far_one():
+    import numpy as np
+
+    seg = np.array([[0, 100, 0, 100], [130, 160, 130, 160], [160, 190, 161, 191]])
+    assert [1, 2] in substring_dedup.chains(seg)
+    rng = np.random.default_rng(1)
+    for _ in range(100):
+        p, q, n = (rng.integers(0, 150, 40), rng.integers(0, 150, 40), rng.integers(5, 30, 40))
+        seg = np.column_stack((p, p + n, q, q + n))
+        seg = seg[np.lexsort((seg[:, 2], seg[:, 0]))]
+        score = []
+        for i, (p0, p1, q0, _) in enumerate(seg.tolist()):
+            near = [score[j] - 0.2 * (p0 - b + q0 - d) for j, (_, b, _, d) in enumerate(seg[:i].tolist()) if -5 <= p0 - b <= 25 and -5 <= q0 - d <= 25]
+            score.append(p1 - p0 + max([0, *near]))
+        best = substring_dedup.chains(seg)[0]
+        told = sum(int(seg[i, 1] - seg[i, 0]) for i in best) - sum(0.2 * int(seg[j, 0] - seg[i, 1] + seg[j, 2] - seg[i, 3]) for i, j in zip(best, best[1:], strict=False))
+        assert abs(told - max(score)) < 1e-6
+
+
+def test_a_later_passage_with_an_inserted_word(spark):
+    first, second = BASE[:100], BASE[150:210]
+    docs = [(1, " ".join(first + [f"p{i}" for i in range(30)] + second)), (2, " ".join(first + [f"q{i}" for i in range(30)] + second[:30] + ["inserted"] + second[30:]))]
+    got = substring_dedup.Passages(spark.createDataFrame(docs, "doc_id long, text string")).reported().collect()
+    assert {(r.start_word, r.same_words) for r in got} == {(0, 100), (130, 60)}
+
+
 # ---- 7: pages
 
 
