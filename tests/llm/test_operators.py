@@ -225,6 +225,21 @@ def test_a_later_passage_with_an_inserted_word(spark):
     assert {(r.start_word, r.same_words) for r in got} == {(0, 100), (130, 60)}
 
 
+def test_every_occurrence_of_a_passage(spark):
+    """A passage twice in one text and once in another, one twice in a text alone, and one line again and again."""
+    other = lambda name: [f"{name}{i}" for i in range(40)]
+    docs = [
+        (1, BASE[:60] + other("a") + BASE[:60]), (2, other("b") + BASE[:60]),
+        (3, BASE[100:160] + other("c") + BASE[100:160] + other("d") + BASE[100:160]), (4, BASE[200:210] * 10),
+    ]
+    got = substring_dedup.Passages(spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")).reported().collect()
+    places = {(r.doc_id, r.start_word, r.end_word, r.other_id, r.other_start, r.other_end) for r in got}
+    both = {p for r in places for p in (r[:3], r[3:])}
+    assert {(1, 0, 60), (1, 100, 160), (2, 40, 100), (3, 0, 60), (3, 100, 160), (3, 200, 260)} <= both
+    assert {(1, 100, 160, 1, 0, 60), (3, 100, 160, 3, 0, 60), (3, 200, 260, 3, 100, 160), (4, 10, 100, 4, 0, 90)} <= places
+    assert any({(1, 100, 160), (2, 40, 100)} == {r[:3], r[3:]} for r in places)
+
+
 # ---- 7: pages
 
 
