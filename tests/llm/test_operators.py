@@ -240,6 +240,16 @@ def test_every_occurrence_of_a_passage(spark):
     assert any({(1, 100, 160), (2, 40, 100)} == {r[:3], r[3:]} for r in places)
 
 
+def test_a_passage_whose_pieces_others_hold_first_and_last(spark):
+    """A passage of 50 words in a few texts only, and each 30 words of it in many."""
+    passage = BASE[:50]
+    own = lambda i, n: [f"own{i}x{j}" for j in range(n)]
+    docs = [(i, own(i, 30) + passage[i % 3 * 10 :][:30] + own(-i - 1, 30)) for i in range(300)]
+    docs += [(1000 + i, own(1000 + i, 40) + passage + own(2000 + i, 40)) for i in range(4)]
+    got = substring_dedup.Passages(spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")).reported().collect()
+    assert {p for r in got for p in ((r.doc_id, r.start_word, r.end_word), (r.other_id, r.other_start, r.other_end))} == {(1000 + i, 40, 90) for i in range(4)}
+
+
 # ---- 7: pages
 
 
