@@ -182,7 +182,7 @@ def stale_venues(s: Star) -> DataFrame:
     """The stalest first, never seen ones before all."""
     last = s.runs.where("event_type = 'purchase'").groupBy("venue_id").agg(F.max("started_at").alias("last_success"))
     df = s.venues.select("venue_id").join(last, "venue_id", "left").where(F.col("last_success").isNull() | (F.col("last_success") < F.timestamp_add("DAY", F.lit(-3), ts(AS_OF))))
-    return df.orderBy(F.col("last_success").asc_nulls_first(), "venue_id").limit(200)
+    return df.orderBy(F.col("last_success").asc_nulls_first(), "venue_id")
 
 
 @plan("week_over_week", """

@@ -20,3 +20,13 @@ def test_plan_runs(spark, sf, name):
 
 def test_flagship(spark, sf):
     assert catalogue.flagship(spark, sf).columns == ["showing_id", "shows_at", "title", "year", "name", "chain", "price"]
+
+
+def test_every_stale_venue_is_listed(spark):
+    from types import SimpleNamespace
+
+    from stagelight.plans import health
+
+    venues = spark.range(300).withColumnRenamed("id", "venue_id")
+    runs = venues.where("venue_id < 20").selectExpr("venue_id", "'purchase' as event_type", "timestamp_ntz '1990-01-01 00:00:00' as started_at")
+    assert health.stale_venues(SimpleNamespace(venues=venues, runs=runs)).count() == 300
