@@ -1,13 +1,16 @@
 """Quality rules judged by host: rule failures are summed by domain, rates shrunk with an empirical beta prior, verdicts joined back.
 
 A document's host is its source. Per rule the prior is fitted to all hosts by the method of moments, so a host with few
-documents is judged mostly by what hosts are like and cannot be rejected for one bad page. A host is rejected when a shrunk
-rate exceeds the rule's limit; its documents go with it. Documents that fail the base rule go in any case.
+documents is judged mostly by what hosts are like and cannot be rejected for one bad page. The prior also sets the limit: a
+host is rejected when its shrunk rate lies DEVIATIONS standard deviations of the prior above its mean, and is TIMES the mean at
+least; where hosts are alike none is. Its documents go with it. Documents that fail the base rule go in any case.
 
-Everything is built-in column functions. A text's repeated windows are found inside its row: windows are hashed, packed with
-their position into one number and sorted, so equal windows become neighbours, in n log n steps and without exploding words.
+Everything is built-in column functions. A text's repeated windows are found inside its row: windows are hashed and sorted with
+their places, so equal windows become neighbours, in n log n steps and without exploding words.
 
-Null texts have no words and fail the base rule. Documents without a source have no host: only the base rule judges them. Repeated rows count each.
+Null and empty texts have no words and fail the base rule. Very long texts take room in proportion to their words within one row.
+Documents without a source have no host: only the base rule judges them. Repeated rows count each. Columns other than doc_id,
+source and text aren't read, whatever their names. An empty table has no hosts and gives no rows.
 """
 
 from __future__ import annotations
@@ -19,8 +22,9 @@ from .common import NOT_SPACE, SPACE, durable, fenced, text_of
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: Limits of a host's shrunk failure rates, by rule.
-HOST_LIMITS = {"base_failed": 0.6, "many_symbols": 0.6, "many_dup_lines": 0.6}
+#: The rules that hosts are judged by, and when a host's shrunk rate is too high.
+RULES = ("base_failed", "many_symbols", "many_dup_lines")
+DEVIATIONS, TIMES = 3.0, 2.0
 
 
 def measures(docs: DataFrame) -> DataFrame:
@@ -40,45 +44,44 @@ def measures(docs: DataFrame) -> DataFrame:
     n = F.size("hashes")
     pairs = F.zip_with("hashes", F.slice("hashes", 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b))
     df = fenced(df, windows=F.zip_with(F.slice(pairs, 1, F.greatest(n - 2, F.lit(0))), F.slice("hashes", 3, F.greatest(n - 2, F.lit(0))), lambda a, b: F.xxhash64(a, b)))
-    df = fenced(df.drop("hashes"), bits=F.greatest(F.lit(10), F.ceil(F.log2(F.size("windows") + 2))).cast("int"))
-    packed = F.expr("transform(windows, (x, i) -> shiftleft(shiftrightunsigned(x, bits), bits) | i)")
-    df = fenced(df, sorted=F.sort_array(packed))
-    alike = "zip_with(sorted, slice(sorted, 2, size(sorted)), (a, b) -> if(shiftrightunsigned(a ^ b, bits) = 0, array(a & (shiftleft(1L, bits) - 1), b & (shiftleft(1L, bits) - 1)), null))"
-    df = fenced(df, twins=F.expr(f"filter({alike}, p -> p is not null)"))
-    # The packed hash is cut short; whole hashes settle it.
-    df = fenced(df, at=F.expr("sort_array(array_distinct(flatten(filter(twins, p -> windows[cast(p[0] as int)] = windows[cast(p[1] as int)]))))"))
-    covered = F.expr("aggregate(zip_with(at, slice(at, 2, size(at)), (p, q) -> coalesce(least(3L, q - p), 3L)), 0L, (s, x) -> s + x)")
+    df = fenced(df.drop("hashes"), sorted=F.expr("array_sort(transform(windows, (x, i) -> struct(x, i as i)))"))
+    # Equal windows are neighbours now; the places of those that have one, in order.
+    alike = "zip_with(sorted, slice(sorted, 2, size(sorted)), (a, b) -> if(a.x = b.x, array(a.i, b.i), null))"
+    df = fenced(df, at=F.expr(f"sort_array(array_distinct(flatten(filter({alike}, p -> p is not null))))"))
+    covered = F.expr("aggregate(zip_with(at, slice(at, 2, size(at)), (p, q) -> coalesce(cast(least(3, q - p) as long), 3L)), 0L, (s, x) -> s + x)")
     return df.select("doc_id", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", covered.alias("n_repeat_words"))
 
 
-def judged(docs: DataFrame, limits: dict[str, float] = HOST_LIMITS) -> DataFrame:
+def judged(docs: DataFrame, deviations: float = DEVIATIONS) -> DataFrame:
     """The measures with base_failed, host_failed and kept."""
     df = measures(docs)
     df = df.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
     df = df.withColumn("many_symbols", F.col("n_symbols") * 4 > F.col("word_chars")).withColumn("many_dup_lines", F.col("n_dup_lines") * 20 > F.col("n_words"))
     df = durable(df, "measures")
-    hosts = durable(host_verdicts(df, limits).select("source", "host_failed"), "hosts")  # written, so that its size is known to the join
+    hosts = durable(host_verdicts(df, deviations).select("source", "host_failed"), "hosts")  # written, so that its size is known to the join
     failed = F.coalesce("host_failed", F.lit(False))
     return df.join(hosts, "source", "left").withColumn("host_failed", failed).withColumn("kept", ~(F.col("base_failed") | failed))
 
 
-def host_verdicts(df: DataFrame, limits: dict[str, float] = HOST_LIMITS) -> DataFrame:
-    """A row per host: docs, each rule's failures and shrunk rate, and host_failed."""
-    hosts = df.where("source is not null").groupBy("source").agg(F.count("*").alias("docs"), *(F.sum(F.col(r).cast("long")).alias(r) for r in limits))
+def host_verdicts(df: DataFrame, deviations: float = DEVIATIONS) -> DataFrame:
+    """A row per host: docs, each rule's failures, shrunk rate and limit, and host_failed."""
+    hosts = df.where("source is not null").groupBy("source").agg(F.count("*").alias("docs"), *(F.sum(F.col(r).cast("long")).alias(r) for r in RULES))
     sums = [F.count("*").alias("hosts"), F.avg(1 / F.col("docs")).alias("each")]
-    for r in limits:
+    for r in RULES:
         rate = F.col(r) / F.col("docs")
         sums += [F.avg(rate).alias(f"{r}_mean"), F.coalesce(F.var_samp(rate), F.lit(0.0)).alias(f"{r}_var")]
     prior = hosts.agg(*sums)
     out, failed = hosts.crossJoin(F.broadcast(prior)), F.lit(False)  # one row of moments
-    for r, limit in limits.items():
+    for r in RULES:
         mean = F.least(F.greatest(F.col(f"{r}_mean"), F.lit(1e-3)), F.lit(1 - 1e-3))
         spread = mean * (1 - mean)
         between = F.greatest(F.col(f"{r}_var") - spread * F.col("each"), spread * 1e-3)  # what counting noise does not explain
         strength = F.greatest(spread / between - 1, F.lit(1.0))
         out = out.withColumn(f"{r}_rate", (F.col(r) + strength * mean) / (F.col("docs") + strength))
-        failed = failed | (F.col(f"{r}_rate") > limit)
-    return out.withColumn("host_failed", failed).select("source", "docs", *limits, *(f"{r}_rate" for r in limits), "host_failed")
+        above = mean + deviations * F.sqrt(spread / (strength + 1))
+        out = out.withColumn(f"{r}_limit", F.greatest(above, TIMES * mean))
+        failed = failed | (F.col(f"{r}_rate") > F.col(f"{r}_limit"))
+    return out.withColumn("host_failed", failed).select("source", "docs", *RULES, *(f"{r}_{x}" for r in RULES for x in ("rate", "limit")), "host_failed")
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +105,7 @@ h as (select source, rule, count(*) as docs, sum(failed::int)::double as failed
   where source is not null group by 1, 2),
 p as (select rule, least(greatest(avg(failed / docs), 1e-3), 1 - 1e-3) as mean, coalesce(var_samp(failed / docs), 0) as var, avg(1 / docs) as each from h group by rule),
 s as (select *, greatest(mean * (1 - mean) / greatest(var - mean * (1 - mean) * each, mean * (1 - mean) * 1e-3) - 1, 1) as strength from p),
-v as (select source, bool_or((failed + strength * mean) / (docs + strength) > 0.6) as bad from h join s using (rule) group by source)
+v as (select source, bool_or((failed + strength * mean) / (docs + strength) > greatest(mean + 3 * sqrt(mean * (1 - mean) / (strength + 1)), 2 * mean)) as bad from h join s using (rule) group by source)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not (base_failed or coalesce(bad, false)) as kept, coalesce(bad, false) as host_failed
 from b left join v using (source)
 """
