@@ -83,6 +83,32 @@ def test_patterns_find_unseen_identifiers(spark):
     assert not any(got[i][0] or got[i][1] for i, _ in other)
 
 
+def test_hidden_identifiers_are_found_again(spark):
+    """One document in eight keeps its base entities hidden: patterns learned from the others add them."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    hidden = F.pmod(F.xxhash64("doc_id"), F.lit(8)) == 0
+    flat = lambda df, column: {(r.doc_id, *r.s) for r in df.select("doc_id", F.explode(column).alias("s")).collect()}
+    plain = pii.personal_data(docs).persist()
+    truth = flat(plain.where(hidden), "base")
+    told = pii.personal_data(docs, hidden).persist()
+    found = flat(told.where(hidden), "added")
+    assert len(truth) >= 60 and len(truth & found) >= 0.9 * len(truth)
+    assert not flat(told.where(hidden), "base")
+    # Without anything hidden the method adds some spans, and few: card numbers with a wrong digit.
+    added = flat(plain, "added")
+    assert 0 < len(added) <= 0.05 * plain.selectExpr("sum(size(base))").first()[0] and {k for _, _, k, _ in added} == {2}
+
+
+def test_candidates_of_odd_texts():
+    import time
+
+    began = time.time()
+    for text in ("9" * 300_000, "a(" * 100_000, "1 (2" * 60_000, "@" * 200_000, "a1b2" * 100_000, "+1 " * 100_000):
+        pii.mentions(text)
+    assert time.time() - began < 20
+    assert [(a, b) for a, k, b, _, _ in pii.mentions("mail jürgen.m@exämple.de, card 4111111111111112.") if k < 0] == [(5, 24), (31, 47)]
+
+
 # ---- 3: mixing
 
 
@@ -136,17 +162,56 @@ def test_measures(spark):
     assert got == {1: (13, 27, 3, 1, 6), 2: (0, 0, 0, 0, 0), 3: (4, 4, 0, 0, 4)}
 
 
+def test_a_bad_host_goes_with_its_good_documents(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "source")
+    good = " ".join(f"word{i}" for i in range(80))
+    symbols = good.replace("word", "###word")
+    planted = [(10**6 + i, good if i % 6 == 0 else symbols, "bad") for i in range(60)] + [(2 * 10**6, symbols, "small"), (2 * 10**6 + 1, good, "small"), (3 * 10**6, good, None), (3 * 10**6 + 1, symbols, None)]
+    docs.unionByName(spark.createDataFrame(planted, docs.schema)).write.parquet(f"{tmp_path}/documents.parquet")
+    assert compare(spark, quality.op4, quality.OP4_SQL, str(tmp_path)) == ""
+    rows = {r.doc_id: r for r in quality.op4(spark, str(tmp_path)).collect()}
+    assert all(rows[i].host_failed and not rows[i].kept and not rows[i].base_failed for i in range(10**6, 10**6 + 60))
+    assert all(rows[i].kept == (not rows[i].base_failed) for i in rows if not 10**6 <= i < 2 * 10**6)
+    # The verdict is the prior's: without it, by a limit of many deviations, the host stays.
+    assert quality.judged(spark.read.parquet(f"{tmp_path}/documents.parquet"), 100.0).where("host_failed").count() == 0
+
+
+def test_repeats_of_windows_that_alternate(spark):
+    import random
+
+    random.seed(3)
+    for n in (0, 1, 2, 3, 40, 400):
+        words = [random.choice("abc") for _ in range(n)] + [f"w{i}" for i in range(n)] + ["x", "y", "z"] * (n % 7)
+        windows = Counter(zip(words, words[1:], words[2:], strict=False))
+        at = {j for i in range(len(words) - 2) if windows[tuple(words[i : i + 3])] > 1 for j in (i, i + 1, i + 2)}
+        got = quality.measures(spark.createDataFrame([(1, "s", " ".join(words))], "doc_id long, source string, text string")).first()
+        assert got.n_repeat_words == len(at)
+
+
 # ---- 5: toxicity
 
 
 def test_held_out_accuracy(spark):
-    folder = "/root/testdata/sf0.01"
+    folder = "/root/testdata/sf0.1"  # the smaller tables hold out six toxic texts or none
     toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
     rows = [r for r in toxicity.op5(spark, folder).collect() if r.held_out and r.doc_id in toxic]
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
     bad, good = [r.score for r in rows if toxic[r.doc_id]], [r.score for r in rows if not toxic[r.doc_id]]
     auc = sum((b > g) + 0.5 * (b == g) for b in bad for g in good) / (len(bad) * len(good))
     assert auc > 0.9
+    caught, flagged = [r for r in rows if toxic[r.doc_id] and r.predicted], [r for r in rows if r.predicted]
+    assert len(bad) > 50 and len(caught) >= 0.85 * len(bad) and len(caught) >= 0.95 * len(flagged)
+
+
+def test_long_texts_are_measured_in_linear_time():
+    import time
+
+    began = time.time()
+    for text in ("a" * 1_000_000 + "1", "漢" * 1_000_000 + "1", "1a" * 200_000, "@" * 500_000 + "x", "a b " * 100_000 + "cd", "！" * 9):
+        assert len(toxicity.measure(text, frozenset(toxicity.INSULTS), frozenset(toxicity.SECOND_PERSON))) == len(toxicity.FEATURES)
+    assert time.time() - began < 15
+    found = dict(zip(toxicity.FEATURES, toxicity.measure("İ you idiooot", frozenset(["idiot"]), frozenset(["you"])), strict=True))
+    assert found["disguised"] == 1  # whatever lower-casing does to the length
 
 
 def test_disguised_words():
