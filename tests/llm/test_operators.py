@@ -262,6 +262,7 @@ def test_chains_are_ordered_and_best():
     seg = np.array([[0, 10, 0, 10], [12, 20, 12, 20], [12, 20, 200, 208], [22, 40, 22, 40]])
     assert substring_dedup.chains(seg)[0] == [0, 1, 3]
     assert substring_dedup.common_words(list("abcde"), list("xbzde")) == 3
+    assert sorted(substring_dedup.chains(np.array([[0, 1000, 0, 1000], [1010, 1016, 1200, 1206], [1030, 1060, 1220, 1250]]))) == [[0], [1, 2]]
 
 
 def test_chains_find_a_near_predecessor_behind_a_better_far_one():
@@ -315,6 +316,36 @@ def test_a_passage_whose_pieces_others_hold_first_and_last(spark):
     assert {p for r in got for p in ((r.doc_id, r.start_word, r.end_word), (r.other_id, r.other_start, r.other_end))} == {(1000 + i, 40, 90) for i in range(4)}
 
 
+def test_a_passage_whose_thirds_others_hold_is_whole(spark):
+    """120 words in common; each 40 of them are in 18 other texts."""
+    own = lambda i, n: [f"own{i}x{j}" for j in range(n)]
+    for length in (120, 3_000):
+        passage = [f"pass{i}" for i in range(length)]
+        third = length // 3
+        docs = [(i, own(i, 30) + passage[i % 3 * third :][:third] + own(-i - 1, 30)) for i in range(54)]
+        docs += [(1000 + i, own(1000 + i, 40 + i) + passage + own(2000 + i, 40)) for i in range(2)]
+        got = substring_dedup.Passages(spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")).reported().collect()
+        assert {(40, 40 + length), (41, 41 + length)} in [{(r.start_word, r.end_word), (r.other_start, r.other_end)} for r in got if {r.doc_id, r.other_id} == {1000, 1001}]
+
+
+def test_recall_of_fuzzy_passages(spark):
+    """Passages of 60 to 200 words of which one word in twelve is changed, left out or put in, against those that were planted."""
+    import random
+
+    random.seed(11)
+    vocabulary = [f"v{i}" for i in range(3_000)]
+    docs, pairs = [], set()
+    text = lambda n: random.choices(vocabulary, k=n)
+    for i in range(0, 400, 2):
+        passage = text(random.randint(60, 200))
+        changed = [x for w in passage for x in random.choices(([w], [random.choice(vocabulary)], [], [w, "more"]), (33, 1, 1, 1))[0]]
+        docs += [(i, text(random.randint(0, 90)) + passage + text(random.randint(0, 90))), (i + 1, text(random.randint(0, 90)) + changed + text(random.randint(0, 90)))]
+        pairs.add((i, i + 1))
+    got = substring_dedup.Passages(spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")).reported().collect()
+    found = {(min(r.doc_id, r.other_id), max(r.doc_id, r.other_id)) for r in got}
+    assert not found - pairs and len(found) >= 0.95 * len(pairs)
+
+
 # ---- 7: pages
 
 
