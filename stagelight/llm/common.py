@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -16,9 +17,11 @@ NOT_SPACE = r"[^\x20\x09-\x0D]"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a local session gets a folder of its own; a cluster is refused."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -35,6 +38,17 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*dfs: DataFrame) -> None:
+    """Delete the files of durable frames that nothing reads any more; others are left alone."""
+    for df in dfs:
+        spark, home = df.sparkSession, f"{shared_dir(df.sparkSession)}/stagelight/"
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            # Spark writes file:/x for file:///x.
+            if re.sub("^file:/+", "file:/", folder).startswith(re.sub("^file:/+", "file:/", home)):
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shield(docs: DataFrame, *needed: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """docs with all columns but the needed ones renamed, so that no name clashes with a helper's; and what turns rows back."""
     columns = docs.columns
@@ -72,8 +86,9 @@ def fenced(df: DataFrame, **columns: Column) -> DataFrame:
 # ---- blocked Bloom filter -------------------------------------------------------------------------------------------
 
 WORDS = 4  # of 64 bits in a block; each key sets one bit in each
-#: Bound of a filter: 2**17 blocks of 32 bytes, 4 MB, whatever the number of keys. A full filter passes more, never fewer.
-MAX_BLOCKS = 1 << 17
+#: A filter grows with its keys up to 2**19 blocks of 32 bytes, 16 MB, for 8 million keys; that is what is broadcast at most. A fuller
+#: one passes more, never fewer: beyond some 10 times as many keys nearly all rows go on to the join, which is an ordinary one.
+MAX_BLOCKS = 1 << 19
 KEYS_A_BLOCK = 16
 
 
@@ -115,3 +130,13 @@ def settled(tagged: DataFrame, told: DataFrame, same: list[tuple[str, str]]) ->
     out = probed.where("not _maybe").select(columns).unionByName(met.where("_n is null or (_n = 1 and _kept)").select(columns))
     twice = met.where("_n > 1 and _kept").groupBy(*(b for _, b in same)).agg(F.min(F.struct(*columns)).alias("_one"))
     return out.unionByName(twice.select("_one.*"))
+
+
+#: Into so many parts a key's rows are dealt where one key may hold a large share of them.
+SALTS = 16
+
+
+def salted_join(df: DataFrame, row: Column, few: DataFrame, by: list[str]) -> DataFrame:
+    """A left join by a key that may be hot in df, with few, which has a row a key: each part of a key's rows meets a copy of that row."""
+    salts = F.array(*map(F.lit, range(SALTS)))
+    return df.withColumn("_salt", F.pmod(row, F.lit(SALTS)).cast("int")).join(few.withColumn("_salt", F.explode(salts)), [*by, "_salt"], "left").drop("_salt")

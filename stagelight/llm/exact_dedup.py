@@ -1,28 +1,35 @@
 """Exact deduplication by progressive refinement: length, then hash of a prefix, then hash of the whole text.
 
-One scan counts (length, prefix hash); only groups of two or more go on. Their keys fill a blocked Bloom filter of bounded
-size, so the second scan reads and hashes the whole text of surviving groups alone, and no text is shuffled. What the filter
-lets through by mistake is a group of one after the full hash. Only digests are grouped, with partial aggregation, so a group
-that holds a third of all rows is summed where it lies.
+The first scan counts lengths; only texts whose length another has go on. The second hashes their first PREFIX_CHARS characters
+and counts (length, prefix hash); only groups of two or more go on. Either time the keys fill a blocked Bloom filter of bounded
+size, so the third scan reads and hashes the whole text of surviving groups alone, and no text is shuffled. What the filters let
+through by mistake is a group of one after the full hash. Only digests are grouped, with partial aggregation, and a group's rows
+are dealt in SALTS parts when they learn of it, so a group that holds a third of all rows meets in no one task.
 
 Null texts count as empty; texts are equal when identical after lower-casing A-Z. Of equal texts the row with the largest
-doc_id stays; null doc_ids rank lowest, and of rows alike in doc_id too exactly one stays.
+doc_id stays; null doc_ids rank lowest, and of rows alike in doc_id too exactly one stays. Very long texts cost their length, in
+one row. Other columns pass by untouched, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, bloom, durable, probe, settled, shield, text_of
+from .common import ascii_lower, bloom, durable, probe, salted_join, settled, shield, text_of
 
 PREFIX_CHARS = 64
 
 
-def _keyed(docs: DataFrame, *columns: str) -> DataFrame:
-    """These columns with n_bytes and prefix_hash of the normalised text."""
-    text = text_of()
-    return docs.select(*columns, F.octet_length(text).alias("n_bytes"), F.xxhash64(ascii_lower(F.substring(text, 1, PREFIX_CHARS))).alias("prefix_hash"))
+def _prefix() -> Column:
+    return F.xxhash64(ascii_lower(F.substring(text_of(), 1, PREFIX_CHARS)))
+
+
+def _repeated_lengths(docs: DataFrame) -> tuple[DataFrame, int]:
+    """A filter of the lengths that two texts or more have."""
+    lengths = docs.groupBy(F.octet_length(text_of()).alias("n_bytes")).agg(F.count("*").alias("n")).where("n > 1")
+    lengths = durable(lengths.select("n_bytes"), "lengths")
+    return bloom(lengths, F.col("n_bytes"), lengths.count())
 
 
 def exact_groups(docs: DataFrame, digest_all: bool = False) -> DataFrame:
@@ -30,10 +37,11 @@ def exact_groups(docs: DataFrame, digest_all: bool = False) -> DataFrame:
 
     digest is the binary SHA-256 of the normalised text of surviving groups; with digest_all of every row, for callers that report it.
     """
-    text, keyed = text_of(), _keyed(docs, "doc_id", "text")
-    groups = durable(keyed.groupBy("n_bytes", "prefix_hash").agg(F.count("*").alias("n")), "prefixes")
-    lengths = groups.groupBy("n_bytes").agg(F.sum("n").alias("n")).where("n > 1").select("n_bytes")
-    shared = groups.where("n > 1").join(lengths, "n_bytes", "left_semi")
+    text = text_of()
+    sized = probe(docs.select("doc_id", "text", F.octet_length(text).alias("n_bytes")), F.col("n_bytes"), _repeated_lengths(docs), "met")
+    keyed = sized.select("doc_id", "text", "n_bytes", F.when(F.col("met"), _prefix()).alias("prefix_hash"))
+    groups = durable(keyed.where("prefix_hash is not null").groupBy("n_bytes", "prefix_hash").agg(F.count("*").alias("n")).where("n > 1"), "prefixes")
+    shared = groups.select("n_bytes", "prefix_hash")
     key = F.xxhash64("n_bytes", "prefix_hash")
     flagged = probe(keyed, key, bloom(shared, key, shared.count()), "survives")
     hashed = F.unhex(F.sha2(ascii_lower(text), 256))
@@ -41,7 +49,8 @@ def exact_groups(docs: DataFrame, digest_all: bool = False) -> DataFrame:
     rows = durable(rows.withColumn("_row", F.monotonically_increasing_id()), "digests")
     by = ["n_bytes", "prefix_hash", "digest"]
     found = rows.where("survives").groupBy(*by).agg(F.count("*").alias("group_size"), F.max(F.struct("doc_id", "_row")).alias("keep")).where("group_size > 1")
-    joined = rows.join(durable(found, "groups"), by, "left")  # written, so that the join's own exchanges can be split
+    met = salted_join(rows.where("survives"), F.col("_row"), durable(found, "groups"), by)
+    joined = met.unionByName(rows.where("not survives"), allowMissingColumns=True)
     single = F.col("group_size").isNull()
     return joined.select(
         "doc_id", *by,
@@ -59,7 +68,7 @@ def without_copies(docs: DataFrame) -> DataFrame:
     by = ["doc_id", "n_bytes", "prefix_hash"]
     told = judged.where("group_size > 1").groupBy(*by, "digest").agg(F.max("kept").alias("_kept"), F.count("*").alias("_n")).where("_n > 1 or not _kept")
     told = durable(told.withColumnsRenamed({c: f"_{c}" for c in (*by, "digest")}), "copies")
-    tagged = _keyed(docs, *docs.columns)
+    tagged = docs.select(*docs.columns, F.octet_length(text_of()).alias("n_bytes"), _prefix().alias("prefix_hash"))
     tagged = probe(tagged, F.xxhash64(*by), bloom(told, F.xxhash64(*(f"_{c}" for c in by)), told.count()), "_may")
     hashed = F.when(F.col("_may"), F.unhex(F.sha2(ascii_lower(text_of()), 256)))
     return restore(settled(tagged.withColumn("hashed", hashed).drop("_may"), told, [*((c, f"_{c}") for c in by), ("hashed", "_digest")]))
