@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, ascii_lower, bloom, durable, fenced, probe, settled, shield, text_of
+from .common import SPACE, ascii_lower, bloom, durable, fenced, probe, salted_join, settled, shield, text_of
 from .components import components
 
 HALF, ROWS = 11, 3
@@ -218,11 +218,12 @@ class NearCopies:
         sizes = self.rows.where("n_shingles > 0").groupBy("digest").agg(F.count("*").alias("copies")).where("copies > 1")
         told = self.nodes.select("node", "digest", "doc_id").join(linked, "node", "left").join(sizes, "digest", "left").where("component_id is not null or copies > 1")
         told = told.select("digest", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).alias("links"))
-        out = self.rows.select("doc_id", "text_key", "n_shingles", "digest").join(told, "digest", "left")
+        # A digest that a third of all rows share is dealt in parts.
+        out = salted_join(self.rows.select("doc_id", "text_key", "n_shingles", "digest"), F.xxhash64("doc_id", "text_key"), durable(told, "told"), ["digest"])
         return out.select("doc_id", "text_key", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def without_near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+def without_near_copies(docs: DataFrame, words: int = 2, percent: int = 80) -> DataFrame:
     """The documents that stay, with all their columns: of each group the one with the smallest doc_id, of rows alike in that too just one."""
     docs, restore = shield(docs, "doc_id", "text")
     judged = NearCopies(docs, words, percent).judged()
