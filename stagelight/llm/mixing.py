@@ -5,14 +5,17 @@ permutation. Targets fix how many whole passes and how many blocks of a last, pa
 block slots. The tree halves the output shards again and again; at each node the left half's quotas are a multivariate
 hypergeometric draw from the node's, made source by source from the inverse distribution function at a hash of the node, so
 they are exact, sum up at every level and are the same in every run. Each leaf then takes the next disjoint run of its
-sources' permuted slots, and its rows are shuffled locally by a hash.
+sources' permuted slots, and its rows are shuffled locally by a hash, in PIECES, so that a shard is written by many tasks. The
+number of shards follows the number of words.
 
 Only rows of (document, source, size, hash) are grouped; text is read once to count words. Blocks are at most BLOCKS a
 source and level: a source is split further, block by block, until the block that the target cuts holds few documents, and
 within that one documents are picked by size to fill what is left, with one exchange to come nearer. No task sees more than BLOCKS blocks or one small block.
 
 Null texts have size 0. Null is a source like any other, ordered last. Documents alike in id, source and text are treated alike. If
-all sizes are 0, all targets are. Rows with equal hashes share a fate.
+all sizes are 0, all targets are. Rows with equal hashes share a fate. Very long texts are read once to be counted, in one row, and
+no document is cut. Other columns pass by untouched, whatever their names. A node of the tree holds one number a source, so sources
+are meant to be as many as a registry has, tens of thousands at most, not one a document. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +29,8 @@ WEIGHTS = (5, 2, 1)
 MOST = 3  # times a source, and so a document, at most
 BLOCKS = 1024
 BLOCK_DOCS = 512
-SHARDS = 16
+#: Output shards: so many at least, and one more for each SHARD_WORDS words of the mix. A shard's rows are dealt in PIECES for writing.
+SHARDS, SHARD_WORDS, PIECES = 16, 20_000_000, 64
 SEED = 20
 
 
@@ -67,14 +71,15 @@ def _same_source(a: str, b: str) -> Column:
 class Mix:
     """A mix of documents: targets, passes over each block, shards of each slot, and the picked documents of cut blocks."""
 
-    def __init__(self, docs: DataFrame, shards: int = SHARDS):
+    def __init__(self, docs: DataFrame, shards: int | None = None):
         sizes = docs.select("doc_id", "source", size_of(text_of()).alias("size"), _hash().alias("h"))
         self.sizes = durable(sizes, "sizes")
         targets = durable(source_targets(self.sizes), "targets")
         whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
         self.targets = targets.withColumn("passes", whole).withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("passes") * F.col("source_size")))
         self._cut()
-        self._deal(shards)
+        words = self.targets.agg(F.sum("target")).first()[0] or 0
+        self._deal(shards or max(SHARDS, -int(-words // SHARD_WORDS)))
 
     def _cut(self) -> None:
         """Find which blocks of the partial pass are taken whole, level by level down to the block that is cut."""
@@ -154,10 +159,12 @@ class Mix:
         return out.withColumn("shards", shards)
 
     def documents(self, docs: DataFrame) -> DataFrame:
-        """The mixed rows with docs' own columns: a row per copy, a partition per shard, each shuffled by a hash."""
+        """The mixed rows with docs' own columns: a row per copy, those of a shard's piece together and in the order of a hash."""
         docs, restore = shield(docs, "doc_id", "source", "text")
         dealt = self.copies(docs.withColumn("h", _hash())).select(*docs.columns, "h", F.posexplode("shards").alias("turn", "shard"))
-        return restore(dealt.repartition(SHARDS, "shard").sortWithinPartitions("shard", F.xxhash64("h", "turn"), "doc_id"))
+        order = F.xxhash64("h", "turn")
+        # Pieces are a second hash, so no partition holds more than its part of a shard, and their number is the session's.
+        return restore(dealt.withColumn("piece", F.pmod(order, F.lit(PIECES))).repartition("shard", "piece").sortWithinPartitions("shard", "piece", order, "doc_id"))
 
 
 #: ln n!: exact products up to 15, Stirling's series above.
