@@ -216,10 +216,15 @@ def tokenizer(path: str) -> Tokenizer:
     return _ready[path]
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """docs with a column of token ids, array<int>."""
-
-    kind = T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
+def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """docs with a column of token ids, array<int>, and if wanted one of the SHA-256 of what they decode to, in hexadecimals.
+
+    The new columns' names must be free in docs.
+    """
+    taken = {c.lower() for c in docs.columns} & {c.lower() for c in (ids, decoded) if c}
+    if taken:
+        raise ValueError(f"docs already has {sorted(taken)}")
+    kind = T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType())), *([T.StructField(decoded, T.StringType())] if decoded else [])])
     at = docs.columns.index(text)
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,7 +236,10 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
                 found = [np.frombuffer(t.encode(x), dtype=np.int32) if x else np.empty(0, np.int32) for x in part.column(at).to_pylist()]
                 ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
                 column = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
-                yield pa.RecordBatch.from_arrays([*part.columns, column], names=[*part.schema.names, ids])
+                columns, names = [*part.columns, column], [*part.schema.names, ids]
+                if decoded:
+                    columns, names = [*columns, pa.array([hashlib.sha256(t.decode(x.view(np.uint32).tolist())).hexdigest() for x in found], pa.string())], [*names, decoded]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return docs.mapInArrow(encoded, kind)
 
