@@ -21,7 +21,7 @@ PAGES = [
 def write_tables(spark, folder, docs, pages, labels):
     made = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").selectExpr("*", "length(text) as n_chars")
     # Extra columns with names that helpers use.
-    for name in ("h", "_n", "_row", "target", "shards", "at", "node", "score", "digest", "_kept", "size"):
+    for name in ("h", "_n", "_row", "target", "shards", "at", "node", "score", "digest", "_kept", "size", "ids", "n_tokens", "words", "hash", "n_bytes", "keep", "piece", "_salt"):
         made = made.selectExpr("*", f"'{name}' as {name}")
     made.write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(pages, "page_id long, url string, html string").selectExpr("*", "1 as host", "2 as rule").write.parquet(f"{folder}/pages.parquet")
