@@ -19,7 +19,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dedup.without_near_copies(docs)
+    # Sets of two-word shingles, as in the operator's own query: of the pairs with two changed words in a hundred, five-word sets miss many.
+    return near_dedup.without_near_copies(docs, words=2)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,9 +28,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, ids and n_tokens; a row for each copy that the mix takes."""
-    coded = byte_bpe.encode(docs, public_tokenizers.path(byte_bpe.VOCABULARY))
-    return coded.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"))
+    """doc_id, lang, source, ids, n_tokens, and decoded_sha256 of what the ids decode to; a row for each copy that the mix takes."""
+    coded = byte_bpe.encode(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path(byte_bpe.VOCABULARY), decoded="decoded_sha256")
+    return coded.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), "decoded_sha256")
 
 
 STAGES = [
