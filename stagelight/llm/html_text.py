@@ -1,20 +1,25 @@
-"""Main text of web pages: markup rules, then a host's suffix array to find what its pages repeat.
+"""Main text of web pages: markup rules, then what a host's pages repeat, as its suffix array would show it.
 
 Each page becomes blocks of words, in page order, without those that markup gives away: scripts, styles, forms, menus,
 headers, footers, sidebars, notices, adverts and comments. Where a page has an article element only its blocks are the main
 text; else those of a main element; else all.
 
-The token streams of a host's pages are then searched for long substrings that distinct pages repeat. The suffix array is a
-sparse one: suffixes begin at each block and every WINDOW words within it, and are ordered by the hash of their first WINDOW
-words, so suffixes that share so long a prefix meet, wherever they come from, as sums of counts and not as lists. A block all
-of whose suffixes are repeated on enough of the host's distinct pages is boilerplate and goes; runs that are unique stay.
-Pages alike in their main text count once, so copies of an article do not remove it. Within an article only what nearly all
-pages of a host repeat goes, since authors repeat themselves too; beside articles and without them a share of them will do.
-
-Pages are read twice, and neither pages nor texts are shuffled where the table of boilerplate is small, as Spark sees from
-its files; else pages meet it by a join on the host. Null html counts as empty and gives an empty text. Pages without a host
-share the empty one. Unclosed elements end with their surroundings, cut-off pages with their last character. Rows alike are
-extracted each on its own. Columns other than page_id, url and html aren't read.
+The token streams of a host's pages are then searched for substrings that distinct pages repeat: whole blocks, and any RUN words
+or more within longer ones, wherever they begin. In a suffix array those are the neighbours that have RUN words in common. Such
+neighbours are exactly the suffixes whose first RUN words are equal, so they are brought together by a hash of these and counted
+as sums, which leaves a host of any size in many tasks; the order of suffixes that differ before is of no use here, and is not
+made. First only suffixes that winnowing picks by content are counted, one at least of any RUN + PICK - 1 words in common; then
+all suffixes of the blocks in which one of those repeats. What is covered by repeated runs is cut, from within blocks too, and
+unique runs stay.
+
+Pages alike in their main text count once, so copies of an article do not remove it. Within an article or main element only what
+nearly all pages of a host repeat goes, since authors repeat themselves too; without one a share of them will do.
+
+Pages are read two or three times, and neither pages nor texts are shuffled where the table of boilerplate is small, as Spark sees
+from its files; else pages meet it by a join on the host. Null html counts as empty and gives an empty text. Pages without a host
+share the empty one. Unclosed elements end with their surroundings, cut-off pages with their last character. Very long pages take
+time in proportion to their length. Rows alike are extracted each on its own. Columns other than page_id, url and html aren't read,
+whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,16 +30,19 @@ import re
 from collections.abc import Iterator
 from zlib import crc32
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import durable
+from .runs import BASE, Runs, least_at
 from .url_filter import host_of
 
-WINDOW = 32
-#: By zone (other, main, article): at least so many of a host's distinct pages, and such a share of them, repeat boilerplate.
-LEAST_PAGES = (3, 10, 10)
+#: Words of a repeated run, and neighbours among which one suffix is picked.
+RUN, PICK = 24, 9
+#: At least so many of a host's distinct pages, and by zone (other, main, article) such a share of them, repeat boilerplate.
+LEAST_PAGES = 3
 LEAST_SHARE = (0.3, 0.9, 0.9)
 OTHER, MAIN, ARTICLE = range(3)
 
@@ -135,11 +143,50 @@ def blocks_of(html: str) -> tuple[int, list[str]]:
     return zone, [t for z, t in found if z == zone]
 
 
-def suffixes(zone: int, block: str) -> list[int]:
-    """Hashes of the sampled suffixes' first words; the end of a block counts as one."""
+def _word(word: str) -> int:
+    raw = word.encode("utf-8", "replace")
+    return crc32(raw) << 32 | crc32(raw[::-1])
+
+
+def starts(zone: int, block: str) -> np.ndarray:
+    """Hashes of the suffixes of a block, by their first RUN words; a shorter block has one, of all its words and its end."""
+    words = np.array([_word(w) for w in block.split(" ")] + [zone], dtype=np.uint64).view(np.int64)
+    salt = np.uint64((zone + 1) * BASE % (1 << 64))
+    if len(words) <= RUN:
+        return (Runs(words).all(len(words)) ^ salt).view(np.int64)
+    return (Runs(words[:-1]).all(RUN) ^ salt).view(np.int64)
+
+
+def picked(zone: int, block: str) -> np.ndarray:
+    """Those of them that are the least of PICK neighbours."""
+    hashes = starts(zone, block)
+    return hashes if len(hashes) < PICK else hashes[np.unique(least_at(hashes, PICK))]
+
+
+def uncovered(zone: int, block: str, repeated: set[int]) -> str:
+    """The block without the words that repeated runs cover."""
+    hashes = starts(zone, block)
+    hit = np.fromiter(map(repeated.__contains__, hashes.tolist()), dtype=bool, count=len(hashes))
+    if not hit.any():
+        return block
     words = block.split(" ")
-    words.append("\n")
-    return [(crc32(text) << 24 ^ crc32(text[::-1]) ^ zone << 61) for text in (" ".join(words[i : i + WINDOW]).encode("utf-8", "replace") for i in range(0, len(words) if len(words) <= WINDOW else len(words) - 1, WINDOW))]
+    if len(words) < RUN:
+        return ""
+    depth = np.zeros(len(words) + 1, dtype=np.int64)
+    np.add.at(depth, np.flatnonzero(hit), 1)
+    np.add.at(depth, np.flatnonzero(hit) + RUN, -1)
+    return " ".join(w for w, covered in zip(words, np.cumsum(depth), strict=False) if not covered)
+
+
+def _digest(blocks: list[str]) -> bytes:
+    return hashlib.sha256("\n".join(blocks).encode("utf-8", "replace")).digest()[:16]
+
+
+_SUFFIXES = "zone int, digest binary, hashes array<long>"
+
+
+def _distinct(arrays: list[np.ndarray]) -> np.ndarray:
+    return np.unique(np.concatenate(arrays)) if arrays else np.empty(0, np.int64)
 
 
 def _sampled(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -147,8 +194,19 @@ def _sampled(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         out = []
         for page in pages:
             zone, blocks = blocks_of(page or "")
-            digest = hashlib.sha256("\n".join(blocks).encode("utf-8", "replace")).digest()[:16]
-            out.append((zone, digest, sorted({h for b in blocks for h in suffixes(zone, b)})))
+            out.append((zone, _digest(blocks), _distinct([picked(zone, b) for b in blocks])))
+        yield pd.DataFrame(out, columns=["zone", "digest", "hashes"])
+
+
+def _whole(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    """All suffixes of the blocks that have one of the repeated ones."""
+    for pages, repeated in batches:
+        out = []
+        for page, hashes in zip(pages, repeated, strict=True):
+            zone, blocks = blocks_of(page or "")
+            known = np.asarray(hashes, dtype=np.int64)
+            every = [starts(zone, b) for b in blocks]
+            out.append((zone, _digest(blocks), _distinct([h for h in every if np.isin(h, known).any()])))
         yield pd.DataFrame(out, columns=["zone", "digest", "hashes"])
 
 
@@ -159,28 +217,38 @@ def _kept(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]
             zone, blocks = blocks_of(page or "")
             if hashes is not None and len(hashes):
                 known = set(hashes.tolist())
-                blocks = [b for b in blocks if not known.issuperset(suffixes(zone, b))]
+                blocks = [left for b in blocks if (left := uncovered(zone, b, known))]
             out.append("\n".join(blocks))
         yield pd.Series(out)
 
 
+def _repeated(suffixes: DataFrame, least: DataFrame, name: str) -> DataFrame:
+    """host and the hashes of suffixes that enough of its distinct pages have; hosts without any have no row."""
+    once = suffixes.join(least.select("at", "zone").distinct(), ["at", "zone"], "left_semi").groupBy("at", "zone", "digest").agg(F.first("hashes").alias("hashes"))
+    counted = once.select("at", "zone", F.explode("hashes").alias("hash")).groupBy("at", "zone", "hash").agg(F.count("*").alias("n"))
+    # Per host and zone fewer than a page's suffixes over the share.
+    return durable(counted.join(least, ["at", "zone"]).where("n >= least").groupBy("host").agg(F.collect_set("hash").alias("repeated")), name)
+
+
 def boilerplate(pages: DataFrame) -> DataFrame:
-    """host and the hashes of suffixes that enough of its distinct pages repeat; hosts without any have no row."""
-    sampled = pages.select(host_of(F.col("url")).alias("host"), F.pandas_udf(_sampled, "zone int, digest binary, hashes array<long>")(F.coalesce("html", F.lit(""))).alias("s"))
-    sampled = durable(sampled.select(F.xxhash64("host").alias("at"), "host", "s.*"), "suffixes")
+    """host and the hashes of the suffixes that its distinct pages repeat."""
+    pages = pages.select(host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
+    sampled = pages.select(F.xxhash64("host").alias("at"), "host", F.pandas_udf(_sampled, _SUFFIXES)("html").alias("s"))
+    sampled = durable(sampled.select("at", "host", "s.*"), "suffixes")
     counted = sampled.groupBy("at", "host", "zone").agg(F.countDistinct("digest").alias("pages"))
-    by_zone = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("zone") + 1)
-    least = counted.select("at", "host", "zone", F.greatest(by_zone(LEAST_PAGES).cast("double"), by_zone(LEAST_SHARE) * F.col("pages")).alias("least")).where("least <= pages")
-    least = durable(least.withColumnsRenamed({"pages": "n"}), "hosts")
-    once = sampled.join(least.select("at", "zone").distinct(), ["at", "zone"], "left_semi").groupBy("at", "zone", "digest").agg(F.first("hashes").alias("hashes"))
-    repeats = once.select("at", "zone", F.explode("hashes").alias("hash")).groupBy("at", "zone", "hash").agg(F.count("*").alias("n"))
-    # Per host and zone fewer than a page's suffixes over the share.
-    return repeats.join(least, ["at", "zone"]).where("n >= least").groupBy("host").agg(F.collect_set("hash").alias("repeated"))
+    share = F.element_at(F.array(*map(F.lit, LEAST_SHARE)), F.col("zone") + 1)
+    least = counted.select("at", "host", "zone", F.greatest(F.lit(float(LEAST_PAGES)), share * F.col("pages")).alias("least"), "pages").where("least <= pages")
+    least = durable(least.drop("pages"), "hosts")
+    seen = _repeated(sampled, least, "samples")
+    # Then each suffix of the blocks that hold one of those.
+    met = pages.join(seen.withColumnRenamed("host", "_host"), F.col("host") == F.col("_host"))
+    whole = met.select(F.xxhash64("host").alias("at"), "host", F.pandas_udf(_whole, _SUFFIXES)("html", "repeated").alias("s"))
+    return _repeated(durable(whole.select("at", "host", "s.*"), "whole"), least, "boilerplate")
 
 
 def main_text(pages: DataFrame, repeated: DataFrame | None = None) -> DataFrame:
     """page_id, url and text of every page."""
-    repeated = durable(boilerplate(pages) if repeated is None else repeated, "boilerplate").withColumnRenamed("host", "_host")
+    repeated = (boilerplate(pages) if repeated is None else repeated).withColumnRenamed("host", "_host")
     joined = pages.select("page_id", "url", "html").join(repeated, host_of(F.col("url")) == F.col("_host"), "left")
     return joined.select("page_id", "url", F.pandas_udf(_kept, "string")(F.coalesce("html", F.lit("")), "repeated").alias("text"))
 
