@@ -371,6 +371,27 @@ def test_repeated_runs_of_a_host_go(spark):
     assert {r.text for r in got} == {f"Story number {i} has its own words {i * i} here" for i in range(20)}
 
 
+def test_repeated_runs_are_cut_out_of_blocks(spark):
+    """A notice of 40 words at another place of each page's only block, against brute force over all runs of RUN words."""
+    notice = [f"notice{i}" for i in range(40)]
+    own = {i: [f"page{i}word{j}" for j in range(60)] for i in range(12)}
+    pages = [(i, f"http://{'plain' if i < 10 else 'other'}.com/{i}", "<div>" + " ".join(w[: 5 * i + 1] + notice + w[5 * i + 1 :]) + "</div>") for i, w in own.items()]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.main_text(df).collect()}
+    assert all(got[i] == " ".join(w) for i, w in own.items() if i < 10)
+    # Two pages of a host are too few to tell; and with the method off the notice stays.
+    assert all("notice39" in got[i] for i in (10, 11))
+    none = html_text.main_text(df, spark.createDataFrame([], "host string, repeated array<long>"))
+    assert all("notice39" in r.text for r in none.collect())
+
+
+def test_copies_of_an_article_stay(spark):
+    words = " ".join(f"same{i}" for i in range(100))
+    pages = [(i, f"http://copies.com/{i}", f"<article><p>{words}</p></article>") for i in range(20)] + [(100 + i, f"http://copies.com/{100 + i}", f"<article><p>{words} own {i}</p><p>another{i}</p></article>") for i in range(3)]
+    pages += [(200 + i, f"http://copies.com/{200 + i}", f"<article><p>quite different {i}</p></article>") for i in range(20)]
+    assert all(words in r.text for r in html_text.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).where("page_id < 200").collect())
+
+
 # ---- 8: tokens
 
 
