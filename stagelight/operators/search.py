@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +39,56 @@ def term_matches(index: DataFrame, key: str, query: list[str]) -> DataFrame:
     return hit.where(F.col("n") == len(set(query))).drop("n")
 
 
+def term_positions(docs: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
+    """key, term, pos, weight: a row per occurrence; fields (column: class) follow each other."""
+    weighted = lambda c, weight: F.transform(terms(F.col(c)), lambda t: F.struct(t.alias("term"), F.lit(weight).alias("weight")))
+    parts = [weighted(c, WEIGHTS[w]) for c, w in fields.items()]
+    return docs.select(key, F.posexplode(F.concat(*parts)).alias("pos", "t")).select(key, "t.term", "pos", "t.weight")
+
+
+def web_query(query: str) -> list[list[tuple[bool, list[str]]]]:
+    """Alternatives (or) of conditions that all hold: whether the words must be absent (-), and the words, on end if quoted."""
+    out: list[list[tuple[bool, list[str]]]] = [[]]
+    for minus, quoted, word in re.findall(r'(-?)(?:"([^"]*)"|(\S+))', query.lower().translate(str.maketrans(MARKED, BARE))):
+        found = re.findall(r"[^\W_]+", quoted or word)
+        if word == "or" and not minus:
+            out.append([])
+        elif found:
+            out[-1].append((bool(minus), found))
+    return [o for o in out if any(not absent for absent, _ in o)]
+
+
+def web_matches(positions: DataFrame, key: str, query: str) -> DataFrame:
+    """key, score of documents that a web query finds, ranked by cover density: each shortest run of words that holds all of the
+    query's terms counts by its weights, and less the more other words it has."""
+    wanted = web_query(query)
+    used = sorted({t for o in wanted for _, words in o for t in words})
+    asked = sorted({t for o in wanted for absent, words in o if not absent for t in words})
+    hit = positions.where(F.col("term").isin(used)).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "term", "weight"))).alias("h"))
+
+    def on_end(words: list[str]) -> Column:
+        later = " and ".join(f"exists(h, y -> y.term = '{w}' and y.pos = x.pos + {i})" for i, w in enumerate(words) if i)
+        return F.expr(f"exists(h, x -> x.term = '{words[0]}'{' and ' + later if later else ''})")
+
+    holds = F.lit(False)
+    for option in wanted:
+        each = F.lit(True)
+        for absent, words in option:
+            each &= ~on_end(words) if absent else on_end(words)
+        holds |= each
+    # For each occurrence as the end of a run: the last place at which the run can begin and still hold all terms that the document has.
+    own = hit.where(holds).withColumn("h", F.filter("h", lambda y: y["term"].isin(asked)))
+    own = own.withColumn("terms", F.expr("array_distinct(transform(h, y -> y.term))"))
+    begins = "transform(h, (e, i) -> array_min(transform(terms, t -> coalesce(array_max(transform(filter(slice(transform(h, (y, j) -> struct(y.term as term, j as j)), 1, i + 1), y -> y.term = t), y -> y.j)), -1))))"
+    own = own.withColumn("b", F.expr(begins))
+    covers = "filter(transform(b, (x, i) -> struct(x as x, i as i)), c -> c.x >= 0 and (c.i = 0 or b[c.i - 1] < c.x))"
+    density = (
+        f"aggregate({covers}, 0D, (s, c) -> s + (c.i - c.x + 1) / aggregate(slice(h, c.x + 1, c.i - c.x + 1), 0D, (v, y) -> v + 1 / y.weight)"
+        " / (1 + (h[c.i].pos - h[c.x].pos) - (c.i - c.x)))"
+    )
+    return own.select(key, F.expr(density).alias("score"))
+
+
 def trigrams(text: Column) -> Column:
     """The set of trigrams of a text's words, each padded with two blanks before and one behind."""
     words = F.transform(terms(text), lambda w: F.concat(F.lit("  "), w, F.lit(" ")))
@@ -55,24 +108,43 @@ def similar_to(docs: DataFrame, key: str, text: str, query: str, least: float) -
     return docs.select(key, s.alias("similarity")).where(F.col("similarity") >= least)
 
 
-def similar_pairs(docs: DataFrame, key: str, text: str, least: float) -> DataFrame:
+def meeting_pairs(sets: DataFrame, key: str, least: float, within: list[str] | None = None) -> DataFrame:
+    """a < b, keys of sets (key, set, and what must be equal) that may have so large a share of their union in common.
+
+    Sets meet through their rarest members: of n, at most n - ceil(least x n) + 1 need to be looked up, since similar sets
+    must share one of those. Frequent members are no one's rarest, so no posting list of theirs is formed.
+    """
+    within = within or []
+    members = sets.select(F.col(key).alias("rep"), *within, F.explode("set").alias("member"))
+    rarity = members.groupBy("member").agg(F.count("*").alias("n"))
+    by_rarity = members.join(rarity, "member").groupBy("rep", *within).agg(F.sort_array(F.collect_list(F.struct("n", "member"))).alias("m"))
+    size = F.size("m")
+    prefix = by_rarity.select("rep", *within, F.explode(F.slice("m", F.lit(1), size - F.ceil(least * size).cast("int") + 1)).alias("p")).select("rep", *within, "p.member")
+    met = prefix.withColumnRenamed("rep", "a").join(prefix.withColumnRenamed("rep", "b"), ["member", *within])
+    return met.where("a < b").select("a", "b").distinct()
+
+
+def similar_pairs(docs: DataFrame, key: str, text: str, least: float, within: list[str] | None = None) -> DataFrame:
     """a < b, similarity: pairs of rows whose texts are at least so similar, a trigram set standing for all rows that have it.
 
-    Sets meet through their rarest trigrams: of n, at most n - ceil(least x n) + 1 need to be looked up, since similar sets
-    must share one of those. Frequent trigrams are no one's rarest, so no posting list of theirs is formed.
+    Columns within must be equal in both.
     """
-    sets = docs.select(key, F.array_sort(trigrams(F.col(text))).alias("set")).where(F.size("set") > 0)
-    distinct = sets.groupBy("set").agg(F.min(key).alias("rep"))
-    grams = distinct.select("rep", F.explode("set").alias("gram"))
-    rarity = grams.groupBy("gram").agg(F.count("*").alias("n"))
-    by_rarity = grams.join(rarity, "gram").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "gram"))).alias("g"))
-    size = F.size("g")
-    prefix = by_rarity.select("rep", F.explode(F.slice("g", F.lit(1), size - F.ceil(least * size).cast("int") + 1)).alias("p")).select("rep", "p.gram")
-    met = prefix.withColumnRenamed("rep", "a").join(prefix.withColumnRenamed("rep", "b"), "gram").where("a < b").select("a", "b").distinct()
+    within = within or []
+    sets = docs.select(key, *within, F.array_sort(trigrams(F.col(text))).alias("set")).where(F.size("set") > 0)
+    distinct = sets.groupBy("set", *within).agg(F.min(key).alias("rep"))
+    met = meeting_pairs(distinct, "rep", least, within)
     sided = met.join(distinct.select(F.col("rep").alias("a"), F.col("set").alias("sa")), "a").join(distinct.select(F.col("rep").alias("b"), F.col("set").alias("sb")), "b")
     return sided.withColumn("similarity", overlap(F.col("sa"), F.col("sb"))).where(F.col("similarity") >= least).select("a", "b", "similarity")
 
 
+def similar_spellings(texts: DataFrame, text: str, similarity: Callable[[Column, Column], Column], least: float, share: float) -> DataFrame:
+    """a < b, similarity of distinct texts that are alike by a measure, at least so much; share is what of their numbered bigrams such texts have in common for sure."""
+    numbered = F.transform(bigrams(F.col(text)), lambda g, i: F.concat(g, F.size(F.filter(F.slice(bigrams(F.col(text)), 1, i + 1), lambda h: h == g)).cast("string")))
+    sets = texts.select(text).distinct().select(F.col(text).alias("t"), numbered.alias("set"))
+    met = meeting_pairs(sets, "t", share).withColumn("similarity", similarity(F.col("a"), F.col("b")))
+    return met.where(F.col("similarity") >= least)
+
+
 def places(scored: DataFrame, order: list[Column], most: int) -> DataFrame:
     """The best rows with their rank r; cut first, so that the global window sees few rows."""
     return scored.orderBy(*order).limit(most).withColumn("r", F.row_number().over(Window.orderBy(*order)))

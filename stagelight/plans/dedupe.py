@@ -19,23 +19,30 @@ def _numbered(s: Star) -> DataFrame:
     return s.showings.withColumn("row_id", F.struct("showing_id", "work_id", "venue_id", "price"))
 
 
-@plan("close_pairs", """
-with p as (select work_id, venue_id, price, shows_at from showings)
-select a.venue_id, least(a.price, b.price) as a, greatest(a.price, b.price) as b, abs(date_diff('second', a.shows_at, b.shows_at)) as gap from p a join p b on a.venue_id = b.venue_id and a.price < b.price
-and abs(date_diff('second', a.shows_at, b.shows_at)) between 1 and 119
-""")
+_PAIR_SQL = """
+with p as (select work_id, venue_id, shows_at, title, name, row(showing_id, price) as id, showing_id, price from showings join works using (work_id) join venues using (venue_id))
+select a.work_id, a.venue_id, a.title, a.name, a.showing_id as a_id, a.price as a_price, b.showing_id as b_id, b.price as b_price, abs(date_diff('second', a.shows_at, b.shows_at)) as gap
+from p a join p b on a.work_id = b.work_id and a.venue_id = b.venue_id and a.id < b.id and """
+
+
+def _pairs(s: Star, seconds: int, zero: bool) -> DataFrame:
+    """Pairs of showings of one work at one venue, with the names that a report shows; rows are told apart by all that identifies them."""
+    rows = s.showings.withColumn("row_id", F.struct("showing_id", "price"))
+    found = D.close_pairs(rows, ["work_id", "venue_id"], "shows_at", "row_id", seconds, zero)
+    named = found.join(s.works.select("work_id", "title"), "work_id").join(s.venues.select("venue_id", "name"), "venue_id")
+    return named.select("work_id", "venue_id", "title", "name", F.col("a.showing_id").alias("a_id"), F.col("a.price").alias("a_price"), F.col("b.showing_id").alias("b_id"), F.col("b.price").alias("b_price"), "gap")
+
+
+@plan("close_pairs", _PAIR_SQL + "abs(date_diff('second', a.shows_at, b.shows_at)) between 1 and 119")
 def close_pairs(s: Star) -> DataFrame:
-    """An interval self-join, on buckets of time."""
-    return D.close_pairs(s.showings, ["venue_id"], "shows_at", "price", 120)
+    """Showings of a work at a venue within two minutes, but not at once: an interval self-join, on buckets of time."""
+    return _pairs(s, 120, zero=False)
 
 
-@plan("same_work_pairs", """
-select a.work_id, a.venue_id, least(a.price, b.price) as a, greatest(a.price, b.price) as b, abs(date_diff('second', a.shows_at, b.shows_at)) as gap from showings a join showings b on a.work_id = b.work_id and a.venue_id = b.venue_id and a.price < b.price
-and abs(date_diff('second', a.shows_at, b.shows_at)) < 864000
-""")
+@plan("same_work_pairs", _PAIR_SQL + "abs(date_diff('second', a.shows_at, b.shows_at)) < 864000")
 def same_work_pairs(s: Star) -> DataFrame:
-    """As above with zero gaps, on two keys."""
-    return D.close_pairs(s.showings, ["work_id", "venue_id"], "shows_at", "price", 864_000, zero=True)
+    """As above with zero gaps; within ten days, since the tables are sparser than a listing."""
+    return _pairs(s, 864_000, zero=True)
 
 
 @plan("superseded_rows", """

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from stagelight.operators import ingest as I
 from stagelight.operators import listing as L
+from stagelight.operators import search as S
 from stagelight.plans.listing import ts
 from stagelight.plans.registry import plan
+from stagelight.sources.saved import saved
 from stagelight.sources.star import Star
 
 RUN = "1998-06-01 00:00:00"
@@ -131,18 +133,34 @@ def synced_marks(s: Star) -> DataFrame:
 
 
 @plan("cascading_matches", """
-with a as (select work_id, title, year, maker from works where work_id % 20 = 3), b as (select work_id as other_id, title as t, year as y, maker as m, popularity from works where work_id % 20 <> 3),
-j as (select work_id, other_id, case when title = t and year = y then 0 when title = t and abs(year - y) <= 1 then 1 when maker = m and year = y then 2 end as tier, popularity from a join b on split_part(title, ' ', 2) = split_part(t, ' ', 2))
+with a as (select work_id, title, year, maker from works), b as (select work_id as other_id, title as t, year as y, maker as m, popularity from works),
+j as (select work_id, other_id, case when title = t and year = y then 0 when title = t and abs(year - y) = 1 then 1 when maker = m and year = y and split_part(title, ' ', 2) = split_part(t, ' ', 2) then 2
+ when year = y and 1 - levenshtein(title, t)::double / greatest(length(title), length(t)) >= 0.75 then 3 end as tier, popularity from a join b on work_id <> other_id and year between y - 1 and y + 1)
 select work_id, other_id, tier from j where tier is not null qualify row_number() over (partition by work_id order by tier, popularity desc, other_id) = 1
 """)
 def cascading_matches(s: Star) -> DataFrame:
-    """Candidates by tier, the first that holds."""
-    head = lambda c: F.split_part(c, F.lit(" "), F.lit(2))
-    a = s.works.where("work_id % 20 = 3").select("work_id", "title", "year", "maker")
-    b = s.works.where("work_id % 20 <> 3").select(F.col("work_id").alias("other_id"), F.col("title").alias("t"), F.col("year").alias("y"), F.col("maker").alias("m"), "popularity")
-    same, gap = F.col("title") == F.col("t"), F.abs(F.col("year") - F.col("y"))
-    tiers = [same & (gap == 0), same & (gap <= 1), (F.col("maker") == F.col("m")) & (gap == 0)]
-    return I.tiered_matches(a, b, "work_id", tiers, [F.desc("popularity"), F.asc("other_id")], head(F.col("title")) == head(F.col("t"))).select("work_id", "other_id", "tier")
+    """Every work's best other one by the first tier that holds: title and year, title and a year beside, maker and year, spelling and year.
+
+    Each tier is an equi join with the two best works of its key, of which one is another than the work that asks.
+    """
+    head = F.split_part("title", F.lit(" "), F.lit(2)).alias("head")
+    works = s.works.select("work_id", "title", "year", "maker", "popularity", head)
+
+    def best(*keys: str) -> DataFrame:
+        by = Window.partitionBy(*keys).orderBy(F.desc("popularity"), "work_id")
+        return works.withColumn("_n", F.row_number().over(by)).where("_n <= 2").select(*keys, F.col("work_id").alias("other_id"), F.col("popularity").alias("other_popularity"))
+
+    def tier(n: int, asking: DataFrame, *keys: str) -> DataFrame:
+        return asking.join(best(*keys), list(keys)).where("work_id <> other_id").select("work_id", "other_id", "other_popularity", F.lit(n).alias("tier"))
+
+    beside = works.withColumn("year", F.explode(F.array(F.col("year") - 1, F.col("year") + 1)))
+    # Titles alike in spelling, once for all works that have them: from 0.75 on they have a fifth of their bigrams in common.
+    alike = S.similar_spellings(works, "title", S.levenshtein_similarity, 0.75, 0.2).select("a", "b")
+    alike = saved(alike.unionByName(alike.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    spelled = works.withColumnRenamed("title", "a").join(alike, "a").withColumnRenamed("b", "title")
+    met = tier(0, works, "title", "year").unionByName(tier(1, beside, "title", "year")).unionByName(tier(2, works, "maker", "year", "head")).unionByName(tier(3, spelled, "title", "year"))
+    first = F.min_by(F.struct("other_id", "tier"), F.struct("tier", -F.col("other_popularity"), "other_id")).alias("f")
+    return met.groupBy("work_id").agg(first).select("work_id", "f.other_id", "f.tier")
 
 
 @plan("festival_tags", """
@@ -182,12 +200,23 @@ def override_union(s: Star) -> DataFrame:
 
 
 @plan("retry_due", """
-select work_id, work_id % 4 as attempts, case when work_id % 5 = 0 then false when work_id % 4 >= 3 and work_id % 9 < 7 then false when work_id % 9 < 1 then false else true end as due from works
+with t as (select venue_id, started_at, status = 'success' and found >= 60 as good from runs where started_at < timestamp '2024-01-20'),
+l as (select venue_id, max(case when good then started_at end) as done_at, max(started_at) as tried_at from t group by 1),
+n as (select venue_id, count(*) as attempts from t join l using (venue_id) where done_at is null or started_at > done_at group by 1)
+select venue_id, coalesce(attempts, 0) as attempts, not (coalesce(done_at >= timestamp '2024-01-18', false) or (coalesce(attempts, 0) >= 3 and tried_at >= timestamp '2024-01-20' - interval 18 hour) or tried_at >= timestamp '2024-01-20' - interval 6 hour) as due from l left join n using (venue_id)
 """)
 def retry_due(s: Star) -> DataFrame:
-    """Whether an enrichment is due, by its last success, attempts and age in days."""
-    done, attempts, age = F.col("work_id") % 5 == 0, F.col("work_id") % 4, F.col("work_id") % 9
-    return s.works.select("work_id", attempts.alias("attempts"), (~(done | ((attempts >= 3) & (age < 7)) | (age < 1))).alias("due"))
+    """From the log of runs, attempts since the last good one, and whether another is due: not soon after success, after any attempt, or after three or more in vain."""
+    now = ts("2024-01-20")
+    t = s.runs.where(F.col("started_at") < now).withColumn("good", (F.col("status") == "success") & (F.col("found") >= 60))
+    t = t.select("venue_id", "started_at", F.when(F.col("good"), F.col("started_at")).alias("good_at"))
+    l = t.groupBy("venue_id").agg(F.max("good_at").alias("done_at"), F.max("started_at").alias("tried_at"))  # noqa: E741
+    n = t.join(l.select("venue_id", "done_at"), "venue_id").where("done_at is null or started_at > done_at").groupBy("venue_id").agg(F.count("*").alias("attempts"))
+    before = lambda hours: F.timestamp_add("HOUR", F.lit(-hours), now)
+    attempts = F.coalesce("attempts", F.lit(0))
+    recent = F.coalesce(F.col("done_at") >= before(48), F.lit(False))
+    waits = recent | ((attempts >= 3) & (F.col("tried_at") >= before(18))) | (F.col("tried_at") >= before(6))
+    return l.join(n, "venue_id", "left").select("venue_id", attempts.alias("attempts"), (~waits).alias("due"))
 
 
 @plan("dedupe_ladder", """

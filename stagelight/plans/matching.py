@@ -44,7 +44,7 @@ def containment_matches(s: Star) -> DataFrame:
 with n as (select work_id, title, {_NOISE_SQL} as noisy, year, runtime, popularity, work_id % 3 as k from works),
 m as (select *, case when k = 0 then year when k = 1 then year + 1 end as y2, case when k = 0 then runtime + 4 when k = 1 then runtime + 20 end as r2 from n)
 select work_id, case when r2 is null then 'unknown' when abs(runtime - r2) <= 5 then 'match' when abs(runtime - r2) <= 15 then 'close' else 'apart' end as runtime_check,
- round(0.4 * {sim(tri('title'), tri('title'))} + 0.25 * case when y2 is null then 0.5 when y2 = year then 1 else 0.6 end + 0.2 * case when r2 is null then 0.5 when abs(runtime - r2) <= 5 then 1 else 0 end + 0.15 * least(1.0, popularity / 1000), 6) as confidence,
+ round(0.4 * {sim(tri('noisy'), tri('title'))} + 0.25 * case when y2 is null then 0.5 when y2 = year then 1 else 0.6 end + 0.2 * case when r2 is null then 0.5 when abs(runtime - r2) <= 5 then 1 else 0 end + 0.15 * least(1.0, popularity / 1000), 6) as confidence,
  least(1.0, case when len(string_split(title, ' ')) = 2 then 0.2 else 0.4 end + case when length(title) <= 5 then 0.2 else 0 end + case when title like 'old %' or title like 'red %' then 0.25 else 0 end + case when y2 is null then 0.3 else 0 end)::double as ambiguity from m
 """)
 def match_confidence(s: Star) -> DataFrame:
@@ -54,19 +54,19 @@ def match_confidence(s: Star) -> DataFrame:
     year = F.when(F.col("y2").isNull(), 0.5).when(F.col("y2") == F.col("year"), 1.0).otherwise(0.6)
     check = S.runtime_check(F.col("runtime"), F.col("r2"))
     run = F.when(check == "unknown", 0.5).when(check == "match", 1.0).otherwise(0.0)
-    alike = S.overlap(S.trigrams(F.col("title")), S.trigrams(F.col("title")))
+    alike = S.overlap(S.trigrams(F.col("noisy")), S.trigrams(F.col("title")))
     return m.select("work_id", check.alias("runtime_check"), F.round(S.confidence(alike, year, run, F.least(F.lit(1.0), F.col("popularity") / 1000)), 6).alias("confidence"), S.ambiguity(F.col("title"), F.col("y2"), ["old", "red"]).alias("ambiguity"))
 
 
 @plan("contained_similarities", f"""
 with n as (select work_id, title, lower({_NOISE_SQL}) as t from works)
 select work_id, round(case when t = title then 1 when contains(t, title) then length(title)::double / length(t) else 1 - levenshtein(t, title)::double / greatest(length(t), length(title)) end, 6) as similarity,
- round(len(list_intersect(list_distinct(list_filter(regexp_split_to_array(t, '[^a-z0-9]+'), lambda w: w <> '')), list_distinct(string_split(title, ' '))))::double / 2, 6) as words from n where title like '% %'
+ round(len(list_intersect(list_distinct(list_filter(regexp_split_to_array(t, '[^a-z0-9]+'), lambda w: w <> '')), list_distinct(string_split(title, ' '))))::double / least(len(list_distinct(list_filter(regexp_split_to_array(t, '[^a-z0-9]+'), lambda w: w <> ''))), len(list_distinct(string_split(title, ' ')))), 6) as words from n
 """)
 def contained_similarities(s: Star) -> DataFrame:
     """F17, F21."""
     t = F.lower("noisy")
-    return _noisy(s).where("title like '% %'").select("work_id", F.round(S.contained_similarity(t, F.col("title")), 6).alias("similarity"), F.round(S.word_overlap(t, F.col("title")), 6).alias("words"))
+    return _noisy(s).select("work_id", F.round(S.contained_similarity(t, F.col("title")), 6).alias("similarity"), F.round(S.word_overlap(t, F.col("title")), 6).alias("words"))
 
 
 @plan("word_similarities", f"""

@@ -87,14 +87,13 @@ def page_urls(s: Star) -> DataFrame:
 
 @plan("venue_distances", """
 select venue_id, round(2 * 3958.8 * asin(least(1.0, sqrt(power(sin((51.5 - lat) * pi() / 360), 2) + cos(lat * pi() / 180) * cos(51.5 * pi() / 180) * power(sin((-0.12 - lng) * pi() / 360), 2)))), 4) as miles,
- lat between 51.3 and 51.7 and lng between -0.5 and 0.2 as in_box, (lng > -0.5 and lng < 0.1 and lat > 51.35 and lat < 51.6) as in_ring from venues where not (venue_id % 50 in (5, 30) or venue_id % 90 in (10, 70))
+ lat between 51.3::double and 51.7::double and lng between -0.5::double and 0.2::double as in_box, ((lat < 51.35::double) <> (lat < 51.6::double)) and ((lng < 0.1::double) <> (lng < -0.5::double)) as in_ring from venues
 """)
 def venue_distances(s: Star) -> DataFrame:
     """Distance, box and polygon."""
     ring = [(-0.5, 51.35), (0.1, 51.35), (0.1, 51.6), (-0.5, 51.6)]
     miles = values.haversine_miles(F.col("lat"), F.col("lng"), F.lit(51.5), F.lit(-0.12))
-    edge = (F.col("venue_id") % 50).isin(5, 30) | (F.col("venue_id") % 90).isin(10, 70)  # on the ring, or its line
-    return s.venues.where(~edge).select("venue_id", F.round(miles, 4).alias("miles"), values.in_box(F.col("lat"), F.col("lng")).alias("in_box"), values.in_polygon(F.col("lng"), F.col("lat"), ring).alias("in_ring"))
+    return s.venues.select("venue_id", F.round(miles, 4).alias("miles"), values.in_box(F.col("lat"), F.col("lng")).alias("in_box"), values.in_polygon(F.col("lng"), F.col("lat"), ring).alias("in_ring"))
 
 
 @plan("reachable", """

@@ -33,13 +33,25 @@ def term_index(s: Star) -> DataFrame:
     return S.term_index(s.works, "work_id", {"title": "A", "maker": "B", "genre": "C"}).withColumn("weight", F.round("weight", 6))
 
 
-@plan("term_search", """
-select work_id, round(sum(case when term = 'ring' then 1.0 else 0.2 end), 6)::double as score from (select distinct work_id, term from (select work_id, unnest(string_split(lower(title), ' ')) as term from works union all select work_id, genre from works)) where term in ('ring', 'economy') group by 1 having count(*) = 2
-""")
+_WEB_SQL = r"""
+with f as (select work_id, 1 as part, title as t, 1.0::double as weight from works union all select work_id, 2, maker, 0.4::double from works union all select work_id, 3, genre, 0.2::double from works),
+w as (select work_id, part, weight, list_filter(regexp_split_to_array(lower(t), '[^a-z0-9]+'), lambda x: x <> '') as ts from f),
+e as (select work_id, part, weight, unnest(ts) as term, generate_subscripts(ts, 1) as k from w),
+p as (select work_id, term, weight, row_number() over (partition by work_id order by part, k) as pos from e),
+d as (select work_id from p group by 1 having (bool_or(term = 'small') and bool_or(term = 'ring') and work_id in (select x.work_id from p x join p y on x.work_id = y.work_id and x.term = 'small' and y.term = 'ring' and y.pos = x.pos + 1) and not bool_or(term = 'economy')) or (bool_or(term = 'bolt') and bool_or(term = 'standard'))),
+h as (select work_id, term, weight, pos, row_number() over (partition by work_id order by pos) as i, sum(1 / weight) over (partition by work_id order by pos) as inv from p join d using (work_id) where term in ('small', 'ring', 'bolt', 'standard')),
+l as (select e.work_id, e.i, t.term, max(t.i) as j from h e join h t on t.work_id = e.work_id and t.i <= e.i group by 1, 2, 3),
+b as (select work_id, i, min(j) as b from l group by 1, 2 having count(*) = (select count(distinct term) from h where h.work_id = l.work_id)),
+c as (select *, lag(b) over (partition by work_id order by i) as before from b)
+select c.work_id, round(sum((c.i - c.b + 1) / (z.inv - a.inv + 1 / a.weight) / (1 + (z.pos - a.pos) - (c.i - c.b))), 6) as score from c join h a on a.work_id = c.work_id and a.i = c.b join h z on z.work_id = c.work_id and z.i = c.i where before is null or before < c.b group by 1
+"""
+
+
+@plan("term_search", _WEB_SQL)
 def term_search(s: Star) -> DataFrame:
-    """F1, F2: all terms of the query; the score sums weights, an approximation of cover density."""
-    index = S.term_index(s.works, "work_id", {"title": "A", "genre": "C"})
-    return S.term_matches(index, "work_id", ["ring", "economy"]).withColumn("score", F.round("score", 6))
+    """a web query with a phrase, an excluded word and an alternative, ranked by cover density."""
+    positions = S.term_positions(s.works, "work_id", {"title": "A", "maker": "B", "genre": "C"})
+    return S.web_matches(positions, "work_id", '"small ring" -economy or bolt standard').withColumn("score", F.round("score", 6))
 
 
 @plan("trigram_search", f"""
@@ -74,22 +86,24 @@ def hybrid_search(s: Star) -> DataFrame:
 
 
 @plan("similar_titles", f"""
-with d as (select {tri('title')} as t, min(work_id) as rep from works group by list_sort({tri('title')}), 1), e as (select list_sort(t) as t, min(rep) as rep from d group by 1)
-select a.rep as a, b.rep as b, round({sim('a.t', 'b.t')}, 6) as similarity from e a join e b on a.rep < b.rep where {sim('a.t', 'b.t')} >= 0.5
+with d as (select list_sort({tri('title')}) as t, year, min(work_id) as rep from works group by 1, 2)
+select a.rep as a, b.rep as b, round({sim('a.t', 'b.t')}, 6) as similarity from d a join d b on a.rep < b.rep and a.year = b.year where {sim('a.t', 'b.t')} >= 0.4 order by {sim('a.t', 'b.t')} desc, a.rep, b.rep limit 200
 """)
 def similar_titles(s: Star) -> DataFrame:
-    """A similarity self-join through rare trigrams."""
-    return S.similar_pairs(s.works, "work_id", "title", 0.5).withColumn("similarity", F.round("similarity", 6))
+    """The 200 most similar pairs of works of one year, a title standing for all works of its year that have it; through rare trigrams."""
+    found = S.similar_pairs(s.works, "work_id", "title", 0.4, ["year"])
+    return found.orderBy(F.desc("similarity"), "a", "b").limit(200).withColumn("similarity", F.round("similarity", 6))
 
 
 @plan("title_matches", """
-with t as (select distinct title from works) select a.title as a, b.title as b, round(1 - levenshtein(a.title, b.title)::double / greatest(length(a.title), length(b.title)), 6) as similarity from t a join t b on a.title < b.title and split_part(a.title, ' ', 1) = split_part(b.title, ' ', 1)
+with t as (select distinct title from works union select distinct title || ' ii' from works where work_id % 2 = 0)
+select a.title as a, b.title as b, round(1 - levenshtein(a.title, b.title)::double / greatest(length(a.title), length(b.title)), 6) as similarity from t a join t b on a.title < b.title
+where 1 - levenshtein(a.title, b.title)::double / greatest(length(a.title), length(b.title)) >= 0.8
 """)
 def title_matches(s: Star) -> DataFrame:
-    """Spelling similarity of titles that begin alike."""
-    t = s.works.select("title").distinct().withColumn("head", F.split_part("title", F.lit(" "), F.lit(1)))
-    p = t.withColumnRenamed("title", "a").join(t.withColumnRenamed("title", "b"), "head").where("a < b")
-    return p.select("a", "b", F.round(S.levenshtein_similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
+    """titles alike in spelling from 0.8 on, with sequels among them; through rare bigrams, of which such titles have three tenths in common."""
+    t = s.works.select("title").union(s.works.where("work_id % 2 = 0").select(F.concat("title", F.lit(" ii"))))
+    return S.similar_spellings(t, "title", S.levenshtein_similarity, 0.8, 0.3).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 @plan("length_aware_matches", f"""
@@ -159,20 +173,27 @@ def fuzzy_terms(s: Star) -> DataFrame:
 
 
 @plan("external_scores", """
-with c as (select w.work_id, o.work_id as other_id, w.year - o.year as gap, w.title = o.title as same, o.popularity, count(*) over (partition by w.work_id) as rivals from works w join works o on o.genre = w.genre and split_part(o.title, ' ', 2) = split_part(w.title, ' ', 2) and o.work_id <> w.work_id where w.work_id % 100 = 7),
-s as (select work_id, other_id, round(0.7 * (case when same then 1 else 0.5 end) + case when gap = 0 then 0.2 when abs(gap) <= 1 then 0.1 else -0.1 end + 0.1 * ln(popularity) / 10 - case when rivals > 10 then 0.05 else 0 end, 6) as score from c)
-select * from s qualify row_number() over (partition by work_id order by score desc, other_id) = 1
+with c as (select w.work_id, o.work_id as other_id, w.year - o.year as gap, w.title = o.title as same, o.popularity, count(*) over (partition by w.work_id) as rivals from works w join works o on o.genre = w.genre and split_part(o.title, ' ', 2) = split_part(w.title, ' ', 2) and o.work_id <> w.work_id),
+s as (select work_id, other_id, 0.7::double * (case when same then 1 else 0.5::double end) + case when gap = 0 then 0.2::double when abs(gap) <= 1 then 0.1::double else -0.1::double end + 0.1::double * ln(popularity) / 10 - case when rivals > 10 then 0.05::double else 0 end as score from c)
+select work_id, other_id, round(score, 6) as score from s qualify row_number() over (partition by work_id order by round(score, 9) desc, other_id) = 1
 """)
 def external_scores(s: Star) -> DataFrame:
-    """Candidates scored by title, year and popularity, with a penalty for competition; the best one each."""
+    """Every work's candidates scored by title, year and popularity, with a penalty for competition; the best one each.
+
+    Candidates of one title and year differ in popularity alone, so the two best of each stand for them, whichever asks.
+    """
     head = F.split_part("title", F.lit(" "), F.lit(2))
-    w = s.works.where("work_id % 100 = 7").select("work_id", "genre", F.col("title").alias("t"), F.col("year").alias("y"), head.alias("head"))
+    w = s.works.select("work_id", "genre", F.col("title").alias("t"), F.col("year").alias("y"), head.alias("head"))
+    counts = w.groupBy("genre", "head").agg((F.count("*") - 1).alias("rivals"))
+    best = Window.partitionBy("genre", "head", "title", "year").orderBy(F.desc("popularity"), "other_id")
     o = s.works.select(F.col("work_id").alias("other_id"), "genre", "title", "year", "popularity", head.alias("head"))
-    c = w.join(o, ["genre", "head"]).where("work_id <> other_id").withColumn("rivals", F.count("*").over(Window.partitionBy("work_id")))
+    o = o.withColumn("p", F.row_number().over(best)).where("p <= 2").drop("p")
+    c = w.join(counts, ["genre", "head"]).join(o, ["genre", "head"]).where("work_id <> other_id")
     gap = F.abs(F.col("y") - F.col("year"))
     score = 0.7 * F.when(F.col("t") == F.col("title"), 1.0).otherwise(0.5) + F.when(gap == 0, 0.2).when(gap <= 1, 0.1).otherwise(-0.1) + 0.1 * F.log("popularity") / 10 - F.when(F.col("rivals") > 10, 0.05).otherwise(0.0)
-    scored = c.select("work_id", "other_id", F.round(score, 6).alias("score"))
-    return scored.withColumn("p", F.row_number().over(Window.partitionBy("work_id").orderBy(F.desc("score"), "other_id"))).where("p = 1").drop("p")
+    scored = c.select("work_id", "other_id", score.alias("score"))
+    first = F.min_by(F.struct("other_id", "score"), F.struct(-F.round("score", 9), "other_id")).alias("f")
+    return scored.groupBy("work_id").agg(first).select("work_id", "f.other_id", F.round("f.score", 6).alias("score"))
 
 
 @plan("ranked_lookup", """
@@ -201,13 +222,13 @@ def dominant_titles(s: Star) -> DataFrame:
 
 
 @plan("dice_pairs", """
-with t as (select distinct title from works), b as (select title, list_transform(range(1, length(title)), lambda i: substr(title, i, 2)) as g from t),
+with t as (select distinct title from works union select distinct title || ' ii' from works where work_id % 2 = 0), b as (select title, list_transform(range(1, length(title)), lambda i: substr(title, i, 2)) as g from t),
 u as (select title, unnest(g) as x from b), c as (select title, x, count(*) as n from u group by 1, 2),
-p as (select a.title as a, b.title as b, 2.0 * sum(least(a.n, b.n)) / (length(a.title) + length(b.title) - 2) as dice from c a join c b on a.x = b.x and a.title < b.title and split_part(a.title, ' ', 1) = split_part(b.title, ' ', 1) group by a.title, b.title)
-select a, b, round(dice, 6) as dice from p
+p as (select a.title as a, b.title as b, 2.0 * sum(least(a.n, b.n)) / (length(a.title) + length(b.title) - 2) as dice from c a join c b on a.x = b.x and a.title < b.title group by a.title, b.title)
+select a, b, round(dice, 6) as dice, dice >= 0.85 or (least(length(a), length(b)) >= 6 and (contains(a, b) or contains(b, a))) as same from p where dice >= 0.6
 """)
 def dice_pairs(s: Star) -> DataFrame:
-    """Bigram similarity counted with repeats."""
-    t = s.works.select("title").distinct().withColumn("head", F.split_part("title", F.lit(" "), F.lit(1)))
-    p = t.withColumnRenamed("title", "a").join(t.withColumnRenamed("title", "b"), "head").where("a < b")
-    return p.select("a", "b", F.round(S.dice(F.col("a"), F.col("b")), 6).alias("dice")).where("dice > 0")
+    """Titles alike by bigrams, counted with repeats, from 0.6 on, through rare bigrams; and whether they count as one title: by containment or from 0.85 on."""
+    t = s.works.select("title").union(s.works.where("work_id % 2 = 0").select(F.concat("title", F.lit(" ii"))))
+    found = S.similar_spellings(t, "title", S.dice, 0.6, 0.6 / 1.4)  # a Dice share of d is one of d / (2 - d) of the union
+    return found.select("a", "b", F.round("similarity", 6).alias("dice"), S.titles_match(F.col("a"), F.col("b")).alias("same"))

@@ -18,8 +18,8 @@ showings as (select l_orderkey * 8 + l_linenumber as showing_id, l_partkey as wo
   case when l_quantity < 5 then '' else 'https://tickets.example/' || (l_orderkey % 20000) end as url,
   case when l_discount > 0.08 then null else 'src' || (l_orderkey % 5000) end as source_id,
   l_shipdate - to_days(l_quantity::int) as scraped_at, l_extendedprice as price from lineitem),
-venues as (select s_suppkey as venue_id, s_name as name, n_name as chain, r_name as area, 51.3 + (s_suppkey % 50) * 0.01 as lat,
-  -0.6 + (s_suppkey % 90) * 0.01 as lng, s_acctbal as rating from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey),
+venues as (select s_suppkey as venue_id, s_name as name, n_name as chain, r_name as area, 51.3::double + (s_suppkey % 50) * 0.01::double as lat,
+  -0.6::double + (s_suppkey % 90) * 0.01::double as lng, s_acctbal as rating from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey),
 runs as (select event_id as run_id, user_id as venue_id, ts as started_at, case when event_type = 'error' then 'failed' else 'success' end as status,
   case when value < 20 then 0 else floor(value)::int end as found, event_type from events),
 marks as (select o_custkey as user_id, o_orderkey % 997 as work_id, case o_orderstatus when 'F' then 'seen' when 'O' then 'want' else 'skip' end as status,
