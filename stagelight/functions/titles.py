@@ -7,13 +7,46 @@ from pyspark.sql import functions as F
 
 from stagelight.operators.search import folded
 
-#: Programme names before a colon that are no part of a title, and endings in brackets or after a dash.
-PREFIXES = ["preview", "members screening", "family film club", "relaxed screening", "silver screen", "late night", "q&a", "double bill", "classic matinee", "sing-along"]
-SUFFIXES = ["35mm", "70mm", "imax", "4k restoration", "director's cut", "subtitled", "q&a", "intro", "live score", "sold out", "extended cut", "anniversary"]
-#: What shows that an entry is no film, and events by pattern, the first that fits being the main one.
-EVENTS = [("quiz", "quiz"), ("q_and_a", r"q\s*&\s*a|in conversation"), ("sing_along", r"sing[- ]?a?long"), ("live", r"\blive\b|encore"), ("preview", "preview"), ("double_bill", r"double bill|\+"), ("relaxed", "relaxed|autism"), ("workshop", "workshop|masterclass")]
-FORMATS = [("70mm", r"\b70\s?mm\b"), ("35mm", r"\b35\s?mm\b"), ("imax", r"\bimax\b"), ("4k", r"\b4k\b"), ("3d", r"\b3d\b")]
-NOT_FILMS = ["quiz", "comedy night", "open mic", "workshop", "karaoke", "market", "book club", "party"]
+#: Programme names before a colon, bar or dash that are no part of a title.
+PREFIXES = """
+saturday morning picture club; kids club; kids' club; family film club; family film; toddler time; toddler club; big scream; baby club
+london premiere; uk premiere; world premiere; europe premiere; european premiere; preview; sneak preview; advance screening; special screening
+member screening; members screening; member's screening; members' screening; relaxed screening; dog friendly screening; naturist screening
+35mm; 70mm; 70mm imax; imax; 4k restoration; restoration; director's cut; directors cut
+cult classic; cult classics; classic; classics; throwback thursday; flashback; film club; cinema club; late night; midnight madness
+double bill; double feature; triple bill; marathon; retrospective; q&a; live q&a; with q&a
+sing-along; sing along; singalong; quote-along; quote along; quotealong
+christmas classic; christmas classics; holiday film; festive film; galentine's day; galentines day; valentine's day; valentines day; valentine's throwback
+dochouse; pink palace; classic matinee; silver screen; seniors matinee; seniors' matinee; seniors paid matinee; seniors' paid matinee; seniors free matinee; seniors' free matinee
+queer horror night; queer horror nights; varda film club; awards lunch; bar trash; pitchblack playback; phoenix classic; phoenix classics; the liberated film club
+surreal sinema; sürreal sinema; never watching movies; drink & dine; drink dine; rbo; rbo encore; roh encore; encore; nt live; met opera
+screen cuba presents; shasha movies presents; lafs presents; lost reels; funeral parade presents; queer east presents; girls in film presents; east london doc club
+woman with a movie camera preview; beyond; japanese film club; skateboard film club; offbeat folk film festival; rio forever; spare ribs club
+parent and baby screening; parents and babies screening; bloody mary film club; cine-real presents; cinereal presents; club room; camp classics presents; better than nothing presents
+""".replace("\n", "; ").strip("; ").split("; ")
+#: Endings of programme names that any name may stand before.
+PRESENTERS = ["film club", "film festival", "film collective", "film society", "films"]
+#: Endings in brackets or after a dash.
+SUFFIXES = ["35mm", "70mm", "imax", "3d", "4k restoration", "4k remaster", "director's cut", "directors cut", "subtitled", "with subtitles", "q&a", "intro", "live score", "sold out", "extended cut", "final cut", "anniversary", "preview", "sing-along", "relaxed"]
+#: Events by pattern, the first that fits being the main one.
+EVENTS = [
+    ("quiz", r"\bquiz\b"), ("restoration_premiere", r"\brestoration\s+premiere\b"), ("premiere", r"\bpremiere\b"), ("preview", r"\bpreview\b"), ("singalong", r"\bsing[\s-]*a[\s-]*long\b"), ("quote_along", r"\bquote[\s-]*a[\s-]*long\b"),
+    ("q_and_a", r"\bq\s*&\s*a\b"), ("intro", r"\bintro(?:duced)?\s+by\b|\+\s*intro\b|\bwith\s+intro\b"), ("discussion", r"\bpanel\s+discussion\b|\+\s*discussion\b"), ("double_bill", r"\bdouble\s+(?:bill|feature)\b|\b2\s+films\b"),
+    ("marathon", r"\bmarathon\b"), ("anniversary", r"\b\d+(?:st|nd|rd|th)\s+anniversary\b|\banniversary\s+screening\b"), ("members_only", r"\bmembers[\s']*only\b|\bmembership\s+screening\b"), ("relaxed", r"\brelaxed\s+(?:screening|film|cinema)\b"),
+]
+#: Formats by pattern, the narrower before the wider.
+FORMATS = [
+    ("70mm_imax", r"\b70mm\s+imax\b"), ("70mm", r"\b70\s?mm\b"), ("35mm", r"\b35\s?mm\b"), ("imax_laser", r"\bimax\s+(?:with\s+)?laser\b"), ("imax", r"\bimax\b"), ("dolby_cinema", r"\bdolby\s+cinema\b"), ("4dx", r"\b4dx\b"), ("screenx", r"\bscreenx\b"),
+    ("dcp_4k", r"\b4k\s+(?:restoration|remaster(?:ed)?)\b|\(4k\)"),
+]
+#: What else an entry offers, by pattern; subtitles by language.
+ACCESS = [("3d", r"\b(?:in\s+)?3d\b|\b3-d\b"), ("relaxed", r"\brelaxed\s+(?:screening|film|cinema|performance)\b"), ("subtitles", r"\bsubtitles?\b|\bsubtitled\b|\bsubt\b|\bcc\b(?!\s*\.)"), ("audio_description", r"\baudio[\s-]+described?\b")]
+SUBTITLES = [("fr", "french"), ("de", "german"), ("es", "spanish"), ("it", "italian"), ("en", "english"), ("ja", "japanese")]
+#: Entries that are no films, by pattern, and broadcasts and concerts.
+NOT_FILMS = ["^(?:quiz|trivia)\\b", "\\bquiz\\s*night\\b", "^cafés?\\s+philo", "^come\\s+and\\s+sing", "^private\\s+hire", "^reading\\s+group", "^baby\\s+comptines", "\\bmusical\\s+bingo\\b", "\\bcomedy\\s+(?:club|night)\\b", "\\bmember\\s+(?:poll|quiz)\\b", "\\bin\\s+conversation\\s+with\\b"]
+BROADCASTS = ["national theatre live", "nt live", "met opera live", "met opera encore", "royal opera house", "the royal opera", "roh live", "roh encore", "roh cinema", "royal ballet", "bolshoi ballet", "rbo cinema season", "rbo encore", "rbo cinema", "exhibition on screen"]
+CONCERTS = r"\bin\s+concert\b|\b(?:live|concert|tour|performance)\b.*\b(?:anniversary|tribute)\b|\b(?:anniversary|tribute)\b.*\b(?:live|concert|tour|performance)\b"
+KEYWORDS = ["quiz", "comedy night", "open mic", "workshop", "karaoke", "market", "book club", "party"]
 
 
 def decoded(text: Column) -> Column:
@@ -32,19 +65,26 @@ def squeezed(text: Column) -> Column:
 
 
 def _either(words: list[str]) -> str:
-    return "|".join(w.replace("+", r"\+") for w in words)
+    """A pattern of these words, the longest first, with blanks of any width."""
+    return "|".join(w.replace("+", r"\+").replace(" ", r"\s+") for w in sorted(words, key=lambda w: (-len(w), w)))
+
+
+def _programme() -> str:
+    """A programme name and what parts it from the title; without a mark only for premieres."""
+    return rf"^\s*(?:({_either(PREFIXES)})\s*[:|\-–]\s*|((?:london|uk|world|european?)\s+premiere)\s+|([\w\s&'’-]+\s(?:{_either(PRESENTERS)})\s+presents?)\s*[:|\-–]\s*)"
 
 
 def prefix_of(title: Column) -> Column:
     """The programme name that a title begins with, or null."""
-    found = F.regexp_extract(F.lower(title), rf"^\s*({_either(PREFIXES)})\s*[:\-–]\s*", 1)
+    found = F.concat(*(F.regexp_extract(F.lower(title), _programme(), i) for i in (1, 2, 3)))
     return F.when(found != "", found)
 
 
 def cleaned(title: Column) -> Column:
     """Without references, programme name, format and version endings (three times over) and a trailing year."""
     text = squeezed(decoded(title))
-    text = F.regexp_replace(text, rf"(?i)^\s*({_either(PREFIXES)})\s*[:\-–]\s*", "")
+    for _ in range(2):  # a programme within a programme
+        text = F.regexp_replace(text, "(?i)" + _programme(), "")
     for _ in range(3):
         text = F.regexp_replace(text, rf"(?i)\s*([\(\[]\s*({_either(SUFFIXES)})[^\)\]]*[\)\]]|[-–+|]\s*({_either(SUFFIXES)})\b.*)\s*$", "")
     text = F.regexp_replace(text, r"\s*[\(\[](18|19|20)\d\d[\)\]]\s*$", "")
@@ -115,14 +155,29 @@ def formats(text: Column) -> Column:
     return F.array_compact(F.array(*(F.when(F.lower(text).rlike(p), kind) for kind, p in FORMATS)))
 
 
+def access(text: Column) -> Column:
+    return F.array_compact(F.array(*(F.when(F.lower(text).rlike(p), kind) for kind, p in ACCESS)))
+
+
+def subtitle_language(text: Column) -> Column:
+    """The first language of subtitles that is named, or null."""
+    return F.coalesce(*(F.when(F.lower(text).rlike(rf"\b{name}\s+(?:subtitles|st)\b" if code == "en" else rf"\b{name}\s+subtitles\b"), code) for code, name in SUBTITLES))
+
+
+def season_in(title: Column) -> Column:
+    """The season, series or presenter before a colon, or null."""
+    found = F.regexp_extract(title, r"(?i)^([A-Z][^:]{4,80}?\s+(?:Season|Retrospective|Series|Festival|Programme|Strand|presents?))\s*:", 1)
+    return F.when(found != "", found)
+
+
 def content_class(title: Column) -> Column:
-    low = F.lower(title)
-    return F.when(low.rlike(_either(NOT_FILMS)), "event").when(low.rlike(r"\b(nt|met|royal opera|ballet)\b.*\blive\b|encore"), "broadcast").otherwise("film")
+    low = F.trim(F.lower(title))
+    return F.when(low.rlike("|".join(NOT_FILMS)), "event").when(low.rlike(rf"^(?:{_either(BROADCASTS)})[:\s]|^berliner\s+philharmoniker"), "live_broadcast").when(low.rlike(CONCERTS), "concert").otherwise("film")
 
 
 def not_a_film(title: Column) -> Column:
     """Why an entry is likely no film: a pattern, a keyword, or null. The cleaned title is asked before the raw one."""
-    why = lambda t: F.when(F.lower(t).rlike(r"^(closed|private hire|tbc)\b"), "pattern").when(F.lower(t).rlike(_either(NOT_FILMS)), "keyword")
+    why = lambda t: F.when(F.lower(t).rlike(r"^(closed|private hire|tbc)\b"), "pattern").when(F.lower(t).rlike(_either(KEYWORDS)), "keyword")
     return F.coalesce(why(cleaned(title)), why(title))
 
 

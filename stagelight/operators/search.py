@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Letters with marks and what they are without.
@@ -89,6 +89,34 @@ def web_matches(positions: DataFrame, key: str, query: str) -> DataFrame:
     return own.select(key, F.expr(density).alias("score"))
 
 
+def queries_of(spark: SparkSession, queries: list[str]) -> DataFrame:
+    """query, k, term: the terms of a few stated queries."""
+    return spark.createDataFrame([(q,) for q in queries], "query string").select("query", F.posexplode(terms(F.col("query"))).alias("k", "term"))
+
+
+def field_words(docs: DataFrame, keys: list[str], boosts: dict[str, int]) -> DataFrame:
+    """keys, boost, word: the words of each field with the field's boost."""
+    tagged = [docs.select(*keys, F.lit(b).alias("boost"), F.explode(terms(F.col(c))).alias("word")) for c, b in boosts.items()]
+    out = tagged[0]
+    for t in tagged[1:]:
+        out = out.unionByName(t)
+    return out
+
+
+def fuzzy_hits(words: DataFrame, queries: DataFrame, keys: list[str], tolerance: float = 0.3) -> DataFrame:
+    """query, keys, score of documents with a word that equals, begins with or is spelled nearly as a term; more terms met count over.
+
+    The vocabulary is matched, not the documents: distinct words meet the few terms, and hits go back to their documents.
+    """
+    prefix, apart = F.startswith("word", "term"), F.levenshtein("word", "term")
+    met = words.select("word").distinct().join(F.broadcast(queries), prefix | (apart <= F.round(tolerance * F.length("term"))))
+    longest = F.greatest(F.length("word"), F.length("term"))
+    quality = F.when(F.col("word") == F.col("term"), 1.0).when(prefix, 0.375 * F.length("term") / F.length("word") + 0.3).otherwise(0.45 * (1 - apart / longest))
+    hits = words.join(met.select("query", "k", "word", quality.alias("quality")), "word")
+    best = hits.groupBy("query", "k", *keys).agg(F.max(F.col("boost") * F.col("quality")).alias("score"))
+    return best.groupBy("query", *keys).agg((F.sum("score") * F.count("*")).alias("score"))
+
+
 def trigrams(text: Column) -> Column:
     """The set of trigrams of a text's words, each padded with two blanks before and one behind."""
     words = F.transform(terms(text), lambda w: F.concat(F.lit("  "), w, F.lit(" ")))

@@ -160,16 +160,25 @@ def showing_search(s: Star) -> DataFrame:
 
 
 @plan("fuzzy_terms", """
-with t as (select distinct unnest(string_split(title, ' ')) as term from works), q(query) as (values ('smal'), ('wdget'), ('ring'), ('bol'))
-select query, term, case when query = term then 3 when starts_with(term, query) then 2 else 1 end as kind from q, t where starts_with(term, query) or levenshtein(term, query) <= floor(0.3 * length(query))
+with q(query, k, term) as (values ('smal wdget', 1, 'smal'), ('smal wdget', 2, 'wdget'), ('ring', 1, 'ring'), ('bol 23', 1, 'bol'), ('bol 23', 2, '23')),
+d as (select 'work' as kind, work_id::varchar as id, title as t, 3 as boost from works union all select 'work', work_id::varchar, maker, 1 from works union all select 'venue', venue_id::varchar, name, 3 from venues union all select 'venue', venue_id::varchar, area, 1 from venues
+ union all select distinct 'maker', maker, maker, 1 from works),
+w as (select kind, id, boost, unnest(list_filter(regexp_split_to_array(lower(t), '[^a-z0-9]+'), lambda x: x <> '')) as word from d),
+m as (select query, k, kind, id, max(boost * case when word = term then 1::double when starts_with(word, term) then 0.375::double * length(term) / length(word) + 0.3::double else 0.45::double * (1 - levenshtein(word, term)::double / greatest(length(word), length(term))) end) as score
+ from q, w where starts_with(word, term) or levenshtein(word, term) <= round(0.3::double * length(term)) group by 1, 2, 3, 4),
+r as (select query, kind, id, sum(score) * count(*) as score, row_number() over (partition by query, kind order by round(sum(score) * count(*), 9) desc, id) as r from m group by 1, 2, 3)
+select query, kind, id, round(score, 6) as score, r from r where r <= case kind when 'work' then 12 when 'venue' then 6 else 5 end
 """)
 def fuzzy_terms(s: Star) -> DataFrame:
-    """prefix and fuzzy hits of a few query words in the vocabulary."""
-    t = s.works.select(F.explode(F.split("title", " ")).alias("term")).distinct()
-    q = s.spark.createDataFrame([("smal",), ("wdget",), ("ring",), ("bol",)], "query string")
-    prefix = F.startswith("term", "query")
-    met = t.join(F.broadcast(q), prefix | (F.levenshtein("term", "query") <= F.floor(0.3 * F.length("query"))))
-    return met.select("query", "term", F.when(F.col("query") == F.col("term"), 3).when(prefix, 2).otherwise(1).alias("kind"))
+    """prefix and fuzzy hits of a few stated queries among works, venues and makers, with field boosts; the best 12, 6 and 5."""
+    queries = S.queries_of(s.spark, ["smal wdget", "ring", "bol 23"])
+    named = lambda kind, df, key, fields: S.field_words(df.select(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("id"), *fields), ["kind", "id"], fields)
+    makers = s.works.select("maker").distinct()
+    words = named("work", s.works, "work_id", {"title": 3, "maker": 1}).unionByName(named("venue", s.venues, "venue_id", {"name": 3, "area": 1})).unionByName(named("maker", makers, "maker", {"maker": 1}))
+    hits = S.fuzzy_hits(words, queries, ["kind", "id"])
+    ranked = hits.withColumn("r", F.row_number().over(Window.partitionBy("query", "kind").orderBy(F.desc(F.round("score", 9)), "id")))
+    most = F.when(F.col("kind") == "work", 12).when(F.col("kind") == "venue", 6).otherwise(5)
+    return ranked.where(F.col("r") <= most).select("query", "kind", "id", F.round("score", 6).alias("score"), "r")
 
 
 @plan("external_scores", """

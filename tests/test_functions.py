@@ -142,3 +142,28 @@ def test_cover_density(spark):
     got = {r.id: r.score for r in search.web_matches(search.term_positions(docs, "id", {"a": "A", "b": "B"}), "id", "red ring").collect()}
     # A cover of n terms counts n / (sum of inverse weights) / (1 + words between).
     assert got == pytest.approx({1: 0.5, 2: 1.0, 3: 2 / 3.5, 4: 2.0})
+
+
+@pytest.mark.parametrize("title, clean, kind, events, formats", [
+    ("UK PREMIERE Iron Horse", "Iron Horse", "film", ["premiere"], []),
+    ("Saturday Morning Picture Club: Paddington (2014)", "Paddington", "film", [], []),
+    ("Late Night: Alien - Director's Cut", "Alien", "film", [], []),
+    ("Ealing Film Society presents: Kes", "Kes", "film", [], []),
+    ("Classic Matinee: Preview: Brief Encounter", "Brief Encounter", "film", ["preview"], []),
+    ("NT Live: Hamlet", "Hamlet", "live_broadcast", [], []),
+    ("Pub Quiz Night", "Pub Quiz Night", "event", ["quiz"], []),
+    ("Abba in Concert", "Abba in Concert", "concert", [], []),
+    ("Dune (70mm IMAX) + Q&A", "Dune", "film", ["q_and_a"], ["70mm_imax", "70mm", "imax"]),
+    ("Akira 4K Restoration, Japanese subtitles", "Akira 4K Restoration, Japanese subtitles", "film", [], ["dcp_4k"]),
+    ("Beyond the Hills", "Beyond the Hills", "film", [], []),
+])
+def test_title_rules(spark, title, clean, kind, events, formats):
+    t = F.lit(title)
+    r = spark.range(1).select(titles.cleaned(t).alias("clean"), titles.content_class(t).alias("kind"), titles.events(t).alias("events"), titles.formats(t).alias("formats")).first()
+    assert (r.clean, r.kind, r.events, r.formats) == (clean, kind, events, formats)
+
+
+def test_access_subtitles_and_seasons(spark):
+    assert one(spark, titles.access(F.lit("Relaxed screening in 3D, subtitled")), x=1) == ["3d", "relaxed", "subtitles"]
+    assert one(spark, titles.subtitle_language(F.lit("Ran with English ST")), x=1) == "en" and one(spark, titles.subtitle_language(F.lit("Ran")), x=1) is None
+    assert one(spark, titles.season_in(F.lit("Kurosawa Season: Ran")), x=1) == "Kurosawa Season" and one(spark, titles.season_in(F.lit("Ran: the film")), x=1) is None
