@@ -28,7 +28,6 @@ import hashlib
 import html as html_lib
 import re
 from collections.abc import Iterator
-from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -143,39 +142,57 @@ def blocks_of(html: str) -> tuple[int, list[str]]:
     return zone, [t for z, t in found if z == zone]
 
 
-def _word(word: str) -> int:
-    raw = word.encode("utf-8", "replace")
-    return crc32(raw) << 32 | crc32(raw[::-1])
-
-
-def starts(zone: int, block: str) -> np.ndarray:
-    """Hashes of the suffixes of a block, by their first RUN words; a shorter block has one, of all its words and its end."""
-    words = np.array([_word(w) for w in block.split(" ")] + [zone], dtype=np.uint64).view(np.int64)
-    salt = np.uint64((zone + 1) * BASE % (1 << 64))
-    if len(words) <= RUN:
-        return (Runs(words).all(len(words)) ^ salt).view(np.int64)
-    return (Runs(words[:-1]).all(RUN) ^ salt).view(np.int64)
-
-
-def picked(zone: int, block: str) -> np.ndarray:
-    """Those of them that are the least of PICK neighbours."""
-    hashes = starts(zone, block)
-    return hashes if len(hashes) < PICK else hashes[np.unique(least_at(hashes, PICK))]
-
-
-def uncovered(zone: int, block: str, repeated: set[int]) -> str:
-    """The block without the words that repeated runs cover."""
-    hashes = starts(zone, block)
-    hit = np.fromiter(map(repeated.__contains__, hashes.tolist()), dtype=bool, count=len(hashes))
+class Suffixes:
+    """The suffixes of a page's blocks by the hashes of their first RUN words; a shorter block has one, of all its words and its end."""
+
+    def __init__(self, zone: int, blocks: list[str]):
+        words = [b.split(" ") for b in blocks]
+        self.sizes = np.array([len(w) for w in words], dtype=np.int64)
+        flat = [w for block in words for w in block]
+        hashed = pd.util.hash_array(np.array(flat, dtype=object), categorize=False) if flat else np.empty(0, np.uint64)
+        runs, owner = Runs(hashed.view(np.int64)), np.repeat(np.arange(len(blocks)), self.sizes)
+        begin, short = np.cumsum(self.sizes) - self.sizes, self.sizes < RUN
+        every = runs.all(RUN)
+        inside = np.flatnonzero(owner[: len(every)] == owner[RUN - 1 :]) if len(every) else np.empty(0, np.int64)
+        whole = runs.at(begin[short], self.sizes[short]) ^ np.uint64(BASE)
+        block = np.concatenate((owner[inside], np.flatnonzero(short)))
+        order = np.argsort(block, kind="stable")
+        #: For each suffix its block, its place there and its hash, in order.
+        self.block = block[order]
+        self.place = np.concatenate((inside - begin[owner[inside]], np.zeros(int(short.sum()), np.int64)))[order]
+        self.hash = (np.concatenate((every[inside], whole))[order] ^ np.uint64((zone + 1) * 0x94D049BB133111EB % (1 << 64))).view(np.int64)
+
+    def picked(self) -> np.ndarray:
+        """Hashes of those that are the least of PICK neighbours of their block; of a block with fewer, all."""
+        n = np.bincount(self.block, minlength=len(self.sizes))
+        taken = (n < PICK)[self.block]
+        if len(self.hash) >= PICK:
+            taken[least_at(self.hash, PICK)[self.block[: len(self.block) - PICK + 1] == self.block[PICK - 1 :]]] = True
+        return np.unique(self.hash[taken])
+
+    def of_blocks_with(self, known: np.ndarray) -> np.ndarray:
+        """Hashes of all suffixes of the blocks that have one of those known."""
+        hit = np.unique(self.block[np.isin(self.hash, known)])
+        return np.unique(self.hash[np.isin(self.block, hit)])
+
+
+def unique_runs(zone: int, blocks: list[str], repeated: np.ndarray) -> list[str]:
+    """The blocks without the words that repeated runs cover; blocks that are covered whole go."""
+    suffixes = Suffixes(zone, blocks)
+    hit = np.isin(suffixes.hash, repeated)
     if not hit.any():
-        return block
-    words = block.split(" ")
-    if len(words) < RUN:
-        return ""
-    depth = np.zeros(len(words) + 1, dtype=np.int64)
-    np.add.at(depth, np.flatnonzero(hit), 1)
-    np.add.at(depth, np.flatnonzero(hit) + RUN, -1)
-    return " ".join(w for w, covered in zip(words, np.cumsum(depth), strict=False) if not covered)
+        return blocks
+    out = []
+    for i, block in enumerate(blocks):
+        places = suffixes.place[hit & (suffixes.block == i)]
+        if len(places):
+            depth = np.zeros(int(suffixes.sizes[i]) + RUN + 1, dtype=np.int64)
+            np.add.at(depth, places, 1)
+            np.add.at(depth, places + RUN, -1)
+            block = " ".join(w for w, covered in zip(block.split(" "), np.cumsum(depth).tolist(), strict=False) if not covered)
+        if block:
+            out.append(block)
+    return out
 
 
 def _digest(blocks: list[str]) -> bytes:
@@ -185,16 +202,12 @@ def _digest(blocks: list[str]) -> bytes:
 _SUFFIXES = "zone int, digest binary, hashes array<long>"
 
 
-def _distinct(arrays: list[np.ndarray]) -> np.ndarray:
-    return np.unique(np.concatenate(arrays)) if arrays else np.empty(0, np.int64)
-
-
 def _sampled(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for pages in batches:
         out = []
         for page in pages:
             zone, blocks = blocks_of(page or "")
-            out.append((zone, _digest(blocks), _distinct([picked(zone, b) for b in blocks])))
+            out.append((zone, _digest(blocks), Suffixes(zone, blocks).picked()))
         yield pd.DataFrame(out, columns=["zone", "digest", "hashes"])
 
 
@@ -204,9 +217,7 @@ def _whole(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFr
         out = []
         for page, hashes in zip(pages, repeated, strict=True):
             zone, blocks = blocks_of(page or "")
-            known = np.asarray(hashes, dtype=np.int64)
-            every = [starts(zone, b) for b in blocks]
-            out.append((zone, _digest(blocks), _distinct([h for h in every if np.isin(h, known).any()])))
+            out.append((zone, _digest(blocks), Suffixes(zone, blocks).of_blocks_with(np.asarray(hashes, dtype=np.int64))))
         yield pd.DataFrame(out, columns=["zone", "digest", "hashes"])
 
 
@@ -216,8 +227,7 @@ def _kept(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]
         for page, hashes in zip(pages, repeated, strict=True):
             zone, blocks = blocks_of(page or "")
             if hashes is not None and len(hashes):
-                known = set(hashes.tolist())
-                blocks = [left for b in blocks if (left := uncovered(zone, b, known))]
+                blocks = unique_runs(zone, blocks, np.asarray(hashes, dtype=np.int64))
             out.append("\n".join(blocks))
         yield pd.Series(out)
 

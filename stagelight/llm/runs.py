@@ -26,7 +26,7 @@ class Runs:
         up, self.down = _raised(self.n + 1)
         self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words.view(np.uint64) * up[: self.n])))
 
-    def at(self, start: np.ndarray, length: int) -> np.ndarray:
+    def at(self, start: np.ndarray, length: int | np.ndarray) -> np.ndarray:
         return self._mixed((self.sums[start + length] - self.sums[start]) * self.down[start], length)
 
     def all(self, length: int) -> np.ndarray:
@@ -34,8 +34,8 @@ class Runs:
         return self._mixed((self.sums[length : length + n] - self.sums[:n]) * self.down[:n], length)
 
     @staticmethod
-    def _mixed(runs: np.ndarray, length: int) -> np.ndarray:
-        runs = (runs ^ np.uint64(length)) * np.uint64(0xD6E8FEB86659FD93)
+    def _mixed(runs: np.ndarray, length: int | np.ndarray) -> np.ndarray:
+        runs = (runs ^ np.asarray(length).astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
         return (runs ^ (runs >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
 
 
