@@ -6,30 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def last_sunday(day: Column, month: int) -> Column:
-    """The last Sunday of a month in the day's year, as a date."""
-    end = F.last_day(F.make_date(F.year(day), F.lit(month), F.lit(1)))
-    return F.date_sub(end, (F.dayofweek(end) - 1).cast("int"))
-
-
-def _at_one(day: Column) -> Column:
-    return F.timestamp_add("HOUR", F.lit(1), day.cast("timestamp_ntz"))
-
-
-def summer_time(utc: Column) -> Column:
-    """Whether an instant is in British summer time: from 01:00 UTC of March's last Sunday to 01:00 UTC of October's."""
-    return (utc >= _at_one(last_sunday(utc, 3))) & (utc < _at_one(last_sunday(utc, 10)))
-
-
 def london(utc: Column) -> Column:
     """Local time of a UTC instant."""
-    return F.when(summer_time(utc), F.timestamp_add("HOUR", F.lit(1), utc)).otherwise(utc)
+    return F.convert_timezone(F.lit("UTC"), F.lit("Europe/London"), utc)
 
 
 def from_london(local: Column) -> Column:
     """The UTC instant of a local time. The hour that spring skips counts as summer time; the one that autumn repeats as its first pass."""
-    summer = (local >= _at_one(last_sunday(local, 3))) & (local < F.timestamp_add("HOUR", F.lit(1), _at_one(last_sunday(local, 10))))
-    return F.when(summer, F.timestamp_add("HOUR", F.lit(-1), local)).otherwise(local)
+    summer = F.timestamp_add("HOUR", F.lit(-1), local)
+    return F.when((london(summer) == local) | (london(local) != local), summer).otherwise(local)
 
 
 def weekend_of(day: Column) -> tuple[Column, Column]:

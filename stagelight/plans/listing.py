@@ -11,16 +11,13 @@ from stagelight.plans.registry import plan
 from stagelight.sources.star import Star
 
 AS_OF = "1998-06-01 12:00:00"
-#: SQL for local time: summer time from 01:00 of March's last Sunday to 01:00 of October's.
-_LAST = "(last_day(make_date(year({c}), {m}, 1)) - (dayofweek(last_day(make_date(year({c}), {m}, 1))))::int)::timestamp + interval 1 hour"
-
-
 def ts(text: str) -> Column:
     return F.lit(text).cast("timestamp_ntz")
 
 
 def london_sql(c: str = "shows_at") -> str:
-    return f"case when {c} >= {_LAST.format(c=c, m=3)} and {c} < {_LAST.format(c=c, m=10)} then {c} + interval 1 hour else {c} end"
+    """SQL for local time."""
+    return f"timezone('Europe/London', timezone('UTC', {c}))"
 
 
 @plan("listing_page", f"""

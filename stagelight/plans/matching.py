@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,9 +12,9 @@ from stagelight.operators import search as S
 from stagelight.plans.registry import plan
 from stagelight.plans.scalars import _NOISE_SQL, _noisy
 from stagelight.plans.search import sim, tri
-from stagelight.sources.saved import saved
+from stagelight.sources.feeds import read_feed, write_feed
+from stagelight.sources.saved import saved, shared_dir
 from stagelight.sources.star import Star
-from stagelight.sources.venue_feed import VenueFeed
 
 
 @plan("season_links", """
@@ -122,12 +124,27 @@ def page_ratings(s: Star) -> DataFrame:
 
 
 @plan("venue_feeds", """
-select v::bigint as venue_id, 'Feature ' || (v * 7 % 5) as title, strftime(timestamp '1998-06-01 19:00:00' + to_days(p::int) + to_minutes((v % 60)::int), '%Y-%m-%dT%H:%M:%S') as starts, 'https://venue' || v || '.example/' || p as url from range(1, 41) a(v), range(0, 10) b(p)
+select chain, venue_id, title, strftime(shows_at, '%Y-%m-%dT%H:%M:%S') as starts, url, price from showings join works using (work_id) join venues using (venue_id) where shows_at between timestamp '1998-06-01' and timestamp '1998-06-30' and chain in ('NATION_1', 'NATION_2', 'NATION_3')
 """)
 def venue_feeds(s: Star) -> DataFrame:
-    """Many venues from one source, a partition each."""
-    s.spark.dataSource.register(VenueFeed)
-    return s.spark.read.format("venue_feed").option("venues", ",".join(map(str, range(1, 41)))).option("pages", "10").load()
+    """Many venues from a chain's feed: JSON lines with JSON inside, written and read back; broken lines are left out."""
+    path = f"{shared_dir(s.spark)}/feed-{uuid.uuid4().hex}"
+    month = s.listing().where(F.col("shows_at").between(F.lit("1998-06-01").cast("timestamp_ntz"), F.lit("1998-06-30").cast("timestamp_ntz")))
+    write_feed(month.select("chain", "venue_id", "title", F.date_format("shows_at", "yyyy-MM-dd'T'HH:mm:ss").alias("starts"), "url", "price"), path)
+    return read_feed(s.spark, path).where(F.col("chain").isin("NATION_1", "NATION_2", "NATION_3") & ~F.col("broken")).drop("broken")
+
+
+@plan("page_blocks", r"""
+with b as (select page_id, regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1) as ps from pages), u as (select page_id, unnest(ps) as raw, generate_subscripts(ps, 1) as place from b),
+t as (select page_id, place, trim(regexp_replace(regexp_replace(raw, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) as entry from u)
+select page_id, entry, min(place)::int as place, count(*) as copies from t where length(entry) >= 20 group by 1, 2
+""")
+def page_blocks(s: Star) -> DataFrame:
+    """Entries of listing pages, parsed, checked for length and told apart, the first place of each."""
+    blocks = s.table("pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit("(?s)<p>(.*?)</p>"), F.lit(1))).alias("at", "raw"))
+    entry = F.trim(F.regexp_replace(F.regexp_replace("raw", "<[^>]*>", " "), r"\s+", " "))
+    found = blocks.select("page_id", (F.col("at") + 1).alias("place"), entry.alias("entry")).where(F.length("entry") >= 20)
+    return found.groupBy("page_id", "entry").agg(F.min("place").alias("place"), F.count("*").alias("copies"))
 
 
 @plan("random_sample")

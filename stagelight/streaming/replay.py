@@ -66,7 +66,8 @@ def first_seen(events: DataFrame, keys: list[str], delay: str = "31 days") -> Da
 def limited(requests: DataFrame, key: str, at: str, width_seconds: int, most: int) -> DataFrame:
     """key, at, n, allowed of each request, n counting from the first in a window that a request opens when none is open.
 
-    A key's window and count are its state; requests of one batch are taken in order of time.
+    A key's window and count are its state; requests of one batch are taken in order of time. Each count depends on the one
+    before, so a key's requests of one trigger are worked on in one task: triggers must be bounded (maxFilesPerTrigger).
     """
 
     def step(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
