@@ -176,7 +176,7 @@ def attention_list(s: Star) -> DataFrame:
 
 @plan("stale_venues", f"""
 select v.venue_id, max(started_at) as last_success from venues v left join (select * from runs where event_type = 'purchase') r using (venue_id) group by 1
-having max(started_at) is null or max(started_at) < timestamp '{AS_OF}' - interval 3 day order by last_success asc nulls first, v.venue_id limit 200
+having max(started_at) is null or max(started_at) < timestamp '{AS_OF}' - interval 3 day order by last_success asc nulls first, v.venue_id
 """)
 def stale_venues(s: Star) -> DataFrame:
     """The stalest first, never seen ones before all."""
