@@ -182,11 +182,23 @@ def festival_tags(s: Star) -> DataFrame:
 with m(old, new) as (values (1, 100), (2, 100), (7, 9)) select coalesce(new, venue_id)::bigint as venue_id, count(*) as n from showings left join m on venue_id = old group by 1
 """)
 def canonical_ids(s: Star) -> DataFrame:
-    """Old ids mapped by a registry."""
+    """Old ids mapped by a registry."""
     m = s.spark.createDataFrame([(1, 100), (2, 100), (7, 9)], "old long, new long")
     return s.showings.join(m, F.col("venue_id") == F.col("old"), "left").groupBy(F.coalesce("new", "venue_id").alias("venue_id")).agg(F.count("*").alias("n"))
 
 
+@plan("venue_aliases", """
+with m(alias, ids) as (values ('supplier#000000001', [1, 100]), ('supplier#000000002', [100]), ('supplier#000000007', [9, 7]))
+select lower(trim(name)) as name, ids[1]::bigint as target, count(*) as n from showings join venues using (venue_id) left join m on alias = lower(trim(name)) group by 1, 2
+""")
+def venue_aliases(s: Star) -> DataFrame:
+    """Names of a second source's venues, the first id of each alias as its target, and rows counted, of unmapped names too."""
+    m = s.spark.createDataFrame([("supplier#000000001", [1, 100]), ("supplier#000000002", [100]), ("supplier#000000007", [9, 7])], "alias string, ids array<long>")
+    counts = s.showings.groupBy("venue_id").agg(F.count("*").alias("n"))  # before names are known, so that only counts are joined
+    named = counts.join(s.venues.select("venue_id", F.lower(F.trim("name")).alias("name")), "venue_id").groupBy("name").agg(F.sum("n").alias("n"))
+    return named.join(m, F.col("name") == F.col("alias"), "left").select("name", F.element_at("ids", 1).alias("target"), "n")
+
+
 @plan("override_union", """
 with u as (select work_id, venue_id, shows_at::date as day, 1 as tier, price from showings where format = 'digital' and shows_at < timestamp '1996-01-01' union all select work_id, venue_id, shows_at::date, 0, price from showings where format = 'imax' and shows_at < timestamp '1996-01-01')
 select work_id, venue_id, day, tier, price from u qualify row_number() over (partition by work_id, venue_id, day order by tier, price) = 1
