@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, html_text, mixing, near_dedup, pii, quality, substring_dedup, toxicity, url_filter
+from . import byte_bpe, collocations, exact_dedup, html_text, mixing, near_dedup, near_vectors, periodic_runs, pii, quality, substring_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_bootstrapped_pii": pii.op1,
@@ -15,10 +15,14 @@ QUERIES = {
     "op8_byte_bpe": byte_bpe.op8,
     "op9_minhash_near_dedup": near_dedup.op9,
     "op10_url_filter": url_filter.op10,
+    "op11_collocations": collocations.op11,
+    "op12_periodic_runs": periodic_runs.op12,
+    "op13_near_vectors": near_vectors.op13,
 }
 
 SQL = {
     "op2_exact_dedup": exact_dedup.OP2_SQL,
     "op4_quality_rules": quality.OP4_SQL,
     "op10_url_filter": url_filter.OP10_SQL,
+    "op11_collocations": collocations.OP11_SQL,
 }

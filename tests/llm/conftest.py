@@ -18,7 +18,10 @@ PAGES = [
 ]
 
 
-def write_tables(spark, folder, docs, pages, labels):
+VECTORS = [(1, [1.0, 0.5], 1), (2, [2.0, 1.0], 1), (2, [2.0, 1.0], 1), (3, None, 1), (None, [1.0, 0.5], None), (4, [0.0, 0.0], 2), (5, [None, 1.0], 2), (6, [1.0], 1)]
+
+
+def write_tables(spark, folder, docs, pages, labels, vectors=()):
     made = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").selectExpr("*", "length(text) as n_chars")
     # Extra columns with names that helpers use.
     for name in ("h", "_n", "_row", "target", "shards", "at", "node", "score", "digest", "_kept", "size", "ids", "n_tokens", "words", "hash", "n_bytes", "keep", "piece", "_salt"):
@@ -26,13 +29,14 @@ def write_tables(spark, folder, docs, pages, labels):
     made.write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(pages, "page_id long, url string, html string").selectExpr("*", "1 as host", "2 as rule").write.parquet(f"{folder}/pages.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(list(vectors), "vec_id long, embedding array<float>, label int").selectExpr("*", "1 as node", "2 as cell", "3 as h").write.parquet(f"{folder}/embeddings.parquet")
     return str(folder)
 
 
 @pytest.fixture(scope="session")
 def edge(spark, tmp_path_factory):
     """Nulls, blanks, repeats, long texts and columns with clashing names."""
-    return write_tables(spark, tmp_path_factory.mktemp("edge"), EDGE, PAGES, [(4, 1, 0), (5, None, None), (None, 1, 1), (12, 1, 1), (12, 1, 0)])
+    return write_tables(spark, tmp_path_factory.mktemp("edge"), EDGE, PAGES, [(4, 1, 0), (5, None, None), (None, 1, 1), (12, 1, 1), (12, 1, 0)], VECTORS)
 
 
 @pytest.fixture(scope="session")

@@ -13,27 +13,28 @@ from pyspark.sql import functions as F
 
 from stagelight.llm import byte_bpe, html_text, mixing, near_dedup, pii, queries, quality, substring_dedup, toxicity
 from stagelight.llm.components import components
-from tests.llm.conftest import BASE, EDGE, LONG, PAGES
+from tests.llm.conftest import BASE, EDGE, LONG, PAGES, VECTORS
 from tests.oracle import compare
 
 SMALL = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def test_all_ten_are_registered():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 11))
+def test_all_are_registered():
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query_equals_sql(spark, sf, edge, name):
     assert compare(spark, queries.QUERIES[name], queries.SQL[name], sf) == ""
+    assert compare(spark, queries.QUERIES[name], queries.SQL[name], edge) == ""
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_a_row_for_each_row_of_odd_tables(spark, edge, name):
     rows = queries.QUERIES[name](spark, edge).collect()
-    if not name.startswith("op6_"):
-        assert len(rows) == (len(PAGES) if name.startswith(("op7_", "op10_")) else len(EDGE))
+    if not name.startswith(("op6_", "op11_")):
+        assert len(rows) == len(PAGES if name.startswith(("op7_", "op10_")) else VECTORS if name.startswith("op13_") else EDGE)
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
