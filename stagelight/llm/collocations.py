@@ -324,10 +324,13 @@ with words as (
   select lang, sum(a)::bigint n from f where k = 1 group by lang
 ), cand as (
   select *, string_split(phrase, ' ') w from f where k >= 2 and a >= 10
+), parts as (
+  select lang, phrase, a, k, j, array_to_string(w[1:j], ' ') lp, array_to_string(w[j + 1:], ' ') rp from cand, (values (1), (2)) as s(j) where j < k
+), often as (
+  select lang, phrase, a from f where a >= 10
 ), cut as (
   select c.lang, c.phrase, c.a, c.k, j, l.a l, r.a r, (1000000::hugeint * c.a * c.a) // (l.a::hugeint * r.a) score
-  from cand c, (values (1), (2)) as s(j), f l, f r
-  where j < c.k and l.lang = c.lang and l.k = j and l.phrase = array_to_string(c.w[1:j], ' ') and r.lang = c.lang and r.k = c.k - j and r.phrase = array_to_string(c.w[j + 1:], ' ')
+  from parts c join often l on l.lang = c.lang and l.phrase = c.lp join often r on r.lang = c.lang and r.phrase = c.rp
 ), best as (
   select * from cut qualify row_number() over (partition by lang, phrase order by score, j) = 1
 ), inside as (
