@@ -8,11 +8,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from stagelight.functions.stemming import lexeme, stems_of
+
 #: Letters with marks and what they are without.
 MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿßœæø"
 BARE = "aaaaaaceeeeiiiinooooouuuuyysoao"
 #: Weights of field classes A to D.
 WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
+CLASSES = "ABCD"
 
 
 def folded(text: Column) -> Column:
@@ -24,51 +27,68 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(folded(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
-def term_index(docs: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
-    """key, term, weight: a row per document and term with the summed weights of the fields (column: class) it is in."""
-    each = [docs.select(key, F.explode(terms(F.col(c))).alias("term"), F.lit(WEIGHTS[w]).alias("weight")) for c, w in fields.items()]
-    out = each[0]
-    for e in each[1:]:
-        out = out.unionAll(e)
-    return out.groupBy(key, "term").agg(F.sum("weight").alias("weight"))
+def term_matches(positions: DataFrame, key: str, query: list[str]) -> DataFrame:
+    """key, score of documents that have all stems of the query: the sum of the weights of their places."""
+    hit = positions.where(F.col("term").isin(query)).groupBy(key).agg(F.sum("weight").alias("score"), F.count_distinct("term").alias("n"))
+    return hit.where(F.col("n") == len(set(query))).drop("n")
 
 
-def term_matches(index: DataFrame, key: str, query: list[str]) -> DataFrame:
-    """key, score of documents that have all terms of the query."""
-    hit = index.where(F.col("term").isin(query)).groupBy(key).agg(F.sum("weight").alias("score"), F.count("*").alias("n"))
-    return hit.where(F.col("n") == len(set(query))).drop("n")
+def words_of(docs: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
+    """key, word, pos, class: a row per occurrence; fields (column: class) follow each other."""
+    placed = lambda c, k: F.transform(terms(F.col(c)), lambda t: F.struct(t.alias("word"), F.lit(CLASSES.index(k)).alias("class")))
+    parts = [F.coalesce(placed(c, k), F.array().cast("array<struct<word:string,class:int>>")) for c, k in fields.items()]
+    return docs.select(key, F.posexplode(F.concat(*parts)).alias("pos", "t")).select(key, "t.word", "pos", "t.class")
 
 
 def term_positions(docs: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
-    """key, term, pos, weight: a row per occurrence; fields (column: class) follow each other."""
-    weighted = lambda c, weight: F.transform(terms(F.col(c)), lambda t: F.struct(t.alias("term"), F.lit(weight).alias("weight")))
-    parts = [weighted(c, WEIGHTS[w]) for c, w in fields.items()]
-    return docs.select(key, F.posexplode(F.concat(*parts)).alias("pos", "t")).select(key, "t.term", "pos", "t.weight")
+    """key, term, pos, weight: a row per occurrence of a stem, without an index; stop words count as places only."""
+    found = words_of(docs, key, fields)
+    weight = F.element_at(F.array(*(F.lit(WEIGHTS[c]) for c in CLASSES)), F.col("class") + 1)
+    return found.join(stems_of(found), "word").select(key, F.col("stem").alias("term"), "pos", weight.alias("weight"))
+
 
+Condition = tuple[bool, list[tuple[int, str]]]
 
-def web_query(query: str) -> list[list[tuple[bool, list[str]]]]:
-    """Alternatives (or) of conditions that all hold: whether the words must be absent (-), and the words, on end if quoted."""
-    out: list[list[tuple[bool, list[str]]]] = [[]]
+
+def web_query(query: str) -> list[list[Condition]]:
+    """Alternatives (or) of conditions that all hold: whether the words must be absent (-), and their stems with places, on end if quoted.
+
+    Stop words are left out, but keep their place inside quotes; a condition of stop words alone is none.
+    """
+    out: list[list[Condition]] = [[]]
     for minus, quoted, word in re.findall(r'(-?)(?:"([^"]*)"|(\S+))', query.lower().translate(str.maketrans(MARKED, BARE))):
-        found = re.findall(r"[^\W_]+", quoted or word)
+        found = [(i, t) for i, t in enumerate(map(lexeme, re.findall(r"[^\W_]+", quoted or word))) if t]
         if word == "or" and not minus:
             out.append([])
         elif found:
-            out[-1].append((bool(minus), found))
+            out[-1].append((bool(minus), [(i - found[0][0], t) for i, t in found]))
     return [o for o in out if any(not absent for absent, _ in o)]
 
 
+def web_terms(query: str) -> list[str]:
+    """All stems that a web query looks up."""
+    return sorted({t for o in web_query(query) for _, words in o for _, t in words})
+
+
 def web_matches(positions: DataFrame, key: str, query: str) -> DataFrame:
     """key, score of documents that a web query finds, ranked by cover density: each shortest run of words that holds all of the
-    query's terms counts by its weights, and less the more other words it has."""
-    wanted = web_query(query)
-    used = sorted({t for o in wanted for _, words in o for t in words})
-    asked = sorted({t for o in wanted for absent, words in o if not absent for t in words})
-    hit = positions.where(F.col("term").isin(used)).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "term", "weight"))).alias("h"))
+    query's terms counts by its weights, and less the more other words it has.
 
-    def on_end(words: list[str]) -> Column:
-        later = " and ".join(f"exists(h, y -> y.term = '{w}' and y.pos = x.pos + {i})" for i, w in enumerate(words) if i)
-        return F.expr(f"exists(h, x -> x.term = '{words[0]}'{' and ' + later if later else ''})")
+    One pass over a document's hits: it keeps each term's last place, so a run that ends at a hit begins at the earliest of them.
+    """
+    wanted = web_query(query)
+    if not wanted:
+        return positions.select(key, F.lit(0.0).alias("score")).limit(0)
+    asked = sorted({t for o in wanted for absent, words in o if not absent for _, t in words})
+    hit = positions.where(F.col("term").isin(web_terms(query))).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "term", "weight"))).alias("h"))
+
+    def on_end(words: list[tuple[int, str]]) -> Column:
+        # The places of each word, moved to the first one's: what all have in common begins the phrase.
+        moved = [F.expr(f"transform(filter(h, x -> x.term = '{t}'), x -> x.pos - {i})") for i, t in words]
+        common = moved[0]
+        for m in moved[1:]:
+            common = F.array_intersect(common, m)
+        return F.size(common) > 0
 
     holds = F.lit(False)
     for option in wanted:
@@ -76,17 +96,20 @@ def web_matches(positions: DataFrame, key: str, query: str) -> DataFrame:
         for absent, words in option:
             each &= ~on_end(words) if absent else on_end(words)
         holds |= each
-    # For each occurrence as the end of a run: the last place at which the run can begin and still hold all terms that the document has.
     own = hit.where(holds).withColumn("h", F.filter("h", lambda y: y["term"].isin(asked)))
-    own = own.withColumn("terms", F.expr("array_distinct(transform(h, y -> y.term))"))
-    begins = "transform(h, (e, i) -> array_min(transform(terms, t -> coalesce(array_max(transform(filter(slice(transform(h, (y, j) -> struct(y.term as term, j as j)), 1, i + 1), y -> y.term = t), y -> y.j)), -1))))"
-    own = own.withColumn("b", F.expr(begins))
-    covers = "filter(transform(b, (x, i) -> struct(x as x, i as i)), c -> c.x >= 0 and (c.i = 0 or b[c.i - 1] < c.x))"
-    density = (
-        f"aggregate({covers}, 0D, (s, c) -> s + (c.i - c.x + 1) / aggregate(slice(h, c.x + 1, c.i - c.x + 1), 0D, (v, y) -> v + 1 / y.weight)"
-        " / (1 + (h[c.i].pos - h[c.x].pos) - (c.i - c.x)))"
+    names = ", ".join(f"'{t}'" for t in asked)
+    # Of each term: the number of its last hit, its place, and the sum of 1 / weight before it; terms that the document lacks stand behind all.
+    start = (
+        f"named_struct('last', transform(array({names}), t -> named_struct('i', if(exists(h, y -> y.term = t), -1, 2147483647), 'pos', 0, 'inverse', 0D)),"
+        " 'i', 0, 'inverse', 0D, 'begun', -1, 'sum', 0D)"
+    )
+    last = f"transform(s.last, (l, k) -> if(array({names})[k] = y.term, named_struct('i', s.i, 'pos', y.pos, 'inverse', s.inverse), l))"
+    step = (
+        f"transform(transform(array({last}), l -> named_struct('last', l, 'b', array_min(l))), n -> named_struct('last', n.last, 'i', s.i + 1, 'inverse', s.inverse + 1 / y.weight,"
+        " 'begun', if(n.b.i >= 0, n.b.i, s.begun), 'sum', s.sum + if(n.b.i >= 0 and n.b.i > s.begun,"
+        " (s.i - n.b.i + 1) / (s.inverse + 1 / y.weight - n.b.inverse) / (1 + (y.pos - n.b.pos) - (s.i - n.b.i)), 0D)))[0]"
     )
-    return own.select(key, F.expr(density).alias("score"))
+    return own.select(key, F.expr(f"aggregate(h, {start}, (s, y) -> {step}, s -> s.sum)").alias("score"))
 
 
 def queries_of(spark: SparkSession, queries: list[str]) -> DataFrame:

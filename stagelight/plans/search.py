@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stagelight.operators import search as S
+from stagelight.operators.text_index import Entity, TextIndex, kept_index
 from stagelight.plans.listing import ts
 from stagelight.plans.registry import plan
 from stagelight.sources.star import Star
@@ -24,13 +25,28 @@ def sim(a: str, b: str) -> str:
     return _SIM.format(a=a, b=b)
 
 
-@plan("term_index", """
-with t as (select work_id, unnest(regexp_split_to_array(lower(title), '[^a-z0-9]+')) as term, 1.0 as weight from works union all select work_id, unnest(regexp_split_to_array(lower(maker), '[^a-z0-9]+')), 0.4 from works union all select work_id, genre, 0.2 from works)
-select work_id, term, round(sum(weight), 6)::double as weight from t where term <> '' group by 1, 2
+def index_of(s: Star) -> TextIndex:
+    """The stored indexes of works, venues and chains."""
+    chains = s.venues.select("chain", "area").distinct()
+    entities = {"work": Entity(s.works, "work_id", {"title": "A", "maker": "B", "genre": "C"}), "venue": Entity(s.venues, "venue_id", {"name": "A", "chain": "B", "area": "C"}), "chain": Entity(chains, "chain", {"chain": "A", "area": "B"})}
+    return kept_index(s.spark, "search", [s.table(t) for t in ("part", "supplier", "nation", "region")], entities)
+
+
+#: SQL for the stems of the words that the tables have and that stemming changes.
+_STEM = "case {t} when 'large' then 'larg' when 'economy' then 'economi' when 'europe' then 'europ' when 'middle' then 'middl' else {t} end"
+
+
+@plan("term_index", f"""
+with t as (select 'work' as entity, work_id::varchar as id, unnest(regexp_split_to_array(lower(title), '[^a-z0-9]+')) as w, 1.0 as weight from works union all select 'work', work_id::varchar, unnest(regexp_split_to_array(lower(maker), '[^a-z0-9]+')), 0.4 from works union all select 'work', work_id::varchar, genre, 0.2 from works
+ union all select 'venue', venue_id::varchar, unnest(regexp_split_to_array(lower(name), '[^a-z0-9]+')), 1.0 from venues union all select 'venue', venue_id::varchar, unnest(regexp_split_to_array(lower(chain), '[^a-z0-9]+')), 0.4 from venues union all select 'venue', venue_id::varchar, unnest(regexp_split_to_array(lower(area), '[^a-z0-9]+')), 0.2 from venues
+ union all select 'chain', chain, unnest(regexp_split_to_array(lower(chain), '[^a-z0-9]+')), 1.0 from (select distinct chain, area from venues) union all select 'chain', chain, unnest(regexp_split_to_array(lower(area), '[^a-z0-9]+')), 0.4 from (select distinct chain, area from venues))
+select entity, id, {_STEM.format(t="w")} as term, round(sum(weight), 6)::double as weight from t where w <> '' group by 1, 2, 3
 """)
 def term_index(s: Star) -> DataFrame:
-    """The search index: weighted terms of several fields."""
-    return S.term_index(s.works, "work_id", {"title": "A", "maker": "B", "genre": "C"}).withColumn("weight", F.round("weight", 6))
+    """The stored search indexes of works, venues and chains: stems with the summed weights of their places."""
+    index = index_of(s)
+    each = [index.weighted(e).select(F.lit(e).alias("entity"), "id", "term", F.round("weight", 6).alias("weight")) for e in ("work", "venue", "chain")]
+    return each[0].unionByName(each[1]).unionByName(each[2])
 
 
 _WEB_SQL = r"""
@@ -49,9 +65,25 @@ select c.work_id, round(sum((c.i - c.b + 1) / (z.inv - a.inv + 1 / a.weight) / (
 
 @plan("term_search", _WEB_SQL)
 def term_search(s: Star) -> DataFrame:
-    """a web query with a phrase, an excluded word and an alternative, ranked by cover density."""
-    positions = S.term_positions(s.works, "work_id", {"title": "A", "maker": "B", "genre": "C"})
-    return S.web_matches(positions, "work_id", '"small ring" -economy or bolt standard').withColumn("score", F.round("score", 6))
+    """a web query with a phrase, an excluded word and an alternative, stemmed, ranked by cover density; only its terms' ranges of the index are read."""
+    query = '"small rings" -economies or bolts and standards'
+    positions = index_of(s).positions("work", "work_id", S.web_terms(query))
+    return S.web_matches(positions, "work_id", query).withColumn("score", F.round("score", 6))
+
+
+_ENTITY_SQL = """
+with v as (select venue_id::varchar as id, regexp_split_to_array(lower(name || ' ' || chain || ' ' || area), '[^a-z0-9]+') as w from venues), c as (select chain as id, regexp_split_to_array(lower(chain || ' ' || area), '[^a-z0-9]+') as w from (select distinct chain, area from venues)),
+h as (select 'venue' as entity, id, 2 / (1 / 1.0::double + 1 / 0.2::double) / (len(w) - 1) as score from v where w[1] = 'supplier' and (list_contains(w, 'asia') or list_contains(w, 'europe')) union all select 'chain', id, 0.4::double from c where list_contains(w, 'asia'))
+select entity, id, round(score, 6) as score from h
+"""
+
+
+@plan("entity_search", _ENTITY_SQL)
+def entity_search(s: Star) -> DataFrame:
+    """One stemmed web query against the indexes of venues and of chains, each with its own fields and weights."""
+    index, query = index_of(s), "the asia or suppliers in europe"
+    found = lambda e: S.web_matches(index.positions(e, "id", S.web_terms(query), "string"), "id", query).select(F.lit(e).alias("entity"), "id", F.round("score", 6).alias("score"))
+    return found("venue").unionByName(found("chain"))
 
 
 @plan("trigram_search", f"""
@@ -75,7 +107,7 @@ from f join works using (work_id) join n using (work_id)
 @plan("hybrid_search", _HYBRID)
 def hybrid_search(s: Star) -> DataFrame:
     """Terms and trigrams fused by rank, boosted, for works with a future showing."""
-    text = S.term_matches(S.term_index(s.works, "work_id", {"title": "A"}), "work_id", ["small"])
+    text = S.term_matches(index_of(s).positions("work", "work_id", ["small"], classes="A"), "work_id", ["small"])
     alike = S.similar_to(s.works, "work_id", "title", "small ring", 0.3)
     best = [S.places(text, [F.desc("score"), F.asc("work_id")], 200), S.places(alike, [F.desc("similarity"), F.asc("work_id")], 200)]
     soon = s.showings.where(F.col("shows_at") > ts(AS_OF)).groupBy("work_id").agg(F.min("shows_at").alias("next_at"))

@@ -132,18 +132,6 @@ def test_calendar_events(spark):
     assert [(r.k, r.uid, str(r.starts), r.summary) for r in got] == [(1, "1", "2025-01-06 19:30:00", "Hamlet, live")]
 
 
-def test_web_queries():
-    assert search.web_query('"red ring" -bolt or Süß gear') == [[(False, ["red", "ring"]), (True, ["bolt"])], [(False, ["sus"]), (False, ["gear"])]]
-    assert search.web_query("-only") == [] and search.web_query("") == []
-
-
-def test_cover_density(spark):
-    docs = spark.createDataFrame([(1, "red big ring", ""), (2, "red ring", ""), (3, "ring", "red"), (4, "ring red ring", ""), (5, "red", "")], "id int, a string, b string")
-    got = {r.id: r.score for r in search.web_matches(search.term_positions(docs, "id", {"a": "A", "b": "B"}), "id", "red ring").collect()}
-    # A cover of n terms counts n / (sum of inverse weights) / (1 + words between).
-    assert got == pytest.approx({1: 0.5, 2: 1.0, 3: 2 / 3.5, 4: 2.0})
-
-
 @pytest.mark.parametrize("title, clean, kind, events, formats", [
     ("UK PREMIERE Iron Horse", "Iron Horse", "film", ["premiere"], []),
     ("Saturday Morning Picture Club: Paddington (2014)", "Paddington", "film", [], []),
