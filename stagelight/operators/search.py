@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -159,43 +158,6 @@ def similar_to(docs: DataFrame, key: str, text: str, query: str, least: float) -
     return docs.select(key, s.alias("similarity")).where(F.col("similarity") >= least)
 
 
-def meeting_pairs(sets: DataFrame, key: str, least: float, within: list[str] | None = None) -> DataFrame:
-    """a < b, keys of sets (key, set, and what must be equal) that may have so large a share of their union in common.
-
-    Sets meet through their rarest members: of n, at most n - ceil(least x n) + 1 need to be looked up, since similar sets
-    must share one of those. Frequent members are no one's rarest, so no posting list of theirs is formed.
-    """
-    within = within or []
-    members = sets.select(F.col(key).alias("rep"), *within, F.explode("set").alias("member"))
-    rarity = members.groupBy("member").agg(F.count("*").alias("n"))
-    by_rarity = members.join(rarity, "member").groupBy("rep", *within).agg(F.sort_array(F.collect_list(F.struct("n", "member"))).alias("m"))
-    size = F.size("m")
-    prefix = by_rarity.select("rep", *within, F.explode(F.slice("m", F.lit(1), size - F.ceil(least * size).cast("int") + 1)).alias("p")).select("rep", *within, "p.member")
-    met = prefix.withColumnRenamed("rep", "a").join(prefix.withColumnRenamed("rep", "b"), ["member", *within])
-    return met.where("a < b").select("a", "b").distinct()
-
-
-def similar_pairs(docs: DataFrame, key: str, text: str, least: float, within: list[str] | None = None) -> DataFrame:
-    """a < b, similarity: pairs of rows whose texts are at least so similar, a trigram set standing for all rows that have it.
-
-    Columns within must be equal in both.
-    """
-    within = within or []
-    sets = docs.select(key, *within, F.array_sort(trigrams(F.col(text))).alias("set")).where(F.size("set") > 0)
-    distinct = sets.groupBy("set", *within).agg(F.min(key).alias("rep"))
-    met = meeting_pairs(distinct, "rep", least, within)
-    sided = met.join(distinct.select(F.col("rep").alias("a"), F.col("set").alias("sa")), "a").join(distinct.select(F.col("rep").alias("b"), F.col("set").alias("sb")), "b")
-    return sided.withColumn("similarity", overlap(F.col("sa"), F.col("sb"))).where(F.col("similarity") >= least).select("a", "b", "similarity")
-
-
-def similar_spellings(texts: DataFrame, text: str, similarity: Callable[[Column, Column], Column], least: float, share: float) -> DataFrame:
-    """a < b, similarity of distinct texts that are alike by a measure, at least so much; share is what of their numbered bigrams such texts have in common for sure."""
-    numbered = F.transform(bigrams(F.col(text)), lambda g, i: F.concat(g, F.size(F.filter(F.slice(bigrams(F.col(text)), 1, i + 1), lambda h: h == g)).cast("string")))
-    sets = texts.select(text).distinct().select(F.col(text).alias("t"), numbered.alias("set"))
-    met = meeting_pairs(sets, "t", share).withColumn("similarity", similarity(F.col("a"), F.col("b")))
-    return met.where(F.col("similarity") >= least)
-
-
 def places(scored: DataFrame, order: list[Column], most: int) -> DataFrame:
     """The best rows with their rank r; cut first, so that the global window sees few rows."""
     return scored.orderBy(*order).limit(most).withColumn("r", F.row_number().over(Window.orderBy(*order)))
@@ -231,6 +193,12 @@ def bigrams(text: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 1, F.lit(1))), lambda i: F.substring(text, i, 2))
 
 
+def numbered_bigrams(text: Column) -> Column:
+    """Bigrams with their number among equal ones: sets that have in common what the bigrams have with their repeats."""
+    found = bigrams(text)
+    return F.transform(found, lambda g, i: F.concat(g, F.size(F.filter(F.slice(found, 1, i + 1), lambda h: h == g)).cast("string")))
+
+
 def dice(a: Column, b: Column) -> Column:
     """Twice the common bigrams, counted with their repeats, over all bigrams; equality for texts of under two characters."""
     x, y = bigrams(a), bigrams(b)

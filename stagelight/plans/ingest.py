@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stagelight.operators import ingest as I
 from stagelight.operators import listing as L
-from stagelight.operators import search as S
+from stagelight.operators import similarity_joins as J
 from stagelight.plans.listing import ts
 from stagelight.plans.registry import plan
 from stagelight.sources.saved import saved
@@ -154,10 +154,10 @@ def cascading_matches(s: Star) -> DataFrame:
         return asking.join(best(*keys), list(keys)).where("work_id <> other_id").select("work_id", "other_id", "other_popularity", F.lit(n).alias("tier"))
 
     beside = works.withColumn("year", F.explode(F.array(F.col("year") - 1, F.col("year") + 1)))
-    # Titles alike in spelling, once for all works that have them: from 0.75 on they have a fifth of their bigrams in common.
-    alike = S.similar_spellings(works, "title", S.levenshtein_similarity, 0.75, 0.2).select("a", "b")
-    alike = saved(alike.unionByName(alike.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    spelled = works.withColumnRenamed("title", "a").join(alike, "a").withColumnRenamed("b", "title")
+    # Titles alike in spelling within a year, once for all works that have them.
+    alike = J.edit_pairs(works, "title", 0.75, ["year"]).select("a", "b", "year")
+    alike = saved(alike.unionByName(alike.select(F.col("b").alias("a"), F.col("a").alias("b"), "year")))
+    spelled = works.withColumnRenamed("title", "a").join(alike, ["a", "year"]).withColumnRenamed("b", "title")
     met = tier(0, works, "title", "year").unionByName(tier(1, beside, "title", "year")).unionByName(tier(2, works, "maker", "year", "head")).unionByName(tier(3, spelled, "title", "year"))
     first = F.min_by(F.struct("other_id", "tier"), F.struct("tier", -F.col("other_popularity"), "other_id")).alias("f")
     return met.groupBy("work_id").agg(first).select("work_id", "f.other_id", "f.tier")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stagelight.operators import search as S
+from stagelight.operators import similarity_joins as J
 from stagelight.operators.text_index import Entity, TextIndex, kept_index
 from stagelight.plans.listing import ts
 from stagelight.plans.registry import plan
@@ -122,9 +123,26 @@ with d as (select list_sort({tri('title')}) as t, year, min(work_id) as rep from
 select a.rep as a, b.rep as b, round({sim('a.t', 'b.t')}, 6) as similarity from d a join d b on a.rep < b.rep and a.year = b.year where {sim('a.t', 'b.t')} >= 0.4 order by {sim('a.t', 'b.t')} desc, a.rep, b.rep limit 200
 """)
 def similar_titles(s: Star) -> DataFrame:
-    """The 200 most similar pairs of works of one year, a title standing for all works of its year that have it; through rare trigrams."""
-    found = S.similar_pairs(s.works, "work_id", "title", 0.4, ["year"])
-    return found.orderBy(F.desc("similarity"), "a", "b").limit(200).withColumn("similarity", F.round("similarity", 6))
+    """The 200 most similar pairs of works of one year, a title's trigrams standing for all works of its year that have them."""
+    reps, _ = _title_classes(s)
+    found = J.set_pairs(reps, "rep", "set", 0.4, ["year"])
+    return found.orderBy(F.desc("similarity"), "a", "b").limit(200).select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+def _title_classes(s: Star) -> tuple[DataFrame, DataFrame]:
+    sets = s.works.select("work_id", "year", F.array_sort(S.trigrams(F.col("title"))).alias("set")).where(F.size("set") > 0)
+    return J.classes(sets, "work_id", "set", "year")
+
+
+@plan("similar_title_membership", f"""
+with w as (select work_id, year, list_sort({tri('title')}) as t from works), d as (select t, year, min(work_id) as rep from w group by 1, 2),
+p as (select a.rep as a, b.rep as b from d a join d b on a.rep < b.rep and a.year = b.year where {sim('a.t', 'b.t')} >= 0.4), n as (select rep, count(*) as links from (select a as rep from p union all select b from p) group by 1)
+select work_id, rep, coalesce(links, 0)::bigint as links from w join d using (t, year) left join n using (rep)
+""")
+def similar_title_membership(s: Star) -> DataFrame:
+    """Every work with the representative of its title and year, and how many others that one is similar to, from 0.4 on."""
+    reps, members = _title_classes(s)
+    return J.membership(members, "work_id", J.set_pairs(reps, "rep", "set", 0.4, ["year"]))
 
 
 @plan("title_matches", """
@@ -133,9 +151,9 @@ select a.title as a, b.title as b, round(1 - levenshtein(a.title, b.title)::doub
 where 1 - levenshtein(a.title, b.title)::double / greatest(length(a.title), length(b.title)) >= 0.8
 """)
 def title_matches(s: Star) -> DataFrame:
-    """titles alike in spelling from 0.8 on, with sequels among them; through rare bigrams, of which such titles have three tenths in common."""
+    """titles alike in spelling from 0.8 on, with sequels among them; by pieces that edits leave untouched."""
     t = s.works.select("title").union(s.works.where("work_id % 2 = 0").select(F.concat("title", F.lit(" ii"))))
-    return S.similar_spellings(t, "title", S.levenshtein_similarity, 0.8, 0.3).select("a", "b", F.round("similarity", 6).alias("similarity"))
+    return J.edit_pairs(t, "title", 0.8).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 @plan("length_aware_matches", f"""
@@ -269,7 +287,28 @@ p as (select a.title as a, b.title as b, 2.0 * sum(least(a.n, b.n)) / (length(a.
 select a, b, round(dice, 6) as dice, dice >= 0.85 or (least(length(a), length(b)) >= 6 and (contains(a, b) or contains(b, a))) as same from p where dice >= 0.6
 """)
 def dice_pairs(s: Star) -> DataFrame:
-    """Titles alike by bigrams, counted with repeats, from 0.6 on, through rare bigrams; and whether they count as one title: by containment or from 0.85 on."""
+    """Titles alike by bigrams, counted with repeats, from 0.6 on; and whether they count as one title: by containment or from 0.85 on."""
     t = s.works.select("title").union(s.works.where("work_id % 2 = 0").select(F.concat("title", F.lit(" ii"))))
-    found = S.similar_spellings(t, "title", S.dice, 0.6, 0.6 / 1.4)  # a Dice share of d is one of d / (2 - d) of the union
+    found = _dice(t.distinct(), "title", 0.6)
     return found.select("a", "b", F.round("similarity", 6).alias("dice"), S.titles_match(F.col("a"), F.col("b")).alias("same"))
+
+
+def _dice(titles: DataFrame, title: str, least: float) -> DataFrame:
+    sets = titles.select(title, S.numbered_bigrams(F.col(title)).alias("set"))
+    met = J.set_candidates(sets, title, "set", J.dice_to_share(least)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return met.withColumn("similarity", S.dice(F.col("a"), F.col("b"))).where(F.col("similarity") >= least)
+
+
+@plan("dice_membership", """
+with t as (select title, min(work_id) as rep from works group by 1), b as (select title, list_transform(range(1, length(title)), lambda i: substr(title, i, 2)) as g from t),
+u as (select title, unnest(g) as x from b), c as (select title, x, count(*) as n from u group by 1, 2),
+p as (select a.title as a, b.title as b from c a join c b on a.x = b.x and a.title < b.title group by a.title, b.title having 2.0 * sum(least(a.n, b.n)) / (length(a.title) + length(b.title) - 2) >= 0.6),
+n as (select title, count(*) as links from (select a as title from p union all select b from p) group by 1)
+select work_id, rep, coalesce(links, 0)::bigint as links from works join t using (title) left join n using (title)
+""")
+def dice_membership(s: Star) -> DataFrame:
+    """Every work with the representative of its title, and how many other titles that is alike to by bigrams, from 0.6 on."""
+    reps, members = J.classes(s.works, "work_id", "title")
+    named = lambda c: reps.select(F.col("title").alias(c), F.col("rep").alias(f"{c}_rep"))
+    pairs = _dice(reps, "title", 0.6).join(named("a"), "a").join(named("b"), "b").select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"))
+    return J.membership(members, "work_id", pairs)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from stagelight.functions import stemming
 from stagelight.operators import search
+from stagelight.operators import similarity_joins as joins
 from stagelight.operators.text_index import Entity, TextIndex, kept_index, state_of
 
 #: Known pairs of a word and its Porter2 stem.
@@ -99,3 +100,69 @@ def test_cover_density_of_many_hits(spark):
     docs = spark.createDataFrame([(1, "red ring " * 4000)], "id int, a string")
     (got,) = search.web_matches(search.term_positions(docs, "id", {"a": "A"}), "id", "red ring").collect()
     assert got.score == pytest.approx(7999)
+
+
+def random_titles(n, seed):
+    rng = random.Random(seed)
+    syllables = "ka lo mi ren tas vo shi dun pel gra nor bex quo fal zim hor ust ine ory ack".split()
+    words = ["".join(rng.choice(syllables) for _ in range(rng.randint(2, 4))) for _ in range(n)]
+    titles = [" ".join(rng.choice(words) for _ in range(rng.randint(2, 4))) for _ in range(n)]
+    for t in titles[: n // 4]:
+        # Some with a few letters changed, left out or put in.
+        for _ in range(rng.randint(1, 6)):
+            at = rng.randrange(len(t))
+            t = t[:at] + rng.choice(["", "x", "ab" + t[at]]) + t[at + 1 :]
+        titles.append(t)
+    return sorted({t for t in titles if t.strip()} | {"a", "b", "ab", "abc", "abd", "aaaa", "aaaaa", "aaaab"})
+
+
+def levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("least", [0.6, 0.75, 0.8, 1.0])
+def test_edit_pairs_are_those_of_all_pairs(spark, least):
+    titles = random_titles(180, 4)
+    df = spark.createDataFrame([(t,) for t in titles] * 2 + [(None,), ("",)], "t string")
+    got = {(r.a, r.b): r.similarity for r in joins.edit_pairs(df, "t", least).collect()}
+    want = {(a, b): s for i, a in enumerate(titles) for b in titles[i + 1 :] if (s := 1 - levenshtein(a, b) / max(len(a), len(b))) >= least}
+    assert got == pytest.approx(want) and (len(want) > 10 or least == 1)
+
+
+@pytest.mark.parametrize("least, meet", [(0.3, 2), (0.4, 1), (0.43, 3), (0.7, 2), (1.0, 2)])
+def test_set_pairs_are_those_of_all_pairs(spark, least, meet):
+    titles = random_titles(150, 6)
+    df = spark.createDataFrame([(t, i % 2) for i, t in enumerate(titles)] + [(None, 1)], "t string, half int")
+    sets = df.select("t", "half", search.trigrams(F.col("t")).alias("s"))
+    held = {r.t: set(r.s or []) for r in sets.collect()}
+    share = lambda a, b: len(held[a] & held[b]) / len(held[a] | held[b])
+    want = {(a, b): share(a, b) for i, a in enumerate(titles) for b in titles[i + 1 :] if held[a] and share(a, b) >= least}
+    met = joins.set_candidates(sets, "t", "s", least, meet=meet).select(F.least("a", "b"), F.greatest("a", "b")).collect()
+    assert set(want) <= {tuple(r) for r in met} and (len(want) > 10 or least == 1)
+    if meet == 2:
+        assert {(r.a, r.b): r.similarity for r in joins.set_pairs(sets, "t", "s", least).collect()} == pytest.approx(want)
+        halves = {t: i % 2 for i, t in enumerate(titles)}
+        assert {(r.a, r.b) for r in joins.set_pairs(sets, "t", "s", least, ["half"]).collect()} == {p for p in want if halves[p[0]] == halves[p[1]]}
+
+
+def test_few_pairs_are_candidates(spark):
+    """Random titles of the same 20 syllables, which have more in common than real ones."""
+    titles = random_titles(3000, 8)
+    df = spark.createDataFrame([(t,) for t in titles], "t string")
+    all_pairs = len(titles) * (len(titles) - 1) / 2
+    assert joins.edit_candidates(df, "t", 0.8).count() < 0.02 * all_pairs
+    sets = df.select("t", search.numbered_bigrams(F.col("t")).alias("s"))
+    assert joins.set_candidates(sets, "t", "s", joins.dice_to_share(0.85)).count() < 0.02 * all_pairs
+
+
+def test_membership(spark):
+    rows = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y"), (4, "z"), (5, None)], "id long, t string")
+    reps, members = joins.classes(rows, "id", "t")
+    assert sorted(tuple(r) for r in reps.select("t", "rep").collect()) == [("x", 1), ("y", 3), ("z", 4)]
+    pairs = spark.createDataFrame([(1, 3)], "a long, b long")
+    assert sorted(tuple(r) for r in joins.membership(members, "id", pairs).collect()) == [(1, 1, 1), (2, 1, 1), (3, 3, 1), (4, 4, 0)]
