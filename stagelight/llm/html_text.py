@@ -1,8 +1,9 @@
 """Main text of web pages: markup rules, then what a host's pages repeat, as its suffix array would show it.
 
 Each page becomes blocks of words, in page order, without those that markup gives away: scripts, styles, forms, menus,
-headers, footers, sidebars, notices, adverts and comments. Where a page has an article element only its blocks are the main
-text; else those of a main element; else all.
+headers, footers, sidebars, notices, adverts and comments; what is in them goes with them, article cards too. Where a page's
+articles have as many words as what is around them in its main element, or in all of the page if it has none, they are the main
+text; else they are cards, and all of the main element or page is.
 
 The token streams of a host's pages are then searched for substrings that distinct pages repeat: whole blocks, and any RUN words
 or more within longer ones, wherever they begin. In a suffix array those are the neighbours that have RUN words in common. Such
@@ -53,93 +54,133 @@ RAW = frozenset("script style textarea title noscript iframe template".split())
 #: Words in classes, ids and roles of elements that hold no main text.
 TELLTALE = frozenset("ad ads advert adverts advertisement advertising sponsored sponsor promo promotion banner sidebar menu nav navbar navigation footer breadcrumb breadcrumbs cookie cookies consent gdpr notice notices alert comment comments respond disqus share sharing social newsletter subscribe subscription signup login popup modal overlay related recommended recommendations widget masthead toolbar pagination pager copyright legal search complementary contentinfo skip".split())
 HEADERS = frozenset("header banner masthead".split())
+#: Words beside those in whole names; headings; elements that end where the next of their kind begins.
+PARTS = frozenset("box block container wrapper wrap area list item items link links bar unit slot inner outer top bottom left right section form button buttons posts stories".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+ITEMS = frozenset("li dt dd td th tr".split())
 
 TAG = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?|[!?/][^>]*>?)")
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.IGNORECASE)
 
 
-def _telltale(attributes: str, inside: bool) -> bool:
+def _telltale(name: str, attributes: str, inside: bool) -> bool:
+    """Whether an element is left out for its class, id or role: within an article or main element only by a whole name, and only a block that is no heading."""
     for groups in NAMED.findall(attributes):
-        for name in "".join(groups).lower().split():
-            if not name.startswith(("has-", "with-", "no-", "is-")):
-                words = {w for w in re.split(r"[^a-z]+", name) if w}
-                if words & TELLTALE or not inside and words & HEADERS:
+        for called in "".join(groups).lower().split():
+            if not called.startswith(("has-", "with-", "no-", "is-")):
+                words = {w for w in re.split(r"[^a-z]+", called) if w}
+                if not inside and words & (TELLTALE | HEADERS):
+                    return True
+                if inside and words & TELLTALE and words <= TELLTALE | PARTS and name in BLOCKS and name not in HEADINGS:
                     return True
     return bool(HIDDEN.search(attributes))
 
 
+Tag = tuple[int, int, str, bool, str]
+
+
+def _tags(html: str) -> Iterator[Tag]:
+    """start, end, name, whether it closes, attributes; an element whose content is no markup is one tag, without a name if it is a comment."""
+    at = 0
+    while m := TAG.search(html, at):
+        at = m.end()
+        if m[1]:
+            close = html.find("-->", at - 2)
+            at = len(html) if close < 0 else close + 3
+            yield m.start(), at, "", False, ""
+            continue
+        name = (m[3] or "").lower()
+        if name in RAW and not m[2]:
+            close = re.compile(rf"</{name}\b[^>]*>?", re.IGNORECASE).search(html, at)
+            at = len(html) if close is None else close.end()
+        yield m.start(), at, name, bool(m[2]), m[4] or ""
+
+
+def _partners(tags: list[Tag]) -> list[int]:
+    """For each tag the number of the one that closes or opens its element; -1 where there is none."""
+    partner, open_ = [-1] * len(tags), {}
+    for i, (_, _, name, closes, _) in enumerate(tags):
+        if not closes:
+            open_.setdefault(name, []).append(i)
+        elif open_.get(name):
+            partner[i] = open_[name].pop()
+            partner[partner[i]] = i
+    return partner
+
+
+def _after(tags: list[Tag], partner: list[int], i: int) -> int:
+    """The first tag behind the element that tag i opens; one that is not closed ends with its surroundings."""
+    name, closed = tags[i][2], partner[i]
+    for k in range(i + 1, len(tags)):
+        other, closes = tags[k][2], tags[k][3]
+        if k == closed:
+            return k + 1
+        if closes:
+            if other in ("article", "main", "body", "html") and -1 < partner[k] < i:
+                return k
+            if closed < 0 and name in ITEMS and other in ("ul", "ol", "table", "dl", "div", "section") and partner[k] < i:
+                return k
+        elif name == "p" and other in BLOCKS or closed < 0 and (other in ("article", "main") or name in ITEMS and other == name):
+            return k
+    return len(tags)
+
+
+def _words(blocks: list[str]) -> int:
+    return sum(b.count(" ") + 1 for b in blocks)
+
+
 def blocks_of(html: str) -> tuple[int, list[str]]:
-    """The zone of the main text and its blocks, each without white space but single blanks."""
-    found: list[tuple[int, str]] = []
+    """The zone of the main text and its blocks, each without white space but single blanks.
+
+    Articles are the main text where they hold at least half of it; shorter ones are cards, which stay with what is around them.
+    """
+    found: list[tuple[int, bool, str]] = []
     run: list[str] = []
     depth = {"article": 0, "main": 0}
-    skipped, level = "", 0  # the element that is being left out, and how many of its kind are open
-    at, end = 0, len(html)
+    tags = list(_tags(html))
+    partner = _partners(tags)
 
     def flush() -> None:
         if run:
             text = " ".join(html_lib.unescape("".join(run)).split())
             run.clear()
             if text:
-                found.append((ARTICLE if depth["article"] else MAIN if depth["main"] else OTHER, text))
-
-    while at < end:
-        m = TAG.search(html, at)
-        if m is None:
-            if not skipped:
-                run.append(html[at:])
-            break
-        if not skipped and m.start() > at:
-            run.append(html[at : m.start()])
-        at = m.end()
-        if m[1]:
-            close = html.find("-->", at - 2)
-            at = end if close < 0 else close + 3
-            continue
-        if m[3] is None:
+                found.append((ARTICLE if depth["article"] else MAIN if depth["main"] else OTHER, bool(depth["main"]), text))
+
+    i = at = 0
+    while i < len(tags):
+        start, end, name, closes, attributes = tags[i]
+        run.append(html[at:start])
+        at, i = end, i + 1
+        if not name:
             continue
-        name, closes = m[3].lower(), bool(m[2])
-        if not closes and name in RAW:
-            if not skipped and name in BLOCKS:
-                flush()
-            close = re.compile(rf"</{name}\b[^>]*>?", re.IGNORECASE).search(html, at)
-            at = end if close is None else close.end()
-            continue
-        if skipped:
-            if name == skipped and name not in VOID:
-                level += -1 if closes else 1
-                if level and not closes and name in ("p", "li", "dt", "dd", "td", "th", "tr"):
-                    level = 0  # these end where the next of their kind begins
-                    skipped = ""
-                elif not level:
-                    skipped = ""
-                    continue
-                else:
-                    continue
-            elif not closes and (name in depth or skipped == "p" and name in BLOCKS):
-                skipped, level = "", 0
-            elif closes and (name in ("body", "html") or name in depth and depth[name] or skipped in ("li", "td", "th", "tr", "p", "dt", "dd") and name in ("ul", "ol", "table", "dl", "div", "section")):
-                skipped, level = "", 0
-            else:
-                continue
         if name in BLOCKS:
             flush()
+        if name in RAW and not closes:
+            continue
         if name in depth:
             depth[name] = max(0, depth[name] + (-1 if closes else 1))
         elif name == "br":
             run.append(" ")
-        if closes or name in VOID or m[4].endswith("/") and name not in BLOCKS:
+        if closes or name in VOID or attributes.endswith("/") and name not in BLOCKS:
             continue
         inside = bool(depth["article"] or depth["main"])
-        if name in DROPPED or name == "header" and not inside or name not in ("html", "body", "main") and m[4] and _telltale(m[4], inside):
-            flush()
+        if name in DROPPED or name == "header" and not inside or name not in ("html", "body", "main") and attributes and _telltale(name, attributes, inside):
             if name in depth:
                 depth[name] -= 1
-            skipped, level = name, 1
+            # An inline element is cut out of its block, which goes on.
+            opened = i - 1
+            i = _after(tags, partner, opened)
+            at = (tags[i - 1][1] if i - 1 == partner[opened] else tags[i][0]) if i < len(tags) or i - 1 == partner[opened] else len(html)
+    run.append(html[at:])
     flush()
-    zone = max((z for z, _ in found), default=OTHER)
-    return zone, [t for z, t in found if z == zone]
+    article, main, other = ([t for z, _, t in found if z == zone] for zone in (ARTICLE, MAIN, OTHER))
+    if article and _words(article) >= _words(main or other):
+        return ARTICLE, article
+    if main:
+        return MAIN, [t for _, held, t in found if held]
+    return OTHER, [t for _, _, t in found]
 
 
 class Suffixes:
@@ -182,9 +223,11 @@ def unique_runs(zone: int, blocks: list[str], repeated: np.ndarray) -> list[str]
     hit = np.isin(suffixes.hash, repeated)
     if not hit.any():
         return blocks
+    # Suffixes come in order of their blocks.
+    places_hit, ends = suffixes.place[hit], np.searchsorted(suffixes.block[hit], np.arange(len(blocks) + 1))
     out = []
     for i, block in enumerate(blocks):
-        places = suffixes.place[hit & (suffixes.block == i)]
+        places = places_hit[ends[i] : ends[i + 1]]
         if len(places):
             depth = np.zeros(int(suffixes.sizes[i]) + RUN + 1, dtype=np.int64)
             np.add.at(depth, places, 1)

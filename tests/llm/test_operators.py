@@ -366,6 +366,47 @@ def test_articles_of_the_table(spark, sf):
         assert r.text == "\n".join(x for x in parts if x)
 
 
+@pytest.mark.parametrize("html, blocks", [
+    ("<div><p>The long main text of the page</p></div><aside><article><h3>teaser</h3></article></aside>", ["The long main text of the page"]),
+    ("<main>Main text</main><footer><article>card</article></footer>", ["Main text"]),
+    ("<main><p>The main text of this page is long</p><article>card one</article></main>", ["The main text of this page is long", "card one"]),
+    ("<p>Hello <button>x</button>world again</p>", ["Hello world again"]),
+    ("<p>Hello <svg><path/></svg>world</p>", ["Hello world"]),
+    ('<article><h2 id="copyright-law">Law</h2><section id="social-history">one</section><div class="related-search-terms">two</div><p>a <span class="alert">very</span> b</p></article>', ["Law", "one", "two", "a very b"]),
+    ('<article><p>text</p><div class="ad-box">ad</div><div class="share links">s</div><ul role="navigation"><li>n</li></ul></article>', ["text"]),
+    ("<nav>menu<article><p>text here</p></article>", ["text here"]),
+    ("<nav>menu</nav><div>one</div><div class='sidebar'><div>s</div>s</div><p>two <b>and</b> three<footer>f</footer>", ["one", "two and three"]),
+    ("<article><div class=ad>x</article><p>y", ["y"]),
+    ("<ul><li class=ad>x<li>y</ul>z", ["y", "z"]),
+    ("<ul><li class=ad>x<ul><li>n</li></ul></li><li>y</li></ul>", ["y"]),
+    ("<p class=promo>a<div>b</div>c", ["b", "c"]),
+    ("<article>a<script>x</script>b<!-- <p>c -->d</article>", ["abd"]),
+])
+def test_blocks_of_common_pages(html, blocks):
+    assert html_text.blocks_of(html)[1] == blocks
+
+
+def test_pages_without_articles(spark, sf):
+    """The same pages with a plain element in place of the article give the same text, as their markup rules stand alone."""
+    pages = [(r.page_id, r.html) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    plain = lambda h: h.replace("<article>", "<div>").replace("</article>", "</div>")
+    same = sum(html_text.blocks_of(plain(h))[1] == html_text.blocks_of(h)[1] for _, h in pages)
+    assert same == len(pages)
+
+
+def test_blocks_of_a_page_of_many_blocks():
+    import time
+
+    import numpy as np
+
+    began = time.time()
+    zone, blocks = html_text.blocks_of("".join(f"<p>block {i} <a class=ad>x</a>" for i in range(60_000)) + "<div class=ad>" * 20_000)
+    assert len(blocks) == 60_000
+    hashes = html_text.Suffixes(zone, blocks).hash
+    assert len(html_text.unique_runs(zone, blocks, np.unique(hashes[:100]))) == 59_900
+    assert time.time() - began < 15
+
+
 def test_repeated_runs_of_a_host_go(spark):
     pages = [(i, f"http://plain.com/{i}", f"<div>Read more stories from our partners today</div><div>Story number {i} has its own words {i * i} here</div>") for i in range(20)]
     got = html_text.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
