@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stagelight.operators import fuzzy_index as X
 from stagelight.operators import search as S
 from stagelight.operators import similarity_joins as J
 from stagelight.operators.text_index import Entity, TextIndex, kept_index
@@ -210,25 +211,29 @@ def showing_search(s: Star) -> DataFrame:
 
 
 @plan("fuzzy_terms", """
-with q(query, k, term) as (values ('smal wdget', 1, 'smal'), ('smal wdget', 2, 'wdget'), ('ring', 1, 'ring'), ('bol 23', 1, 'bol'), ('bol 23', 2, '23')),
-d as (select 'work' as kind, work_id::varchar as id, title as t, 3 as boost from works union all select 'work', work_id::varchar, maker, 1 from works union all select 'venue', venue_id::varchar, name, 3 from venues union all select 'venue', venue_id::varchar, area, 1 from venues
- union all select distinct 'maker', maker, maker, 1 from works),
-w as (select kind, id, boost, unnest(list_filter(regexp_split_to_array(lower(t), '[^a-z0-9]+'), lambda x: x <> '')) as word from d),
-m as (select query, k, kind, id, max(boost * case when word = term then 1::double when starts_with(word, term) then 0.375::double * length(term) / length(word) + 0.3::double else 0.45::double * (1 - levenshtein(word, term)::double / greatest(length(word), length(term))) end) as score
- from q, w where starts_with(word, term) or levenshtein(word, term) <= round(0.3::double * length(term)) group by 1, 2, 3, 4),
-r as (select query, kind, id, sum(score) * count(*) as score, row_number() over (partition by query, kind order by round(sum(score) * count(*), 9) desc, id) as r from m group by 1, 2, 3)
-select query, kind, id, round(score, 6) as score, r from r where r <= case kind when 'work' then 12 when 'venue' then 6 else 5 end
+with q(query, k, term) as (values ('smal wdget', 0, 'smal'), ('smal wdget', 1, 'wdget'), ('ring', 0, 'ring'), ('bol 23', 0, 'bol'), ('bol 23', 1, '23'), ('suplier00000003 standart', 0, 'suplier00000003'), ('suplier00000003 standart', 1, 'standart')),
+d as (select 'work' as kind, work_id::varchar as id, 'title' as field, title as t, 3 as boost from works union all select 'work', work_id::varchar, 'maker', maker, 1 from works union all select 'venue', venue_id::varchar, 'name', replace(name, '#', ''), 3 from venues union all select 'venue', venue_id::varchar, 'area', area, 1 from venues
+ union all select distinct 'maker', maker, 'maker', maker, 1 from works),
+w as (select kind, id, field, boost, unnest(list_filter(regexp_split_to_array(lower(t), '[^a-z0-9]+'), lambda x: x <> '')) as word from d),
+c as (select kind, id, field, boost, word, count(*) as tf from w group by all), l as (select kind, id, field, sum(tf) as length from c group by all), n as (select kind, count(distinct id) as documents from d group by 1),
+a as (select kind, field, sum(length)::double / any_value(documents) as mean, any_value(documents) as documents from l join n using (kind) group by 1, 2), f as (select kind, field, word, count(*) as df from c group by all),
+v as (select distinct word from w), e as (select query, k, word, case when word = term then 1::double when starts_with(word, term) then 0.375::double * length(word) / (length(word) + 0.3::double * (length(word) - length(term))) else 0.45::double * length(word) / (length(word) + levenshtein(word, term)) end as weight
+ from q, v where starts_with(word, term) or levenshtein(word, term) <= least(6, round(0.3::double * length(term)))),
+m as (select query, kind, id, count(distinct k) * sum(weight * boost * ln(1 + (documents - df + 0.5::double) / (df + 0.5::double)) * (0.5::double + tf * 2.2::double / (tf + 1.2::double * (0.3::double + 0.7::double * length / mean)))) as score
+ from c join e using (word) join f using (kind, field, word) join l using (kind, id, field) join a using (kind, field) group by 1, 2, 3),
+r as (select query, kind, id, score, row_number() over (partition by query, kind order by round(score, 6) desc, id) as r from m)
+select query, kind, id, round(score, 5) as score, r from r where r <= case kind when 'work' then 12 when 'venue' then 6 else 5 end
 """)
 def fuzzy_terms(s: Star) -> DataFrame:
-    """prefix and fuzzy hits of a few stated queries among works, venues and makers, with field boosts; the best 12, 6 and 5."""
-    queries = S.queries_of(s.spark, ["smal wdget", "ring", "bol 23"])
-    named = lambda kind, df, key, fields: S.field_words(df.select(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("id"), *fields), ["kind", "id"], fields)
-    makers = s.works.select("maker").distinct()
-    words = named("work", s.works, "work_id", {"title": 3, "maker": 1}).unionByName(named("venue", s.venues, "venue_id", {"name": 3, "area": 1})).unionByName(named("maker", makers, "maker", {"maker": 1}))
-    hits = S.fuzzy_hits(words, queries, ["kind", "id"])
-    ranked = hits.withColumn("r", F.row_number().over(Window.partitionBy("query", "kind").orderBy(F.desc(F.round("score", 9)), "id")))
+    """prefix and fuzzy hits of a few stated queries among works, venues and makers, by BM25+ with field boosts; the best 12, 6 and 5."""
+    queries = X.queries_of(s.spark, ["smal wdget", "ring", "bol 23", "suplier00000003 standart"])
+    makers, venues = s.works.select("maker").distinct(), s.venues.withColumn("name", F.replace("name", F.lit("#"), F.lit("")))
+    words = X.field_words(s.works, "work", "work_id", {"title": 3, "maker": 1}).unionByName(X.field_words(venues, "venue", "venue_id", {"name": 3, "area": 1})).unionByName(X.field_words(makers, "maker", "maker", {"maker": 1}))
+    counts = [df.agg(F.count("*").alias("documents")).select(F.lit(kind).alias("kind"), "documents") for kind, df in (("work", s.works), ("venue", s.venues), ("maker", makers))]
+    hits = X.ranked_hits(words, counts[0].unionByName(counts[1]).unionByName(counts[2]), queries)
+    ranked = hits.withColumn("r", F.row_number().over(Window.partitionBy("query", "kind").orderBy(F.desc(F.round("score", 6)), "id")))
     most = F.when(F.col("kind") == "work", 12).when(F.col("kind") == "venue", 6).otherwise(5)
-    return ranked.where(F.col("r") <= most).select("query", "kind", "id", F.round("score", 6).alias("score"), "r")
+    return ranked.where(F.col("r") <= most).select("query", "kind", "id", F.round("score", 5).alias("score"), "r")
 
 
 @plan("external_scores", """

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stagelight.functions import stemming
-from stagelight.operators import search
+from stagelight.operators import fuzzy_index, search
 from stagelight.operators import similarity_joins as joins
 from stagelight.operators.text_index import Entity, TextIndex, kept_index, state_of
 
@@ -166,3 +166,26 @@ def test_membership(spark):
     assert sorted(tuple(r) for r in reps.select("t", "rep").collect()) == [("x", 1), ("y", 3), ("z", 4)]
     pairs = spark.createDataFrame([(1, 3)], "a long, b long")
     assert sorted(tuple(r) for r in joins.membership(members, "id", pairs).collect()) == [(1, 1, 1), (2, 1, 1), (3, 3, 1), (4, 4, 0)]
+
+
+def test_near_words_are_those_of_all_words(spark):
+    """Deletions for few edits, pieces for more; against the whole vocabulary times all terms."""
+    rng = random.Random(9)
+    words = sorted({"".join(rng.choice("abcde") for _ in range(rng.randint(1, 18))) for _ in range(300)} | {"a", "ab", "supplier000003", "suppliers00003x"})
+    asked = []
+    for w in words[::6]:
+        at = rng.randrange(len(w))
+        asked.append(w[:at] + rng.choice(["", "x", "b" + w[at]]) + w[at + 1 :] or "z")
+    vocabulary = spark.createDataFrame([(w,) for w in words], "word string")
+    queries = spark.createDataFrame([("q", i, t) for i, t in enumerate(dict.fromkeys(asked))], "query string, k int, term string")
+    got = {(r.term, r.word): r.edits for r in fuzzy_index.near_words(vocabulary, queries).collect()}
+    most = lambda t: min(6, int(0.3 * len(t) + 0.5))
+    want = {(t, w): d for t in set(asked) for w in words if most(t) and (d := levenshtein(t, w)) <= most(t)}
+    assert sorted(got.items() - want.items())[:5] == [] and sorted(want.items() - got.items())[:5] == [] and len(want) > 50
+
+
+def test_few_words_meet_a_term(spark):
+    words = sorted({w for t in random_titles(2000, 2) for w in t.split()})
+    index = fuzzy_index.deletion_index(spark.createDataFrame([(w,) for w in words], "word string"))
+    term = spark.createDataFrame([("renvoshi",)], "term string").select(F.explode(fuzzy_index.rests(F.col("term"), 2)).alias("rest"))
+    assert index.join(term, "rest").select("word").distinct().count() < 0.02 * len(words)
