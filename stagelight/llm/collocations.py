@@ -137,6 +137,7 @@ class Shard:
 
 
 _ROW = "lang string, range int, words binary, paths binary, counts binary, edges array<bigint>"
+_ARROW = pa.schema([("lang", pa.string()), ("range", pa.int32()), ("words", pa.binary()), ("paths", pa.binary()), ("counts", pa.binary()), ("edges", pa.list_(pa.int64()))])
 _NODE = "lang string, depth int, phrase string, a bigint, lefts array<bigint>"
 
 
@@ -163,7 +164,7 @@ def _shards(docs: DataFrame, cuts: dict[str, list[Path]], depth: int, size: int)
 
         def flush(lang: str) -> Iterator[pa.RecordBatch]:
             for row in _rows(lang, shards.pop(lang).leaves(), cuts.get(lang, []), depth):
-                yield pa.RecordBatch.from_pylist([row], schema=schema)
+                yield pa.RecordBatch.from_pylist([row], schema=_ARROW)
 
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
@@ -178,10 +179,6 @@ def _shards(docs: DataFrame, cuts: dict[str, list[Path]], depth: int, size: int)
         for lang in list(shards):
             yield from flush(lang)
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    schema = to_arrow_schema(_parse_datatype_string(_ROW))
     return docs.mapInArrow(written, _ROW)
 
 
@@ -265,6 +262,9 @@ def counted(docs: DataFrame, longest: int = 3, least: int = 10, shard: int = SHA
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
     cuts = _cuts(texts, texts.count(), longest, per_range)
     rows = _shards(texts, cuts, longest, shard)
+    # As many partitions as ranges, where those are more than the session's: a task's rows do not grow with the input.
+    usual = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(max(usual, sum(len(c) + 1 for c in cuts.values())), "lang", "range")
     return rows.groupBy("lang", "range").applyInPandas(lambda pdf: _merge(pdf, cuts, longest, least), _NODE)
 
 

@@ -140,7 +140,7 @@ class _Forest:
         return others[first[apart]].tolist()
 
 
-_CELL = "label string, dims int, block int, cell string, visits boolean, node long, copies long, vector array<double>"
+_CELL = "label string, dims int, block int, cell string, visits boolean, node long, copies long, vector "
 
 
 def _meet(pdf: pd.DataFrame, joins: dict[int, Join]) -> pd.DataFrame:
@@ -148,7 +148,7 @@ def _meet(pdf: pd.DataFrame, joins: dict[int, Join]) -> pd.DataFrame:
     join, block = joins[int(pdf["dims"].iloc[0])], int(pdf["block"].iloc[0])
     # Rows of both parts in one order; what is compared are two runs of it.
     pdf = pdf.sort_values(["part", "visits", "node"], kind="stable")
-    vectors = np.stack(list(pdf["vector"]))
+    vectors = np.stack(list(pdf["vector"])).astype(float)
     turned, scaled = join.turned(vectors)
     lengths = np.linalg.norm(scaled, axis=1)
     nodes, copies, visits, part = (pdf[c].to_numpy() for c in ("node", "copies", "visits", "part"))
@@ -179,7 +179,9 @@ def linked_vectors(vectors: DataFrame, least: float = 0.93, blocks: int = BLOCKS
     """vec_id, n_links, component_id and kept of each row of vectors (vec_id, embedding, label)."""
     if not 0 < least <= 1:
         raise ValueError("least must be above 0, and 1 at most")
-    vector = F.col("embedding").cast("array<double>")
+    # Single precision travels as it is; all arithmetic is in double.
+    kind = "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"
+    vector = F.col("embedding").cast(kind)
     keyed = vectors.select("vec_id", F.col("label").cast("string").alias("label"), vector.alias("vector"))
     usable = _usable(F.col("vector"), F.col("label"))
     keyed = keyed.withColumn("h", F.when(usable, F.xxhash64("vector"))).withColumn("g", F.when(usable, F.xxhash64(F.lit(7), "vector")))
@@ -203,12 +205,12 @@ def linked_vectors(vectors: DataFrame, least: float = 0.93, blocks: int = BLOCKS
         for pdf in batches:
             for d, rows in pdf.groupby(pdf["vector"].map(len)):
                 join = joins[d]
-                turned, _ = join.turned(np.stack(list(rows["vector"])))
+                turned, _ = join.turned(np.stack(list(rows["vector"])).astype(float))
                 for b, at, cells, visits in join.cells(turned):
                     some = rows.iloc[at]
                     yield pd.DataFrame({"label": some["label"], "dims": d, "block": b, "cell": cells, "visits": visits, "node": some["node"], "copies": some["copies"], "vector": some["vector"]})
 
-    rows = nodes.select("label", "node", "copies", "vector").mapInPandas(placed, _CELL)
+    rows = nodes.select("label", "node", "copies", "vector").mapInPandas(placed, _CELL + kind)
     cell = ["label", "dims", "block", "cell"]
     # Cells with one row, or with visitors alone, hold no pair.
     sizes = durable(rows.groupBy(*cell).agg(F.count("*").alias("rows"), F.count_if(~F.col("visits")).alias("homes")).where("rows > 1 and homes > 0"), "cells")

@@ -189,6 +189,8 @@ def dropped(n: int, runs: list[Run]) -> np.ndarray:
     return np.cumsum(edges[:-1]) > 0
 
 
+_COLUMNS = [(c, pa.int64()) for c in ("n_runs", "start", "length", "period", "exponent_milli")] + [("runs_sha256", pa.string()), ("collapsed_sha256", pa.string())]
+_MORE = [("runs", pa.list_(pa.struct([(c, pa.int64()) for c in ("start", "length", "period")]))), ("collapsed", pa.string())]
 Judge = Callable[[object, np.ndarray], np.ndarray]
 
 
@@ -202,6 +204,7 @@ def described(docs: DataFrame, reorder: Judge | None = None, collapsed: bool = F
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            schema = pa.schema([("doc_id", batch.schema.field(0).type), *_COLUMNS, *(_MORE if collapsed else [])])
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
                 names: defaultdict[bytes, int] = defaultdict()
@@ -228,10 +231,6 @@ def described(docs: DataFrame, reorder: Judge | None = None, collapsed: bool = F
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     made = f"doc_id {kind}, n_runs long, start long, length long, period long, exponent_milli long, runs_sha256 string, collapsed_sha256 string{more}"
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    schema = to_arrow_schema(_parse_datatype_string(made))
     return docs.select("doc_id", "text").mapInArrow(judged, made)
 
 
