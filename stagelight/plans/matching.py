@@ -12,6 +12,7 @@ from stagelight.operators import search as S
 from stagelight.plans.registry import plan
 from stagelight.plans.scalars import _NOISE_SQL, _noisy
 from stagelight.plans.search import sim, tri
+from stagelight.sources import pages as P
 from stagelight.sources.feeds import read_feed, write_feed
 from stagelight.sources.saved import saved, shared_dir
 from stagelight.sources.star import Star
@@ -147,6 +148,41 @@ def page_blocks(s: Star) -> DataFrame:
     return found.groupBy("page_id", "entry").agg(F.min("place").alias("place"), F.count("*").alias("copies"))
 
 
+#: A template of listing pages: what each page should have, and how it should look.
+PAGE = {
+    "title": P.Field("article > h1", required=True, pattern=r"(?s).{1,40}"), "lang": P.Field("html@lang", required=True, pattern="en|de|fr"), "menu": P.Field("nav li > a"), "link": P.Field("nav a@href", pattern=r"/[^\s,.]*"),
+    "advert": P.Field("div.ad"), "charset": P.Field("head meta[charset=utf-8]@charset", required=True), "programme": P.Field("section#programme li", required=True),
+}
+#: SQL for text with its references and white space read.
+_TEXT = r"""trim(regexp_replace(replace(replace(replace(replace(replace({t}, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g'))"""
+_PAGE_SQL = r"""
+with v as (select page_id, 'title' as field, regexp_extract_all(html, '(?s)<article><h1>(.*?)</h1>', 1) as vs from pages union all select page_id, 'lang', regexp_extract_all(html, '<html lang="([^"]*)"', 1) from pages
+ union all select page_id, 'menu', regexp_extract_all(html, '(?s)<li><a href="[^"]*">(.*?)</a></li>', 1) from pages union all select page_id, 'link', regexp_extract_all(html, '<li><a href="([^"]*)">', 1) from pages
+ union all select page_id, 'advert', regexp_extract_all(html, '(?s)<div class="ad">(.*?)</div>', 1) from pages union all select page_id, 'charset', regexp_extract_all(html, '<meta charset="(utf-8)">', 1) from pages),
+u as (select page_id, field, unnest(vs) as raw, generate_subscripts(vs, 1)::int as place from v), t as (select page_id, field, place, TEXT as value from u),
+e as (select *, case field when 'title' then length(value) between 1 and 40 when 'lang' then value in ('en', 'de', 'fr') when 'link' then regexp_full_match(value, '/[^\s,.]*') else true end as fits from t)
+""".replace("TEXT", _TEXT.format(t="raw"))
+
+
+def _page_parts(s: Star) -> DataFrame:
+    return P.scraped(s.table("pages").select("page_id", "html"), PAGE)
+
+
+@plan("page_entries", _PAGE_SQL + "select page_id, field, place, value from e where fits and value <> ''")
+def page_entries(s: Star) -> DataFrame:
+    """The entries of every page by a template of paths through its elements."""
+    return P.entries(_page_parts(s)).select("page_id", "field", "place", "value")
+
+
+@plan("page_errors", _PAGE_SQL + """
+select page_id, field || ' ' || place || ': ' || value[1:80] as error from e where not fits union all
+select page_id, f || ': missing' from pages, (values ('title'), ('lang'), ('charset'), ('programme')) as r(f) where not exists (from e where e.page_id = pages.page_id and e.field = f and value <> '')
+""")
+def page_errors(s: Star) -> DataFrame:
+    """What each page lacks, or has in another form than its template says."""
+    return _page_parts(s).select("page_id", F.explode("errors").alias("error"))
+
+
 @plan("random_sample")
 def random_sample(s: Star) -> DataFrame:
     """A random sample of rows with a seed; a limit is the feature."""
