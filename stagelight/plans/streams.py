@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from stagelight.plans.registry import plan
 from stagelight.sources.star import Star
+from stagelight.sources.upserts import KeyedTable
 from stagelight.streaming import replay as R
 
 
@@ -19,18 +20,18 @@ def _events(s: Star) -> DataFrame:
 
 @plan("stream_daily_counts", "select date_trunc('day', ts) as day, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
 def stream_daily_counts(s: Star) -> DataFrame:
-    """Tumbling windows in complete mode."""
-    out = R.run_to_end(R.daily_counts(_events(s)), "complete", R.overwrite)
-    return s.spark.read.parquet(out).select(F.col("w.start").cast("timestamp_ntz").alias("day"), "event_type", "n", "total")
+    """Tumbling windows; each batch writes the windows that it changed, and closed ones leave the state."""
+    out = R.run_to_end(R.daily_counts(_events(s)), "update", R.append)
+    return R.newest(s.spark, out, "w", "event_type").select(F.col("w.start").cast("timestamp_ntz").alias("day"), "event_type", "n", "total")
 
 
 @plan("stream_sliding_counts", """
 select time_bucket(interval 30 minute, ts) - to_minutes(30 * k) as starts, user_id, count(*) as n from events, (values (0), (1)) v(k) group by 1, 2
 """)
 def stream_sliding_counts(s: Star) -> DataFrame:
-    """Windows of an hour, every half."""
-    out = R.run_to_end(R.sliding_counts(_events(s), "1 hour", "30 minutes"), "complete", R.overwrite)
-    return s.spark.read.parquet(out).select(F.col("w.start").cast("timestamp_ntz").alias("starts"), "user_id", "n")
+    """Windows of an hour, every half; each batch writes those that it changed, and closed ones leave the state."""
+    out = R.run_to_end(R.sliding_counts(_events(s), "1 hour", "30 minutes"), "update", R.append)
+    return R.newest(s.spark, out, "w", "user_id").select(F.col("w.start").cast("timestamp_ntz").alias("starts"), "user_id", "n")
 
 
 @plan("stream_first_seen", "select distinct user_id, event_type from events")
@@ -50,7 +51,7 @@ select user_id, micros, n::bigint as n, n <= 2 as allowed from t
 
 @plan("stream_fixed_window_limit", _LIMIT)
 def stream_fixed_window_limit(s: Star) -> DataFrame:
-    """Windows opened by a key's first request, in keyed state."""
+    """Windows opened by a key's first request, in keyed state that ends with the window."""
     out = R.run_to_end(R.limited(_events(s), "user_id", "ts", 86_400, 2), "append", R.append)
     return s.spark.read.parquet(out).select(F.col("key").alias("user_id"), F.col("at").alias("micros"), "n", "allowed")
 
@@ -85,9 +86,7 @@ def sliding_window_limit(s: Star) -> DataFrame:
 
 @plan("stream_latest", "select user_id, event_type, max(ts) as ts, arg_max(event_id, (ts, event_id)) as event_id from events group by 1, 2")
 def stream_latest(s: Star) -> DataFrame:
-    """A sink that holds the newest item of each key, merged batch by batch."""
-    items = _events(s).select("user_id", "event_type", "ts", "event_id")
-    out = R.run_to_end(items, "append", R.keep_latest(items, ["user_id", "event_type"], "ts", "event_id"))
-    versions = s.spark.read.parquet(out)
-    newest = versions.agg(F.max("version")).first()[0]
-    return versions.where(F.col("version") == newest).select("user_id", "event_type", "ts", "event_id")
+    """A sink that holds the newest item of each key; each batch writes the parts of the table that its keys are in."""
+    items, keys = _events(s).select("user_id", "event_type", "ts", "event_id"), ["user_id", "event_type"]
+    out = R.run_to_end(items, "append", R.keep_latest(items, keys, "ts", "event_id"))
+    return KeyedTable(s.spark, out, keys).rows(items)
