@@ -118,6 +118,30 @@ def set_candidates(sets: DataFrame, key: str, members: str, least: float, within
     return small.join(large, ["k", "x", *within]).where(fits).select("a", "b", *within).distinct()
 
 
+GRAM = 3
+
+
+def _grams(text: Column) -> Column:
+    """All parts of one to GRAM characters."""
+    of = lambda k: F.when(F.length(text) >= k, F.transform(F.sequence(F.lit(1), F.length(text) - k + 1), lambda i: F.substring(text, i, k))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.flatten(F.array(*(of(k) for k in range(1, GRAM + 1)))))
+
+
+def contained_pairs(inner: DataFrame, outer: DataFrame, text: str) -> DataFrame:
+    """inner, outer: each distinct text with the distinct texts of the other frame that hold it. Nulls and empty texts are in none.
+
+    A text is looked up by that part of GRAM characters, or itself if it is shorter, which the fewest others have; one with a part that none has
+    is in none. Texts meet by equality of that part, so no two are compared that have it not in common.
+    """
+    asks = inner.select(F.col(text).alias("inner")).where("inner <> ''").distinct()
+    holds = outer.select(F.col(text).alias("outer")).where("outer <> ''").distinct()
+    parts = holds.select("outer", F.explode(_grams(F.col("outer"))).alias("gram"))
+    often = parts.groupBy("gram").agg(F.count("*").alias("n"))
+    own = asks.select("inner", F.explode(F.filter(_grams(F.col("inner")), lambda g: F.length(g) == F.least(F.lit(GRAM), F.length(F.col("inner"))))).alias("gram"))
+    rarest = own.join(often, "gram", "left").groupBy("inner").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    return rarest.join(parts, "gram").where(F.contains("outer", "inner")).select("inner", "outer")
+
+
 def share_of_union(a: Column, b: Column) -> Column:
     both = F.size(F.array_intersect(a, b))
     return both / (F.size(a) + F.size(b) - both)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,8 +12,9 @@ from stagelight.operators import listing as L
 from stagelight.operators import similarity_joins as J
 from stagelight.plans.listing import ts
 from stagelight.plans.registry import plan
-from stagelight.sources.saved import saved
+from stagelight.sources.saved import saved, shared_dir
 from stagelight.sources.star import Star
+from stagelight.sources.upserts import KeyedTable
 
 RUN = "1998-06-01 00:00:00"
 
@@ -66,6 +69,18 @@ def upserted(s: Star) -> DataFrame:
     return I.upsert(old.drop("scraped_at"), rows.where(F.col("scraped_at") >= ts(RUN)).drop("scraped_at"), ["venue_id", "source_id"], order, ["price"])
 
 
+@plan("stored_upserts", _UP)
+def stored_upserts(s: Star) -> DataFrame:
+    """The same as two batches into a stored table, the second one rewriting the parts that its keys are in."""
+    rows = s.showings.where("source_id is not null").select("venue_id", "source_id", "shows_at", "price", "scraped_at")
+    keys, order = ["venue_id", "source_id"], [F.asc("shows_at"), F.asc("price")]
+    table = KeyedTable(s.spark, f"{shared_dir(s.spark)}/table-{uuid.uuid4().hex}", keys)
+    merge = lambda old, new: I.upsert(old, new, keys, order, ["price"])
+    for batch, new in enumerate((rows.where(F.col("scraped_at") < ts(RUN)), rows.where(F.col("scraped_at") >= ts(RUN)))):
+        table.upsert(new.drop("scraped_at"), batch, merge)
+    return table.rows(rows.drop("scraped_at"))
+
+
 @plan("inserted", f"""
 with o as (select distinct work_id, venue_id from showings where scraped_at < timestamp '1996-01-01'), n as (select distinct work_id, venue_id from showings where scraped_at >= timestamp '2001-06-01') select * from o union all select * from n anti join o using (work_id, venue_id)
 """)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stagelight.functions import titles, values
 from stagelight.operators import search as S
+from stagelight.operators import similarity_joins as J
 from stagelight.plans.registry import plan
 from stagelight.plans.scalars import _NOISE_SQL, _noisy
 from stagelight.plans.search import sim, tri
@@ -18,29 +19,48 @@ from stagelight.sources.saved import saved, shared_dir
 from stagelight.sources.star import Star
 
 
-@plan("season_links", """
-with e(entry) as (values ('small ring'), ('small'), ('red widgit'), ('blue bolt extended'), ('old gear')), t as (select distinct title from works)
+#: SQL for the entries of seasons: titles as they are, cut, lengthened or misspelled.
+_ENTRIES = """e as (select distinct case work_id % 5 when 0 then title when 1 then split_part(title, ' ', 1) when 2 then title || ' extended' when 3 then 'the ' || title else replace(title, 'e', 'i') end as entry from works), t as (select distinct title from works)"""
+
+
+def _entries(s: Star) -> DataFrame:
+    k = F.col("work_id") % 5
+    entry = F.when(k == 0, F.col("title")).when(k == 1, F.split_part("title", F.lit(" "), F.lit(1))).when(k == 2, F.concat("title", F.lit(" extended"))).when(k == 3, F.concat(F.lit("the "), "title")).otherwise(F.replace("title", F.lit("e"), F.lit("i")))
+    return s.works.select(entry.alias("text")).distinct()
+
+
+def _held(entries: DataFrame, titles_: DataFrame) -> DataFrame:
+    """entry, title: pairs of which one holds the other."""
+    into = J.contained_pairs(entries, titles_, "text").select(F.col("inner").alias("entry"), F.col("outer").alias("title"))
+    return into.unionByName(J.contained_pairs(titles_, entries, "text").select(F.col("outer").alias("entry"), F.col("inner").alias("title"))).distinct()
+
+
+@plan("season_links", f"""
+with {_ENTRIES}
 select entry, title, case when entry = title then 0 when starts_with(title, entry) or starts_with(entry, title) then 1 else 2 end as tier from e, t
 where entry = title or starts_with(title, entry) or starts_with(entry, title) or 1 - levenshtein(entry, title)::double / greatest(length(entry), length(title)) > 0.85
 """)
 def season_links(s: Star) -> DataFrame:
-    """A season's few entries against the distinct titles: equal, prefix either way, or alike in spelling."""
-    e = s.spark.createDataFrame([("small ring",), ("small",), ("red widgit",), ("blue bolt extended",), ("old gear",)], "entry string")
-    prefix = F.startswith("title", "entry") | F.startswith("entry", "title")
-    met = s.works.select("title").distinct().join(F.broadcast(e), prefix | (S.levenshtein_similarity(F.col("entry"), F.col("title")) > 0.85))
-    return met.select("entry", "title", F.when(F.col("entry") == F.col("title"), 0).when(prefix, 1).otherwise(2).alias("tier"))
-
-
-@plan("containment_matches", """
-with e(entry) as (values ('the small ring returns'), ('small ring'), ('ring'), ('night of the red widget')), t as (select distinct title from works)
+    """The entries of seasons against the distinct titles: equal, prefix either way, or alike in spelling."""
+    entries, titles_ = _entries(s), s.works.select(F.col("title").alias("text")).distinct()
+    prefix = _held(entries, titles_).where(F.startswith("title", "entry") | F.startswith("entry", "title"))
+    alike = J.edit_pairs(entries.unionByName(titles_), "text", 0.85).where("similarity > 0.85")
+    both = alike.select("a", "b").unionByName(alike.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    spelled = both.join(entries.withColumnRenamed("text", "a"), "a").join(titles_.withColumnRenamed("text", "b"), "b").select(F.col("a").alias("entry"), F.col("b").alias("title"))
+    found = prefix.unionByName(spelled).distinct()
+    begins = F.startswith("title", "entry") | F.startswith("entry", "title")
+    return found.select("entry", "title", F.when(F.col("entry") == F.col("title"), 0).when(begins, 1).otherwise(2).alias("tier"))
+
+
+@plan("containment_matches", f"""
+with {_ENTRIES}
 select entry, title from e, t where entry = title or (least(length(entry), length(title)) >= 8 and (contains(entry, title) or contains(title, entry)) and least(length(entry), length(title)) >= 0.6 * greatest(length(entry), length(title)))
 """)
 def containment_matches(s: Star) -> DataFrame:
-    """Equal, or one in the other if long enough."""
-    e = s.spark.createDataFrame([("the small ring returns",), ("small ring",), ("ring",), ("night of the red widget",)], "entry string")
+    """Equal, or one in the other if long enough; texts meet by the rarest part of the one that may be held."""
     short, long_ = F.least(F.length("entry"), F.length("title")), F.greatest(F.length("entry"), F.length("title"))
-    held = (short >= 8) & (F.contains("entry", "title") | F.contains("title", "entry")) & (short >= 0.6 * long_)
-    return s.works.select("title").distinct().join(F.broadcast(e), (F.col("entry") == F.col("title")) | held).select("entry", "title")
+    met = _held(_entries(s), s.works.select(F.col("title").alias("text")).distinct())
+    return met.where((F.col("entry") == F.col("title")) | ((short >= 8) & (short >= 0.6 * long_)))
 
 
 @plan("match_confidence", f"""

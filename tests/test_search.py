@@ -189,3 +189,13 @@ def test_few_words_meet_a_term(spark):
     index = fuzzy_index.deletion_index(spark.createDataFrame([(w,) for w in words], "word string"))
     term = spark.createDataFrame([("renvoshi",)], "term string").select(F.explode(fuzzy_index.rests(F.col("term"), 2)).alias("rest"))
     assert index.join(term, "rest").select("word").distinct().count() < 0.02 * len(words)
+
+
+def test_contained_pairs_are_those_of_all_pairs(spark):
+    rng = random.Random(3)
+    texts = sorted({"".join(rng.choice("abc ") for _ in range(rng.randint(1, 9))) for _ in range(150)})
+    inner, outer = texts[::2] + ["zz", "zzzz", "é"], texts[1::2] + ["xzzx", "éé"]
+    frame = lambda ts: spark.createDataFrame([(t,) for t in ts] + [(None,), ("",)], "t string")
+    got = {(r.inner, r.outer) for r in joins.contained_pairs(frame(inner), frame(outer), "t").collect()}
+    assert got == {(a, b) for a in inner for b in outer if a in b} and len(got) > 50
+    assert "NestedLoop" not in joins.contained_pairs(frame(inner), frame(outer), "t")._jdf.queryExecution().executedPlan().toString()
