@@ -215,13 +215,13 @@ def venue_aliases(s: Star) -> DataFrame:
 
 
 @plan("override_union", """
-with u as (select work_id, venue_id, shows_at::date as day, 1 as tier, price from showings where format = 'digital' and shows_at < timestamp '1996-01-01' union all select work_id, venue_id, shows_at::date, 0, price from showings where format = 'imax' and shows_at < timestamp '1996-01-01')
+with u as (select work_id, venue_id, shows_at::date as day, 1 as tier, price from showings where format = 'digital' union all select work_id, venue_id, shows_at::date, 0, price from showings where format = 'imax')
 select work_id, venue_id, day, tier, price from u qualify row_number() over (partition by work_id, venue_id, day order by tier, price) = 1
 """)
 def override_union(s: Star) -> DataFrame:
     """Two sources by key, the changes before the programme."""
     day = F.col("shows_at").cast("date").alias("day")
-    side = lambda kind, tier: s.showings.where((F.col("format") == kind) & (F.col("shows_at") < ts("1996-01-01"))).select("work_id", "venue_id", day, F.lit(tier).alias("tier"), "price")
+    side = lambda kind, tier: s.showings.where(F.col("format") == kind).select("work_id", "venue_id", day, F.lit(tier).alias("tier"), "price")
     u = side("digital", 1).unionAll(side("imax", 0))
     return u.withColumn("_n", F.row_number().over(Window.partitionBy("work_id", "venue_id", "day").orderBy("tier", "price"))).where("_n = 1").drop("_n")
 
@@ -247,13 +247,13 @@ def retry_due(s: Star) -> DataFrame:
 
 
 @plan("dedupe_ladder", """
-with o as (select * from showings where scraped_at < timestamp '1999-01-01' and shows_at between timestamp '1998-12-01' and timestamp '1999-06-01'), n as (select * from showings where scraped_at >= timestamp '1999-01-01' and shows_at between timestamp '1998-12-01' and timestamp '1999-06-01'),
+with o as (select * from showings where scraped_at < timestamp '1999-01-01'), n as (select * from showings where scraped_at >= timestamp '1999-01-01'),
 k as (select n.showing_id, n.work_id, n.venue_id, n.price, min(case when n.source_id = o.source_id then 1 when n.work_id = o.work_id and n.shows_at = o.shows_at then 2 when n.work_id = o.work_id and abs(date_diff('second', n.shows_at, o.shows_at)) <= 7200 then 3 end) as step from n left join o on n.venue_id = o.venue_id group by 1, 2, 3, 4)
 select coalesce(step, 9) as step, count(*) as n from k group by 1
 """)
 def dedupe_ladder(s: Star) -> DataFrame:
     """Each new row by the first step at which a stored one stands for it: each step an equi join of its own."""
-    rows = s.showings.where(F.col("shows_at").between(ts("1998-12-01"), ts("1999-06-01"))).select("showing_id", "work_id", "venue_id", "price", "source_id", "shows_at", "scraped_at")
+    rows = s.showings.select("showing_id", "work_id", "venue_id", "price", "source_id", "shows_at", "scraped_at")
     new, old = rows.where(F.col("scraped_at") >= ts("1999-01-01")), rows.where(F.col("scraped_at") < ts("1999-01-01"))
     key = ["showing_id", "work_id", "venue_id", "price"]
     by_source = new.join(old.where("source_id is not null").select("venue_id", "source_id").distinct(), ["venue_id", "source_id"], "left_semi").select(*key, F.lit(1).alias("step"))
@@ -264,39 +264,41 @@ def dedupe_ladder(s: Star) -> DataFrame:
     return new.select(*key).distinct().join(found, key, "left").groupBy(F.coalesce("step", F.lit(9)).alias("step")).agg(F.count("*").alias("n"))
 
 
-@plan("calendar_source")
+@plan("calendar_source", "select venue_id, showing_id::varchar as uid, shows_at as starts, title as summary from showings join works using (work_id)")
 def calendar_source(s: Star) -> DataFrame:
-    """Events read back from calendar files, one per venue."""
-    rows = s.showings.where(F.col("shows_at") < ts("1995-02-01")).join(s.works, "work_id")
+    """Events read back from calendar files, one per venue and month."""
+    rows = s.showings.join(s.works, "work_id")
     line = F.concat_ws("\r\n", F.lit("BEGIN:VEVENT"), F.concat(F.lit("UID:"), "showing_id"), F.concat(F.lit("DTSTART:"), F.date_format("shows_at", "yyyyMMdd'T'HHmmss'Z'")), F.concat(F.lit("SUMMARY:"), F.substring("title", 1, 4), F.lit("\r\n "), F.substring("title", 5, 100)), F.lit("END:VEVENT"))
-    files = rows.groupBy("venue_id").agg(F.array_join(F.collect_list(line), "\r\n").alias("text"))
+    files = rows.groupBy("venue_id", F.trunc("shows_at", "month").alias("month")).agg(F.array_join(F.collect_list(line), "\r\n").alias("text"))
     return I.calendar_events(files, "venue_id", "text")
 
 
 @plan("coverage_report", """
-with a as (select * from showings where format = 'imax' and shows_at between timestamp '1999-01-01' and timestamp '1999-03-01'), b as (select * from showings where format <> 'imax' and shows_at between timestamp '1998-12-31' and timestamp '1999-03-02'),
+with a as (select * from showings where format = 'imax'), b as (select * from showings where format <> 'imax'),
 c as (select a.showing_id, a.work_id, a.venue_id, a.price, exists (select 1 from b where b.venue_id = a.venue_id and (b.source_id = a.source_id or (abs(date_diff('second', a.shows_at, b.shows_at)) <= 1200 and b.work_id % 10 = a.work_id % 10))) as covered from a)
 select venue_id, count(*) as total, count(*) filter (where covered) as covered, count(*) filter (where not covered) as missing from c group by 1
 """)
 def coverage_report(s: Star) -> DataFrame:
     """Rows of one source that a second one covers, by id or by time and title; each way an equi join."""
     key = ["showing_id", "work_id", "venue_id", "price"]
-    a = s.showings.where((F.col("format") == "imax") & F.col("shows_at").between(ts("1999-01-01"), ts("1999-03-01"))).select(*key, "source_id", "shows_at")
-    b = s.showings.where((F.col("format") != "imax") & F.col("shows_at").between(ts("1998-12-31"), ts("1999-03-02")))
+    a = s.showings.where(F.col("format") == "imax").select(*key, "source_id", "shows_at")
+    b = s.showings.where(F.col("format") != "imax")
     by_id = a.join(b.where("source_id is not null").select("venue_id", "source_id").distinct(), ["venue_id", "source_id"], "left_semi").select(*key)
-    times = b.select("venue_id", (F.col("work_id") % 10).alias("kind"), F.col("shows_at").alias("t"))
-    by_time = a.withColumn("kind", F.col("work_id") % 10).join(times, ["venue_id", "kind"]).where(F.abs(F.timestamp_diff("SECOND", F.col("shows_at"), F.col("t"))) <= 1200).select(*key)
+    # Times within 20 minutes are in the same bucket of 20 minutes or in neighbours.
+    bucket = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / 1_200_000_000)
+    times = b.select("venue_id", (F.col("work_id") % 10).alias("kind"), F.col("shows_at").alias("t")).withColumn("slot", F.explode(F.array(bucket("t") - 1, bucket("t"), bucket("t") + 1)))
+    by_time = a.withColumn("kind", F.col("work_id") % 10).withColumn("slot", bucket("shows_at")).join(times, ["venue_id", "kind", "slot"]).where(F.abs(F.timestamp_diff("SECOND", F.col("shows_at"), F.col("t"))) <= 1200).select(*key)
     covered = by_id.unionAll(by_time).distinct().withColumn("hit", F.lit(1))
     c = a.join(covered, key, "left")
     return c.groupBy("venue_id").agg(F.count("*").alias("total"), F.count("hit").alias("covered"), F.count_if(F.col("hit").isNull()).alias("missing"))
 
 
 @plan("fallback_values", """
-select work_id, coalesce(case when work_id % 3 = 0 then 'id' end, case when work_id % 5 = 0 then 'search' end, case when source then 'scraper' end, 'placeholder') as poster from works left join (select work_id, bool_or(url <> '') as source from showings where shows_at < timestamp '1995-03-01' group by 1) using (work_id)
+select work_id, coalesce(case when work_id % 3 = 0 then 'id' end, case when work_id % 5 = 0 then 'search' end, case when source then 'scraper' end, 'placeholder') as poster from works left join (select work_id, bool_or(url <> '') as source from showings group by 1) using (work_id)
 """)
 def fallback_values(s: Star) -> DataFrame:
     """The first source that has a value."""
-    seen = s.showings.where(F.col("shows_at") < ts("1995-03-01")).groupBy("work_id").agg(F.bool_or(F.col("url") != "").alias("source"))
+    seen = s.showings.groupBy("work_id").agg(F.bool_or(F.col("url") != "").alias("source"))
     pick = F.coalesce(F.when(F.col("work_id") % 3 == 0, "id"), F.when(F.col("work_id") % 5 == 0, "search"), F.when(F.col("source"), "scraper"), F.lit("placeholder"))
     return s.works.join(seen, "work_id", "left").select("work_id", pick.alias("poster"))
 

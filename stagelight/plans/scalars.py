@@ -131,11 +131,11 @@ def local_hours(s: Star) -> DataFrame:
 
 
 @plan("composite_keys", """
-select venue_id || '-' || replace(title, ' ', '-') || '-' || strftime(date_trunc('minute', shows_at), '%Y-%m-%dT%H:%M') || '-' || format as key, lower(title) || '|' || strftime(shows_at, '%Y-%m-%dT%H:%M:%S') as second_key, to_json({'id': showing_id, 'title': title})::varchar as body from showings join works using (work_id) where shows_at < timestamp '1995-03-01'
+select venue_id || '-' || replace(title, ' ', '-') || '-' || strftime(date_trunc('minute', shows_at), '%Y-%m-%dT%H:%M') || '-' || format as key, lower(title) || '|' || strftime(shows_at, '%Y-%m-%dT%H:%M:%S') as second_key, to_json({'id': showing_id, 'title': title})::varchar as body from showings join works using (work_id)
 """)
 def composite_keys(s: Star) -> DataFrame:
     """Composite keys and JSON bodies."""
-    rows = s.showings.where(F.col("shows_at") < ts("1995-03-01")).join(s.works, "work_id")
+    rows = s.showings.join(s.works, "work_id")
     minute = F.date_format(F.date_trunc("MINUTE", "shows_at"), "yyyy-MM-dd'T'HH:mm")
     return rows.select(
         F.concat_ws("-", "venue_id", F.replace("title", F.lit(" "), F.lit("-")), minute, "format").alias("key"), F.concat(F.lower("title"), F.lit("|"), F.date_format("shows_at", "yyyy-MM-dd'T'HH:mm:ss")).alias("second_key"),
@@ -144,11 +144,11 @@ def composite_keys(s: Star) -> DataFrame:
 
 
 @plan("festival_states", """
-with f(name, starts, ends, on_sale) as (values ('a', timestamp '1998-05-20', timestamp '1998-06-10', timestamp '1998-05-01'), ('b', timestamp '1998-07-01', timestamp '1998-07-10', timestamp '1998-05-15'), ('c', timestamp '1998-09-01', timestamp '1998-09-10', timestamp '1998-08-15'), ('d', timestamp '1998-01-01', timestamp '1998-01-10', timestamp '1997-12-15'))
-select name, case when timestamp '1998-06-01' > ends then 'past' when timestamp '1998-06-01' >= starts then 'ongoing' when timestamp '1998-06-01' >= on_sale then 'on_sale' else 'upcoming' end as state from f
+with f as (select chain, quarter(shows_at)::int as season, year(shows_at)::int as year, min(shows_at) as starts, max(shows_at) as ends, min(scraped_at) as on_sale from showings join venues using (venue_id) group by 1, 2, 3)
+select chain, year, season, case when timestamp '1998-06-01' > ends then 'past' when timestamp '1998-06-01' >= starts then 'ongoing' when timestamp '1998-06-01' >= on_sale then 'on_sale' else 'upcoming' end as state from f
 """)
 def festival_states(s: Star) -> DataFrame:
-    """X25."""
-    f = s.spark.createDataFrame([("a", "1998-05-20", "1998-06-10", "1998-05-01"), ("b", "1998-07-01", "1998-07-10", "1998-05-15"), ("c", "1998-09-01", "1998-09-10", "1998-08-15"), ("d", "1998-01-01", "1998-01-10", "1997-12-15")], "name string, starts string, ends string, on_sale string")
-    at = lambda c: F.col(c).cast("timestamp_ntz")
-    return f.select("name", values.ticket_status(ts("1998-06-01"), at("starts"), at("ends"), at("on_sale")).alias("state"))
+    """A chain's showings of a quarter as a festival, with its state as of a day: past, ongoing, on sale since it was first listed, or upcoming."""
+    f = s.showings.join(s.venues, "venue_id").groupBy("chain", F.year("shows_at").alias("year"), F.quarter("shows_at").alias("season"))
+    f = f.agg(F.min("shows_at").alias("starts"), F.max("shows_at").alias("ends"), F.min("scraped_at").alias("on_sale"))
+    return f.select("chain", "year", "season", values.ticket_status(ts("1998-06-01"), F.col("starts"), F.col("ends"), F.col("on_sale")).alias("state"))
