@@ -107,3 +107,10 @@ def ticket_status(now: Column, starts: Column, ends: Column, on_sale: Column) ->
 
 def urgency(minutes_left: Column) -> Column:
     return F.when(minutes_left < 0, "missed").when(minutes_left <= 30, "now").when(minutes_left <= 60, "soon").otherwise("later")
+
+
+def rating_and_year(text: Column) -> tuple[Column, Column]:
+    """A rating out of ten, 0 to 10, and the year in brackets behind it; null where the text has none."""
+    pattern = r"(\d{1,2}(?:\.\d+)?)\s*/\s*10\s*\(((?:18|19|20)\d\d)\)"
+    rating = F.regexp_extract(text, pattern, 1).try_cast("double")
+    return F.when(rating <= 10, rating), F.regexp_extract(text, pattern, 2).try_cast("int")

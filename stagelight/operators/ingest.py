@@ -112,3 +112,11 @@ def calendar_events(lines: DataFrame, key: str, text: str) -> DataFrame:
     undone = F.replace(F.replace(F.replace(part("SUMMARY"), F.lit("\\,"), F.lit(",")), F.lit(r"\;"), F.lit(";")), F.lit("\\n"), F.lit("\n"))
     out = event.select(key, part("UID").alias("uid"), F.try_to_timestamp(F.regexp_replace(part("DTSTART"), "Z$", ""), F.lit("yyyyMMdd'T'HHmmss")).cast("timestamp_ntz").alias("starts"), undone.alias("summary"))
     return out.where("uid <> '' and summary <> '' and starts is not null")
+
+
+def attempts(runs: DataFrame, keys: list[str], at: str, good: Column, most: int) -> DataFrame:
+    """keys, attempts (those after the last good one, or all), last_at, given_up: whether these are `most` or more. Two sums: no key's runs are collected."""
+    last = runs.groupBy(*keys).agg(F.max(F.when(good, F.col(at))).alias("_good"), F.max(at).alias("last_at"))
+    later = runs.select(*keys, at).join(last.select(*keys, "_good"), keys).where(F.col("_good").isNull() | (F.col(at) > F.col("_good"))).groupBy(*keys).agg(F.count("*").alias("attempts"))
+    n = F.coalesce("attempts", F.lit(0)).cast("long")
+    return last.join(later, keys, "left").select(*keys, n.alias("attempts"), "last_at", (n >= most).alias("given_up"))

@@ -246,6 +246,16 @@ def retry_due(s: Star) -> DataFrame:
     return l.join(n, "venue_id", "left").select("venue_id", attempts.alias("attempts"), (~waits).alias("due"))
 
 
+@plan("field_attempts", """
+with r as (select venue_id, case run_id % 3 when 0 then 'poster' when 1 then 'rating' else 'year' end as field, status, started_at from runs), g as (select venue_id, field, max(started_at) filter (where status = 'success') as done_at from r group by 1, 2)
+select venue_id, field, count(*) filter (where done_at is null or started_at > done_at) as attempts, max(started_at) as last_at, count(*) filter (where done_at is null or started_at > done_at) >= 3 as given_up from r join g using (venue_id, field) group by 1, 2
+""")
+def field_attempts(s: Star) -> DataFrame:
+    """Attempts per enrichment field since it last succeeded, when the last one was, and whether three have failed."""
+    field = F.element_at(F.array(F.lit("poster"), F.lit("rating"), F.lit("year")), (F.col("run_id") % 3 + 1).cast("int"))
+    return I.attempts(s.runs.withColumn("field", field), ["venue_id", "field"], "started_at", F.col("status") == "success", 3)
+
+
 @plan("dedupe_ladder", """
 with o as (select * from showings where scraped_at < timestamp '1999-01-01'), n as (select * from showings where scraped_at >= timestamp '1999-01-01'),
 k as (select n.showing_id, n.work_id, n.venue_id, n.price, min(case when n.source_id = o.source_id then 1 when n.work_id = o.work_id and n.shows_at = o.shows_at then 2 when n.work_id = o.work_id and abs(date_diff('second', n.shows_at, o.shows_at)) <= 7200 then 3 end) as step from n left join o on n.venue_id = o.venue_id group by 1, 2, 3, 4)

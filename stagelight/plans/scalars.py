@@ -60,6 +60,39 @@ def title_classes(s: Star) -> DataFrame:
     return _noisy(s).select("work_id", titles.content_class(t).alias("class"), F.array_join(titles.events(t), ",").alias("events"), F.array_join(titles.formats(t), ",").alias("formats"), titles.not_a_film(t).alias("not_film"), f["has_prefix"].alias("has_prefix"), f["has_suffix"].alias("has_suffix"))
 
 
+#: Titles as programmes give them, with what else a showing offers; in Spark and in SQL.
+_OFFERS = ["{} in 3D", "Relaxed screening: {}", "{} with French subtitles", "{} (audio described)", "The Long Season: {}", "{} with English ST, subtitled", "Northern Film Festival : {} 3-D", "{}"]
+_OFFERS_SQL = "case work_id % 8 " + " ".join(f"when {i} then '{a}' || title || '{b}'" for i, (a, b) in enumerate(o.split("{}") for o in _OFFERS)) + " end"
+_ACCESS_SQL = {"3d": r"\b(in\s+)?3d\b|\b3-d\b", "relaxed": r"\brelaxed\s+(screening|film|cinema|performance)\b", "subtitles": r"\bsubtitles?\b|\bsubtitled\b|\bsubt\b|\bcc\b", "audio_description": r"\baudio[\s-]+described?\b"}
+
+
+@plan("event_extras", f"""
+with n as (select work_id, {_OFFERS_SQL} as t from works)
+select work_id, array_to_string(list_filter([{", ".join(f"case when regexp_matches(lower(t), '{p}') then '{k}' end" for k, p in _ACCESS_SQL.items())}], lambda x: x is not null), ',') as access,
+ case when regexp_matches(lower(t), '\\bfrench\\s+subtitles\\b') then 'fr' when regexp_matches(lower(t), '\\benglish\\s+(subtitles|st)\\b') then 'en' end as subtitles,
+ nullif(regexp_extract(t, '(?i)^([A-Z][^:]{{4,80}}?\\s+(?:Season|Retrospective|Series|Festival|Programme|Strand|presents?))\\s*:', 1), '') as season from n
+""")
+def event_extras(s: Star) -> DataFrame:
+    """X11: what a showing offers besides the film, the language of its subtitles, and the season it is part of."""
+    shapes = F.array(*(F.concat(F.lit(a), F.col("title"), F.lit(b)) for a, b in (o.split("{}") for o in _OFFERS)))
+    t = F.element_at(shapes, (F.col("work_id") % 8 + 1).cast("int"))
+    rows = s.works.select("work_id", t.alias("t"))
+    return rows.select("work_id", F.array_join(titles.access(F.col("t")), ",").alias("access"), titles.subtitle_language(F.col("t")).alias("subtitles"), titles.season_in(F.col("t")).alias("season"))
+
+
+@plan("checked_ratings", """
+with n as (select work_id, year, floor(popularity * 10)::int % 101 as tenths, year + work_id % 5 - 2 as told from works)
+select work_id, case when work_id % 7 <> 0 and abs(told - year) <= 1 and tenths <= 100 then tenths / 10.0::double end as rating, work_id % 7 <> 0 and abs(told - year) > 1 as other_year from n
+""")
+def checked_ratings(s: Star) -> DataFrame:
+    """A rating read from a page's text, taken only if the year told with it is the work's own or one beside it."""
+    tenths = F.floor(F.col("popularity") * 10).cast("int") % 101
+    told = F.when(F.col("work_id") % 7 == 0, F.lit("no rating yet")).otherwise(F.concat(F.lit("Rated "), F.format_number(tenths / 10, 1), F.lit(" / 10 ("), (F.col("year") + F.col("work_id") % 5 - 2).cast("string"), F.lit(")")))
+    rating, year = values.rating_and_year(told)
+    near = F.abs(year - F.col("year")) <= 1
+    return s.works.select("work_id", F.when(near, rating).alias("rating"), F.coalesce(~near, F.lit(False)).alias("other_year"))
+
+
 @plan("title_variants")
 def title_variants(s: Star) -> DataFrame:
     """Ordered search variants, smart case and bracketed titles."""
