@@ -155,3 +155,21 @@ def test_access_subtitles_and_seasons(spark):
     assert one(spark, titles.access(F.lit("Relaxed screening in 3D, subtitled")), x=1) == ["3d", "relaxed", "subtitles"]
     assert one(spark, titles.subtitle_language(F.lit("Ran with English ST")), x=1) == "en" and one(spark, titles.subtitle_language(F.lit("Ran")), x=1) is None
     assert one(spark, titles.season_in(F.lit("Kurosawa Season: Ran")), x=1) == "Kurosawa Season" and one(spark, titles.season_in(F.lit("Ran: the film")), x=1) is None
+
+
+def test_every_listed_phrase_of_titles(spark):
+    """Each programme name before each mark, each ending in brackets and after a dash, and each broadcast and keyword."""
+    rows = [(p, f"{p.title()}{mark} Ran") for p in titles.PREFIXES for mark in (":", " |", " -")] + [(p, f"Ran {form.format(p)}") for p in titles.SUFFIXES for form in ("({})", "[{}]", "- {}", "| {}")]
+    found = spark.createDataFrame(rows, "phrase string, t string").select("phrase", "t", titles.cleaned(F.col("t")).alias("c")).where("c <> 'Ran'").collect()
+    assert found == []
+    told = spark.createDataFrame([(p, f"{p.upper()}: Title") for p in titles.BROADCASTS], "phrase string, t string").where(titles.content_class(F.col("t")) != "live_broadcast").collect()
+    assert told == []
+    not_films = spark.createDataFrame([(k, f"Our {k.title()} here") for k in titles.KEYWORDS], "phrase string, t string").where(titles.not_a_film(F.col("t")).isNull()).collect()
+    assert not_films == []
+
+
+def test_ratings_with_years(spark):
+    texts = ["Rated 7.8 / 10 (1998)", "8/10 (2001)", "11/10 (1999)", "7.8 / 10", None]
+    rating, year = values.rating_and_year(F.col("t"))
+    got = [tuple(r) for r in spark.createDataFrame([(t,) for t in texts], "t string").select(rating, year).collect()]
+    assert got == [(7.8, 1998), (8.0, 2001), (None, 1999), (None, None), (None, None)]
