@@ -49,6 +49,17 @@ CONCERTS = r"\bin\s+concert\b|\b(?:live|concert|tour|performance)\b.*\b(?:annive
 KEYWORDS = ["quiz", "comedy night", "open mic", "workshop", "karaoke", "market", "book club", "party"]
 
 
+#: Programme names that the blocklist and the programme's own rule leave out, what a plus may offer, and quotes and dashes with their plain forms.
+BLOCKLIST_PREFIXES = ["film club", "doc'n roll x rio", "funeral parade presents", "screen cuba presents", "classic matinee", "lost reels", "classics night", "japanese film club", "tv party, tonight!", "lafs presents", "east london doc club"]
+PROGRAMME_PREFIXES = """
+relaxed screening; tv preview; preview; member picks; member exclusive; member salon; bfi member poll; uk premiere; uk premiere of 4k restoration; woman with a movie camera preview; funday; 25 and under
+the war trilogy; the solidarity trilogy; season introduction talk + world premiere; opening night; closing night; family funday preview; library event; ghibliotheque presents; kinoteka gala screening
+milktea presents – uk premiere; galentine's day; reece shearsmith presents; tribute to claudia cardinale
+""".replace("\n", "; ").strip("; ").split("; ")
+OFFERS = ["intro", "q&a", "extended intro", "pre-recorded intro", "discussion", "panel"]
+CURLY, STRAIGHT = "‘’ʼ“”–—", "'''\"\"--"
+
+
 def decoded(text: Column) -> Column:
     """Common character references resolved, and UTF-8 read as Latin-1 mended for letters with marks."""
     for found, by in (("&amp;", "&"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("Ã©", "é"), ("Ã¨", "è"), ("Ã¼", "ü"), ("Ã¶", "ö"), ("â€™", "’"), ("â€“", "–")):
@@ -124,6 +135,53 @@ def normalised_without_articles(title: Column) -> Column:
     return squeezed(F.regexp_replace(F.lower(title), r"^(the|an|a)\s+", ""))
 
 
+def normalised_for_seasons(title: Column) -> Column:
+    """The season pipeline's rule: no leading article, ASCII word characters and blanks only."""
+    return squeezed(F.regexp_replace(F.regexp_replace(F.lower(title), r"^the\s+", ""), r"[^a-z0-9_\s]", ""))
+
+
+def normalised_for_cleanup(title: Column) -> Column:
+    """The catalogue clean-up's rule: that of the season pipeline, on the cleaned title."""
+    return normalised_for_seasons(cleaned(title))
+
+
+def normalised_for_checks(title: Column) -> Column:
+    """The quality check's rule: without article, closing bracket and what follows a colon; straight quotes, plain dashes, and ASCII words with either."""
+    text = F.regexp_replace(F.trim(F.lower(title)), r"^the\s+", "")
+    text = F.regexp_replace(F.regexp_replace(text, r"\s*\([^)]*\)\s*$", ""), r"\s*:.*$", "")
+    return squeezed(F.regexp_replace(F.translate(text, CURLY, STRAIGHT), r"[^a-z0-9_\s'-]", ""))
+
+
+def normalised_for_blocklist(title: Column) -> Column:
+    """The blocklist's rule: without its programme names, an offer behind a plus, a closing bracket and quotes."""
+    text = F.regexp_replace(F.trim(F.lower(title)), rf"^(?:{_either(BLOCKLIST_PREFIXES)}):\s*", "")
+    text = F.regexp_replace(text, rf"\s*\+\s*(?:{_either(OFFERS)})\s*$", "")
+    return F.trim(F.translate(F.regexp_replace(text, r"\s*\([^)]*\)\s*$", ""), "\"“”", ""))
+
+
+def normalised_in_two_stages(title: Column) -> Column:
+    """The programme's rule: first without its programme names, offers, closing bracket and article; then without marks, with signs spelled out."""
+    text = F.regexp_replace(F.lower(title), rf"^(?:(?:{_either(PROGRAMME_PREFIXES)}):\s*|\d+(?:st|nd|rd|th) anniversary(?: screening)?:\s*|seniors' (?:free |paid )?matinee:\s*)", "")
+    text = F.regexp_replace(text, rf"\s*\+\s*(?:{_either([*OFFERS[:5], 'in conversation'])}).*$", "")
+    text = squeezed(F.regexp_replace(F.regexp_replace(text, r"\s*\([^)]*\)\s*$", ""), r"^the\s+", ""))
+    return squeezed(F.replace(F.replace(folded(F.translate(text, CURLY, STRAIGHT)), F.lit("½"), F.lit(" 1/2")), F.lit("&"), F.lit("and")))
+
+
+def normalised_gently(title: Column) -> Column:
+    """The gap filler's rule: without marks and article, letters and digits of any script."""
+    return squeezed(F.regexp_replace(F.regexp_replace(folded(title), r"^the\s+", ""), r"[^\p{L}\p{N}\s]", ""))
+
+
+def normalised_exactly(title: Column) -> Column:
+    """The exact match's rule: without marks, a blank for every other sign."""
+    return squeezed(F.regexp_replace(folded(title), r"[^\p{L}\p{N}\s]", " "))
+
+
+def without_marks(title: Column) -> Column:
+    """The client index's rule: small letters without marks, nothing else; null if empty."""
+    return F.nullif(folded(title), F.lit(""))
+
+
 def letters_only(title: Column) -> Column:
     return F.regexp_replace(F.lower(title), "[^a-z0-9]", "")
 

@@ -49,6 +49,33 @@ def title_rules(s: Star) -> DataFrame:
     )
 
 
+_SQUEEZED = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
+_NO_THE = r"regexp_replace({}, '^the\s+', '')"
+_RULES = {
+    "seasons": _SQUEEZED.format(r"regexp_replace(" + _NO_THE.format("lower(t)") + r", '[^a-z0-9_\s]', '', 'g')"),
+    "checks": _SQUEEZED.format(r"regexp_replace(regexp_replace(regexp_replace(" + _NO_THE.format("lower(t)") + r", '\s*\([^)]*\)\s*$', ''), '\s*:.*$', ''), '[^a-z0-9_\s''-]', '', 'g')"),
+    "blocklist": r"trim(regexp_replace(regexp_replace(regexp_replace(lower(t), '^(film club|lost reels|classic matinee):\s*', ''), '\s*\+\s*(q&a|intro)\s*$', ''), '\s*\([^)]*\)\s*$', ''))",
+    "two_stages": r"replace(" + _SQUEEZED.format(_NO_THE.format(r"regexp_replace(regexp_replace(regexp_replace(lower(t), '^(preview|opening night|\d+(st|nd|rd|th) anniversary( screening)?):\s*', ''), '\s*\+\s*(q&a|intro).*$', ''), '\s*\([^)]*\)\s*$', '')")) + ", '&', 'and')",
+    "gently": _SQUEEZED.format(r"regexp_replace(" + _NO_THE.format("lower(t)") + r", '[^\p{L}\p{N}\s]', '', 'g')"),
+    "exactly": _SQUEEZED.format(r"regexp_replace(lower(t), '[^\p{L}\p{N}\s]', ' ', 'g')"),
+    "marks": "nullif(lower(t), '')",
+}
+#: Titles with what these rules leave out, in Spark and in SQL.
+_SHAPES = ["Film Club: {} + Q&A", "The {} (4K Restoration)", "Opening Night: {} + intro by the director", "30th anniversary screening: {}", "{}: Part 2 - the \"end\"", "Lost Reels: The {}", "{}'s night & day", "{}"]
+_SHAPES_SQL = "case work_id % 8 " + " ".join("when {} then '{}' || title || '{}'".format(i, *(x.replace("'", "''") for x in o.split("{}"))) for i, o in enumerate(_SHAPES)) + " end"
+
+
+@plan("more_title_rules", f"with n as (select work_id, {_SHAPES_SQL} as t from works) select work_id, replace(" + _RULES["blocklist"] + ", '\"', '') as blocklist, " + ", ".join(f"{v} as {k}" for k, v in _RULES.items() if k != "blocklist") + " from n")
+def more_title_rules(s: Star) -> DataFrame:
+    """The rules of seasons, checks, the blocklist, the programme, the gap filler, exact matches and the client index, each its own."""
+    shapes = F.array(*(F.concat(F.lit(a), F.col("title"), F.lit(b)) for a, b in (o.split("{}") for o in _SHAPES)))
+    t = F.col("t")
+    return s.works.select("work_id", F.element_at(shapes, (F.col("work_id") % 8 + 1).cast("int")).alias("t")).select(
+        "work_id", titles.normalised_for_seasons(t).alias("seasons"), titles.normalised_for_checks(t).alias("checks"), titles.normalised_for_blocklist(t).alias("blocklist"), titles.normalised_in_two_stages(t).alias("two_stages"),
+        titles.normalised_gently(t).alias("gently"), titles.normalised_exactly(t).alias("exactly"), titles.without_marks(t).alias("marks"),
+    )
+
+
 @plan("title_classes", f"""
 with n as (select work_id, {_NOISE_SQL} as t from works)
 select work_id, case when contains(lower(t), 'quiz') then 'event' else 'film' end as class, array_to_string(list_filter([case when contains(lower(t), 'quiz') then 'quiz' end, case when contains(lower(t), 'preview') then 'preview' end], lambda x: x is not null), ',') as events,

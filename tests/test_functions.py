@@ -173,3 +173,12 @@ def test_ratings_with_years(spark):
     rating, year = values.rating_and_year(F.col("t"))
     got = [tuple(r) for r in spark.createDataFrame([(t,) for t in texts], "t string").select(rating, year).collect()]
     assert got == [(7.8, 1998), (8.0, 2001), (None, 1999), (None, None), (None, None)]
+
+
+@pytest.mark.parametrize("rule, title, want", [
+    (titles.normalised_for_seasons, "The Amélie: 2", "amlie 2"), (titles.normalised_for_cleanup, "Preview: The Ran (35mm)", "ran"), (titles.normalised_for_checks, "The “Ran” – it’s on (4K)", "\"ran\" - it's on".replace('"', "")),
+    (titles.normalised_for_blocklist, "TV Party, Tonight!: “Ran” (1985) + Q&A", "ran"), (titles.normalised_in_two_stages, "Seniors' Free Matinee: The Amélie & 8½ + in conversation with X", "amelie and 8 1/2"),
+    (titles.normalised_in_two_stages, "UK Premiere of 4K Restoration: Ran", "ran"), (titles.normalised_gently, "The Amélie, 七人!", "amelie 七人"), (titles.normalised_exactly, "Alien: Romulus.", "alien romulus"), (titles.without_marks, "Ça va?", "ca va?"), (titles.without_marks, "", None),
+])
+def test_other_title_rules(spark, rule, title, want):
+    assert spark.createDataFrame([(title,)], "t string").select(rule(F.col("t"))).first()[0] == want
