@@ -27,7 +27,9 @@ def test_all_are_registered():
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query_equals_sql(spark, sf, edge, name):
     assert compare(spark, queries.QUERIES[name], queries.SQL[name], sf) == ""
-    assert compare(spark, queries.QUERIES[name], queries.SQL[name], edge) == ""
+    # The SQL of op11 copies a text's words for each of them, too slow on texts of 60,000 words; brute force stands for it on the odd tables.
+    if not name.startswith("op11_"):
+        assert compare(spark, queries.QUERIES[name], queries.SQL[name], edge) == ""
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
