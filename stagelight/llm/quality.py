@@ -1,9 +1,11 @@
 """Quality rules judged by host: rule failures are summed by domain, rates shrunk with an empirical beta prior, verdicts joined back.
 
-A document's host is its source. Per rule the prior is fitted to all hosts by the method of moments, so a host with few
-documents is judged mostly by what hosts are like and cannot be rejected for one bad page. The prior also sets the limit: a
-host is rejected when its shrunk rate lies DEVIATIONS standard deviations of the prior above its mean, and is TIMES the mean at
-least; where hosts are alike none is. Its documents go with it. Documents that fail the base rule go in any case.
+A document's host is its source. Per rule each host meets a beta prior that is fitted to the other hosts by the method of
+moments, so no host widens the prior that it is judged by, however few hosts there are. The prior counts as one to MOST_STRENGTH
+documents, by how alike the others are: a host with few documents is judged mostly by what hosts are like and isn't rejected for one
+bad page. A host is rejected when, by its posterior, its rate is above what TIMES the odds of the prior's mean give with a
+probability of SURE; the mean counts as LEAST_MEAN at least, so rates that do no harm are no ground. Its documents go with it.
+Where hosts are alike none goes. A host without others has no prior and stays. Documents that fail the base rule go in any case.
 
 Everything is built-in column functions. A text's repeated windows are found inside its row: windows are hashed and sorted with
 their places, so equal windows become neighbours, in n log n steps and without exploding words.
@@ -15,16 +17,18 @@ source and text aren't read, whatever their names. An empty table has no hosts a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from statistics import NormalDist
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import NOT_SPACE, SPACE, durable, fenced, text_of
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: The rules that hosts are judged by, and when a host's shrunk rate is too high.
 RULES = ("base_failed", "many_symbols", "many_dup_lines")
-DEVIATIONS, TIMES = 3.0, 2.0
+#: How sure it must be that a host fails at so many times the odds of others, whose rate counts as so much at least and so many documents at most.
+SURE, TIMES, LEAST_MEAN, MOST_STRENGTH = 0.99, 3.0, 0.05, 19.0
 
 
 def measures(docs: DataFrame) -> DataFrame:
@@ -52,35 +56,45 @@ def measures(docs: DataFrame) -> DataFrame:
     return df.select("doc_id", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", covered.alias("n_repeat_words"))
 
 
-def judged(docs: DataFrame, deviations: float = DEVIATIONS) -> DataFrame:
+def judged(docs: DataFrame, times: float = TIMES) -> DataFrame:
     """The measures with base_failed, host_failed and kept."""
     df = measures(docs)
     df = df.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
     df = df.withColumn("many_symbols", F.col("n_symbols") * 4 > F.col("word_chars")).withColumn("many_dup_lines", F.col("n_dup_lines") * 20 > F.col("n_words"))
     df = durable(df, "measures")
-    hosts = durable(host_verdicts(df, deviations).select("source", "host_failed"), "hosts")  # written, so that its size is known to the join
+    hosts = durable(host_verdicts(df, times).select("source", "host_failed"), "hosts")  # written, so that its size is known to the join
     failed = F.coalesce("host_failed", F.lit(False))
     return df.join(hosts, "source", "left").withColumn("host_failed", failed).withColumn("kept", ~(F.col("base_failed") | failed))
 
 
-def host_verdicts(df: DataFrame, deviations: float = DEVIATIONS) -> DataFrame:
+def below(x: Column, a: Column, b: Column) -> Column:
+    """The normal deviate of a beta variable's chance to be x at most: cube roots of its gamma parts are nearly normal (Paulson)."""
+    u, v = F.cbrt(b * x), F.cbrt(a * (1 - x))
+    return 3 * (u * (1 - 1 / (9 * b)) - v * (1 - 1 / (9 * a))) / F.sqrt(u * u / b + v * v / a)
+
+
+def host_verdicts(df: DataFrame, times: float = TIMES) -> DataFrame:
     """A row per host: docs, each rule's failures, shrunk rate and limit, and host_failed."""
     hosts = df.where("source is not null").groupBy("source").agg(F.count("*").alias("docs"), *(F.sum(F.col(r).cast("long")).alias(r) for r in RULES))
-    sums = [F.count("*").alias("hosts"), F.avg(1 / F.col("docs")).alias("each")]
+    sums = [(F.count("*") - 1).alias("others"), F.sum(1 / F.col("docs")).alias("each")]
     for r in RULES:
         rate = F.col(r) / F.col("docs")
-        sums += [F.avg(rate).alias(f"{r}_mean"), F.coalesce(F.var_samp(rate), F.lit(0.0)).alias(f"{r}_var")]
-    prior = hosts.agg(*sums)
-    out, failed = hosts.crossJoin(F.broadcast(prior)), F.lit(False)  # one row of moments
+        sums += [F.sum(rate).alias(f"{r}_sum"), F.sum(rate * rate).alias(f"{r}_squares")]
+    out, failed = hosts.crossJoin(F.broadcast(hosts.agg(*sums))), F.lit(False)  # one row of sums
+    n = F.nullif(F.col("others"), F.lit(0))
     for r in RULES:
-        mean = F.least(F.greatest(F.col(f"{r}_mean"), F.lit(1e-3)), F.lit(1 - 1e-3))
+        rate = F.col(r) / F.col("docs")
+        found = (F.col(f"{r}_sum") - rate) / n
+        spread_found = F.when(n > 1, (F.col(f"{r}_squares") - rate * rate - n * found * found) / (n - 1)).otherwise(0.0)
+        mean = F.least(F.greatest(found, F.lit(LEAST_MEAN)), F.lit(1 - LEAST_MEAN))
         spread = mean * (1 - mean)
-        between = F.greatest(F.col(f"{r}_var") - spread * F.col("each"), spread * 1e-3)  # what counting noise does not explain
+        between = F.greatest(spread_found - spread * (F.col("each") - 1 / F.col("docs")) / n, spread / (MOST_STRENGTH + 1))  # what counting noise does not explain
         strength = F.greatest(spread / between - 1, F.lit(1.0))
-        out = out.withColumn(f"{r}_rate", (F.col(r) + strength * mean) / (F.col("docs") + strength))
-        above = mean + deviations * F.sqrt(spread / (strength + 1))
-        out = out.withColumn(f"{r}_limit", F.greatest(above, TIMES * mean))
-        failed = failed | (F.col(f"{r}_rate") > F.col(f"{r}_limit"))
+        a, b = F.col(r) + strength * mean, F.col("docs") - F.col(r) + strength * (1 - mean)
+        limit = times * mean / (1 - mean + times * mean)
+        out = out.withColumn(f"{r}_rate", a / (a + b)).withColumn(f"{r}_limit", limit)
+        failed = failed | (below(limit, a, b) <= -NormalDist().inv_cdf(SURE))
+    failed = (F.col("others") > 0) & failed
     return out.withColumn("host_failed", failed).select("source", "docs", *RULES, *(f"{r}_{x}" for r in RULES for x in ("rate", "limit")), "host_failed")
 
 
@@ -103,9 +117,13 @@ m as (select doc_id, source, len(words)::bigint as n_words, length(array_to_stri
 b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, n_symbols * 4 > word_chars as many_symbols, n_dup_lines * 20 > n_words as many_dup_lines from m),
 h as (select source, rule, count(*) as docs, sum(failed::int)::double as failed from b cross join lateral (values ('base', base_failed), ('symbols', many_symbols), ('lines', many_dup_lines)) as v(rule, failed)
   where source is not null group by 1, 2),
-p as (select rule, least(greatest(avg(failed / docs), 1e-3), 1 - 1e-3) as mean, coalesce(var_samp(failed / docs), 0) as var, avg(1 / docs) as each from h group by rule),
-s as (select *, greatest(mean * (1 - mean) / greatest(var - mean * (1 - mean) * each, mean * (1 - mean) * 1e-3) - 1, 1) as strength from p),
-v as (select source, bool_or((failed + strength * mean) / (docs + strength) > greatest(mean + 3 * sqrt(mean * (1 - mean) / (strength + 1)), 2 * mean)) as bad from h join s using (rule) group by source)
+p as (select rule, count(*) - 1 as others, sum(failed / docs) as total, sum(failed / docs * (failed / docs)) as squares, sum(1 / docs) as each from h group by rule),
+o as (select source, docs, failed, others, (total - failed / docs) / others as found, squares - failed / docs * (failed / docs) as rest, (each - 1 / docs) / others as each from h join p using (rule) where others > 0),
+q as (select *, least(greatest(found, 0.05), 0.95) as mean, case when others > 1 then (rest - others * found * found) / (others - 1) else 0 end as var from o),
+s as (select *, greatest(mean * (1 - mean) / greatest(var - mean * (1 - mean) * each, mean * (1 - mean) / 20) - 1, 1) as strength, 3 * mean / (1 - mean + 3 * mean) as x from q),
+ab as (select source, x, failed + strength * mean as a, docs - failed + strength * (1 - mean) as b from s),
+uv as (select *, cbrt(b * x) as u, cbrt(a * (1 - x)) as v from ab),
+v as (select source, bool_or(3 * (u * (1 - 1 / (9 * b)) - v * (1 - 1 / (9 * a))) / sqrt(u * u / b + v * v / a) <= -2.3263478740408408) as bad from uv group by source)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not (base_failed or coalesce(bad, false)) as kept, coalesce(bad, false) as host_failed
 from b left join v using (source)
 """

@@ -175,8 +175,44 @@ def test_a_bad_host_goes_with_its_good_documents(spark, sf, tmp_path):
     rows = {r.doc_id: r for r in quality.op4(spark, str(tmp_path)).collect()}
     assert all(rows[i].host_failed and not rows[i].kept and not rows[i].base_failed for i in range(10**6, 10**6 + 60))
     assert all(rows[i].kept == (not rows[i].base_failed) for i in rows if not 10**6 <= i < 2 * 10**6)
-    # The verdict is the prior's: without it, by a limit of many deviations, the host stays.
-    assert quality.judged(spark.read.parquet(f"{tmp_path}/documents.parquet"), 100.0).where("host_failed").count() == 0
+    # The verdict is the prior's: at many times its odds, the host stays.
+    assert quality.judged(spark.read.parquet(f"{tmp_path}/documents.parquet"), 1e6).where("host_failed").count() == 0
+
+
+def host_rates(spark, *hosts):
+    """Which hosts fail; a host is its number of documents and of those that fail the base rule."""
+    rows = [(f"h{i:03d}", j < bad, False, False) for i, (n, bad) in enumerate(hosts) for j in range(n)]
+    df = spark.createDataFrame(rows, "source string, base_failed boolean, many_symbols boolean, many_dup_lines boolean")
+    return [r.host_failed for r in quality.host_verdicts(df).orderBy("source").collect()]
+
+
+@pytest.mark.parametrize("n", [2, 3, 5, 10, 100])
+def test_hosts_are_judged_by_the_others(spark, n):
+    """Verdicts do not hang on how many hosts there are."""
+    clean = [(40, 0)] * (n - 1)
+    assert host_rates(spark, (40, 40), *clean) == host_rates(spark, (40, 20), *clean) == [True] + [False] * (n - 1)
+    assert host_rates(spark, (1, 1), *clean) == host_rates(spark, (40, 3), *clean) == [False] * n
+    assert host_rates(spark, *[(40, 8), (40, 5), (40, 6)] * n) == [False] * 3 * n  # alike, if not the same
+
+
+def test_bad_hosts_do_not_hide_each_other(spark):
+    assert host_rates(spark, (40, 40), (40, 39), *[(40, 2)] * 18) == [True] * 2 + [False] * 18
+    assert host_rates(spark, (40, 40)) == [False]  # nothing to judge it by
+    assert host_rates(spark, *[(40, 38)] * 5) == [False] * 5
+
+
+def test_posterior_is_near_the_beta_distribution(spark):
+    from statistics import NormalDist
+
+    import numpy as np
+
+    rows = [(x, a, b) for x in (0.1, 0.15, 0.4, 0.7) for a in (1.0, 3.0, 12.0, 90.0) for b in (1.0, 4.0, 25.0, 300.0)]
+    got = spark.createDataFrame(rows, "x double, a double, b double").select("x", "a", "b", quality.below(F.col("x"), F.col("a"), F.col("b")).alias("z")).collect()
+    t = (np.arange(200_000) + 0.5) / 200_000
+    for r in got:
+        log = (r.a - 1) * np.log(t) + (r.b - 1) * np.log1p(-t)
+        mass = np.exp(log - log.max())
+        assert abs(NormalDist().cdf(r.z) - mass[t < r.x].sum() / mass.sum()) < 0.03, r
 
 
 def test_repeats_of_windows_that_alternate(spark):
