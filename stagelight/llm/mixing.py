@@ -6,11 +6,12 @@ block slots. The tree halves the output shards again and again; at each node the
 hypergeometric draw from the node's, made source by source from the inverse distribution function at a hash of the node, so
 they are exact, sum up at every level and are the same in every run. Each leaf then takes the next disjoint run of its
 sources' permuted slots, and its rows are shuffled locally by a hash, in PIECES, so that a shard is written by many tasks. The
-number of shards follows the number of words.
+number of shards follows the number of words, and the number of blocks that of the shards: a shard has SLOTS of them or more,
+and as many as any other but for one. Where there are too few documents for that, fewer shards are made.
 
-Only rows of (document, source, size, hash) are grouped; text is read once to count words. Blocks are at most BLOCKS a
-source and level: a source is split further, block by block, until the block that the target cuts holds few documents, and
-within that one documents are picked by size to fill what is left, with one exchange to come nearer. No task sees more than BLOCKS blocks or one small block.
+Only rows of (document, source, size, hash) are grouped; text is read once to count words. The block that the target cuts, with
+its neighbours up to POOL documents on either side, is split on, in at most BLOCKS blocks a level, until it holds few documents; these are picked
+by size to fill what is left, with one exchange to come nearer. Windows see a source's blocks as a whole, some SLOTS numbers for each shard it could fill alone.
 
 Null texts have size 0. Null is a source like any other, ordered last. Documents alike in id, source and text are treated alike. If
 all sizes are 0, all targets are. Rows with equal hashes share a fate. Very long texts are read once to be counted, in one row, and
@@ -31,6 +32,10 @@ BLOCKS = 1024
 BLOCK_DOCS = 512
 #: Output shards: so many at least, and one more for each SHARD_WORDS words of the mix. A shard's rows are dealt in PIECES for writing.
 SHARDS, SHARD_WORDS, PIECES = 16, 20_000_000, 64
+#: Blocks of a shard, at least.
+SLOTS = 4
+#: Documents on either side of a target's cut that its last words are chosen from too, where there are so many, and all of them at most.
+POOL, MOST_POOL = BLOCK_DOCS // 2, 6 * BLOCK_DOCS
 SEED = 20
 
 
@@ -77,32 +82,42 @@ class Mix:
         targets = durable(source_targets(self.sizes), "targets")
         whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
         self.targets = targets.withColumn("passes", whole).withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("passes") * F.col("source_size")))
-        self._cut()
         words = self.targets.agg(F.sum("target")).first()[0] or 0
-        self._deal(shards or max(SHARDS, -int(-words // SHARD_WORDS)))
+        shards = shards or max(SHARDS, -int(-words // SHARD_WORDS))
+        self._cut(shards, words)
+        self._deal(shards)
 
-    def _cut(self) -> None:
+    def _cut(self, shards: int, words: float) -> None:
         """Find which blocks of the partial pass are taken whole, level by level down to the block that is cut."""
-        at = self.targets.select("at", F.col("source").alias("_s"), "rest", F.col("docs").alias("n"))
+        # A source's blocks are as its part of the shards, were each source taken once.
+        part = F.ceil(F.col("source_size") * (SLOTS * shards / max(words, 1.0)))
+        at = self.targets.select("at", F.col("source").alias("_s"), "rest", F.col("docs").alias("n"), F.least("docs", part).alias("least"))
         inside = self.sizes.join(at.select("at", "_s"), _same_source("source", "_s")).select("at", "h", "size")
-        inside, level, self.levels = inside, 0, []
+        level, self.levels = 0, []
         while True:
-            n_blocks = F.least(F.lit(BLOCKS), F.ceil(F.col("n") / BLOCK_DOCS)).cast("int")
+            n_blocks = F.greatest(F.least(F.lit(BLOCKS), F.ceil(F.col("n") / BLOCK_DOCS)), "least").cast("int")
             split = at.select("at", "rest", n_blocks.alias("n_blocks"))
             placed = inside.join(split, "at").withColumn("block", F.floor(_unit("h", level) * F.col("n_blocks")).cast("int"))
-            words = durable(placed.groupBy("at", "block").agg(F.sum("size").alias("words"), F.count("*").alias("n")).join(split, "at"), "blocks")
-            upto = F.sum("words").over(Window.partitionBy("at").orderBy("block").rowsBetween(Window.unboundedPreceding, 0))
-            state = durable(words.withColumn("upto", upto).withColumn("whole", F.col("upto") <= F.col("rest")).withColumn("cut", ~F.col("whole") & (F.col("upto") - F.col("words") < F.col("rest"))), "passes")
+            sums = durable(placed.groupBy("at", "block").agg(F.sum("size").alias("words"), F.count("*").alias("n")).join(split, "at"), "blocks")
+            so_far = Window.partitionBy("at").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
+            state = sums.withColumn("upto", F.sum("words").over(so_far)).withColumn("docs", F.sum("n").over(so_far))
+            over = F.col("upto") > F.col("rest")
+            crossing = over & (F.col("upto") - F.col("words") < F.col("rest"))
+            # The block that the target cuts, and those on either side of it until there are POOL documents more to choose from.
+            last = F.max(F.when(crossing, F.col("docs"))).over(Window.partitionBy("at"))
+            state = state.withColumn("cut", F.coalesce(crossing | F.when(over, F.col("docs") - F.col("n") - last < POOL).otherwise(last - F.col("docs") < POOL), F.lit(False)))
+            state = durable(state.withColumn("whole", ~over & ~F.col("cut")), "passes")
             self.levels.append(state)
-            cut = state.where("cut").select("at", "block", (F.col("rest") - (F.col("upto") - F.col("words"))).alias("rest"), "n", "n_blocks")
-            inside = durable(placed.drop("rest", "n_blocks").join(cut.select("at", "block"), ["at", "block"], "left_semi").drop("block"), "cut")
-            at, level = cut.select("at", "rest", "n"), level + 1
-            largest = cut.agg(F.max("n")).first()[0] or 0
-            if largest <= 4 * BLOCK_DOCS or level >= 6:
+            left = F.first("rest") - F.coalesce(F.sum(F.when(F.col("whole"), F.col("words"))), F.lit(0))
+            cut = state.groupBy("at").agg(left.alias("rest"), F.sum(F.when(F.col("cut"), F.col("n"))).alias("n")).where("n is not null")
+            # Rows of equal hashes are one entry from here on, so each level parts what the one before did not.
+            inside = placed.drop("rest", "n_blocks").join(state.where("cut").select("at", "block"), ["at", "block"], "left_semi")
+            inside = durable(inside.groupBy("at", "h").agg(F.sum("size").alias("size")), "cut")
+            at, level = cut.select("at", "rest", "n", F.lit(1).alias("least")), level + 1
+            if (inside.groupBy("at").count().agg(F.max("count")).first()[0] or 0) <= MOST_POOL:
                 break
-        # Within the cut block, at most 4 x BLOCK_DOCS documents: by size, the largest first, each taken if it still fits. Equal hashes are one entry.
-        entries = inside.groupBy("at", "h").agg(F.sum("size").alias("size"))
-        lists = entries.where("size > 0").groupBy("at").agg(F.sort_array(F.collect_list(F.struct("size", "h")), asc=False).alias("docs")).join(at.select("at", "rest"), "at")
+        # Within the cut blocks, at most MOST_POOL documents: by size, the largest first, each taken if it still fits.
+        lists = inside.where("size > 0").groupBy("at").agg(F.sort_array(F.collect_list(F.struct("size", "h")), asc=False).alias("docs")).join(at.select("at", "rest"), "at")
         doc, none = "struct<size: bigint, h: bigint>", "named_struct('size', 0L, 'h', 0L)"
         fill = f"aggregate(docs, named_struct('left', rest, 'taken', cast(array() as array<{doc}>)), (s, d) -> if(d.size <= s.left, named_struct('left', s.left - d.size, 'taken', concat(s.taken, array(d))), s))"
         filled = lists.selectExpr("at", "docs", f"explode(array({fill})) as f")
@@ -115,36 +130,40 @@ class Mix:
         self.picked = durable(kept.select("at", F.col("d.h").alias("h")).withColumn("picked", F.lit(True)), "picked")
 
     def _deal(self, shards: int) -> None:
-        """Quotas of block slots by source, split down the tree; then each shard's slots. Small tables: slots are at most (MOST + 1) x BLOCKS a source."""
+        """Quotas of block slots by source, split down the tree; then each shard's slots. These tables have some SLOTS rows a shard."""
         top = self.levels[0]
         per = F.coalesce(F.sum((F.col("whole") | F.col("cut")).cast("int")), F.lit(0))
         quota = top.groupBy("at").agg(per.alias("partial"), F.count("*").alias("blocks")).join(self.targets.select("at", "passes"), "at")
         quota = quota.select("at", (F.col("blocks") * F.col("passes") + F.col("partial")).cast("int").alias("k")).where("k > 0")
+        quota = durable(quota, "quota")
+        shards = self.shards = max(1, min(shards, (quota.agg(F.sum("k")).first()[0] or 0) // SLOTS))
         node = quota.groupBy().agg(F.sort_array(F.collect_list(F.struct("at", "k"))).alias("quotas"))
         node = node.select(F.lit(0).alias("first"), F.lit(shards).alias("n"), "quotas")
         while shards > 1:
             node = _halve(node)
             shards = (shards + 1) // 2
-        leaf = durable(node.select(F.col("first").alias("shard"), F.inline("quotas")), "quotas")
+        leaf = durable(node.select(F.col("first").alias("shard"), F.inline("quotas")).where("k > 0"), "quotas")
         before = F.sum("k").over(Window.partitionBy("at").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
-        runs = leaf.withColumn("start", F.coalesce(before, F.lit(0))).withColumn("end", F.col("start") + F.col("k"))
+        runs = leaf.withColumn("start", F.coalesce(before, F.lit(0))).select("at", "shard", F.explode(F.sequence("start", F.col("start") + F.col("k") - 1)).alias("slot"))
         # Slots: whole passes first, then the partial one; within a pass, blocks in the order of their numbers, which is a random one.
         turns = top.join(self.targets.select("at", "passes"), "at").withColumn("turns", F.col("passes") + (F.col("whole") | F.col("cut")).cast("int"))
         seen = turns.where("turns > 0").select("at", "block", "cut", "passes", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"))
-        slots = seen.withColumn("slot", F.row_number().over(Window.partitionBy("at").orderBy("turn", "block")) - 1)
-        dealt = slots.join(runs, "at").where("slot >= start and slot < end")
+        slots = seen.withColumn("slot", (F.row_number().over(Window.partitionBy("at").orderBy("turn", "block")) - 1).cast("long"))
+        dealt = slots.join(runs.withColumn("slot", F.col("slot").cast("long")), ["at", "slot"])
         part = F.col("cut") & (F.col("turn") == F.col("passes"))
-        self.slots = durable(dealt.groupBy("at", "block").agg(F.sort_array(F.collect_list(F.when(~part, F.col("shard")))).alias("whole_in"), F.max(F.when(part, F.col("shard"))).alias("cut_in")), "slots")
+        slots = dealt.groupBy("at", "block").agg(F.sort_array(F.collect_list(F.when(~part, F.col("shard")))).alias("whole_in"), F.max(F.when(part, F.col("shard"))).alias("cut_in"))
+        self.slots = durable(slots, "slots")
+        self.marks = [durable(top.join(self.slots, ["at", "block"], "left"), "marks"), *self.levels[1:]]
 
     def copies(self, docs: DataFrame) -> DataFrame:
         """docs, which needs h and source, with the shards that take a copy: an array of at most MOST."""
         at = self.targets.select(F.col("source").alias("_s"), "at", "source_size", "target", F.col("docs").alias("_n"))
         out = docs.join(at, _same_source("source", "_s"))
         cut = F.lit(False)
-        for level, state in enumerate(self.levels):
+        for level, state in enumerate(self.marks):
             blocks = state.groupBy("at").agg(F.max("n_blocks").alias("_blocks"))
             out = out.join(blocks, "at", "left").withColumn(f"_b{level}", F.floor(_unit("h", level) * F.col("_blocks")).cast("int")).drop("_blocks")
-            marks = state.select("at", F.col("block").alias(f"_b{level}"), F.col("whole").alias("_whole"), F.col("cut").alias("_cut"))
+            marks = state.select("at", F.col("block").alias(f"_b{level}"), F.col("whole").alias("_whole"), F.col("cut").alias("_cut"), *(() if level else ("whole_in", "cut_in")))
             out = out.join(marks, ["at", f"_b{level}"], "left")
             inside = F.lit(True) if level == 0 else F.col("_in")
             taken = F.coalesce(inside & F.col("_whole"), F.lit(False))
@@ -153,7 +172,6 @@ class Mix:
             out = out.withColumn("_in", F.coalesce(inside & F.col("_cut"), F.lit(False))).withColumn("_taken", cut).drop("_whole", "_cut")
             cut = F.col("_taken")
         out = out.join(self.picked, ["at", "h"], "left").withColumn("_taken", F.col("_taken") | (F.col("_in") & F.coalesce("picked", F.lit(False))))
-        out = out.join(self.slots.withColumnRenamed("block", "_b0"), ["at", "_b0"], "left")
         none = F.array().cast("array<int>")
         shards = F.concat(F.coalesce("whole_in", none), F.when(F.col("_taken") & F.col("cut_in").isNotNull(), F.array("cut_in")).otherwise(none))
         return out.withColumn("shards", shards)

@@ -155,6 +155,47 @@ def test_mixed_documents_are_the_counted_copies(spark, sf):
     assert {r.doc_id: r.copies for r in mixing.op3(spark, sf).collect() if r.copies} == dict(copies)
 
 
+@pytest.mark.parametrize("wanted", [1, 7, 16, 40_000])
+def test_shards_have_their_slots(spark, sf, wanted):
+    """Each slot is dealt once, and shards have as many as each other but for one; if too few documents, fewer shards are made."""
+    mix = mixing.Mix(spark.read.parquet(f"{sf}/documents.parquet"), wanted)
+    assert mix.shards == wanted if wanted <= 16 else 16 < mix.shards < wanted
+    passes = {r.at: r.passes for r in mix.targets.collect()}
+    slots = {(r.at, r.block): r for r in mix.slots.collect()}
+    filled = Counter()
+    for b in mix.levels[0].collect():
+        r = slots.pop((b.at, b.block), None)
+        whole = len(r.whole_in) if r else 0
+        assert whole == passes[b.at] + (b.whole and not b.cut)
+        assert (r is not None and r.cut_in is not None) == b.cut
+        filled.update([*(r.whole_in if r else ()), *([r.cut_in] if b.cut else ())])
+    assert not slots and set(filled) == set(range(mix.shards))
+    assert max(filled.values()) - min(filled.values()) <= 1 and (wanted == 1 or min(filled.values()) >= mixing.SLOTS)
+
+
+def test_draws_are_hypergeometric(spark):
+    """Of 4,000 nodes of the tree: halves add up, and a source's share in them follows its distribution."""
+    from math import comb
+
+    quotas = [(0, 30), (1, 6), (2, 0), (3, 14)]
+    nodes = spark.createDataFrame([(10 * i, 2, quotas) for i in range(4_000)], "first int, n int, quotas array<struct<at:int,k:int>>")
+    halves = {r["first"]: [q.k for q in r.quotas] for r in mixing._halve(nodes).collect()}
+    got = Counter()
+    for i in range(4_000):
+        low, high = halves[10 * i], halves[10 * i + 1]
+        assert [a + b for a, b in zip(low, high, strict=True)] == [k for _, k in quotas] and sum(low) == 25 and min(low + high) >= 0
+        got[low[1]] += 1
+    expected = {x: 4_000 * comb(6, x) * comb(44, 25 - x) / comb(50, 25) for x in range(7)}
+    assert sum((got[x] - e) ** 2 / e for x, e in expected.items()) < 22.5  # one in a thousand at six degrees of freedom
+
+
+def test_rows_of_one_hash_do_not_split(spark):
+    """More rows alike than a block may hold: levels end, and the rows share a fate."""
+    docs = spark.range(6_000).selectExpr("0L as doc_id", "'x y z' as text", "if(id % 2 = 0, 'a', 'b') as source").unionByName(spark.range(1, 400).selectExpr("id as doc_id", "repeat('w ', 3) as text", "'b' as source"))
+    mix = mixing.Mix(docs)
+    assert all(len({r.n for r in rows}) == 1 for rows in [mix.copies(mix.sizes).where("doc_id = 0").groupBy("source").agg(F.expr("count(distinct shards) as n")).collect()])
+
+
 # ---- 4: quality
 
 
