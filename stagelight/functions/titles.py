@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,11 +61,50 @@ milktea presents – uk premiere; galentine's day; reece shearsmith presents; tr
 """.replace("\n", "; ").strip("; ").split("; ")
 OFFERS = ["intro", "q&a", "extended intro", "pre-recorded intro", "discussion", "panel"]
 CURLY, STRAIGHT = "‘’ʼ“”–—", "'''\"\"--"
+#: Names of references that stand for one byte each where two or more follow each other.
+BYTE_NAMES = """
+Atilde Acirc Aring AElig Ccedil Egrave Eacute Euml Iacute Icirc Ntilde Ograve Oacute Ouml Uacute Uuml iexcl cent pound curren yen brvbar sect uml copy ordf laquo not shy reg macr
+deg plusmn sup2 sup3 acute micro para middot cedil sup1 ordm raquo frac14 frac12 frac34 iquest
+""".split()
+#: Names of references and what they stand for.
+NAMES = {
+    "amp": "&", "quot": '"', "apos": "'", "lt": "<", "gt": ">", "nbsp": " ", "rsquo": "’", "lsquo": "‘", "hellip": "…", "mdash": "—", "ndash": "–", "frac12": "½", "frac14": "¼", "frac34": "¾",
+}
+
+
+def _rewritten(text: Column, pattern: str, by: Callable[[Column], Column]) -> Column:
+    """The text with each match of a pattern that starts with & put through a function; a null from it leaves the match as it is."""
+    parts = F.regexp_extract_all(text, F.lit(rf"{pattern}|&[^&]*|[^&]+"), F.lit(0))
+    return F.array_join(F.transform(parts, lambda part: F.when(part.rlike(f"^(?:{pattern})$"), F.coalesce(by(part), part)).otherwise(part)), "")
+
+
+def _of_code(digits: Column) -> Column:
+    """The character of a code point in hexadecimal digits; null for surrogates and beyond the last one."""
+    code = F.lpad(F.upper(F.regexp_replace(digits, "^0+(?=.)", "")), 8, "0")
+    fits = (F.length(F.regexp_replace(digits, "^0+(?=.)", "")) <= 6) & (code <= "0010FFFF") & ~code.between("0000D800", "0000DFFF")
+    return F.when(fits, F.decode(F.unhex(code), "UTF-32"))
+
+
+def _mended(run: Column) -> Column:
+    """UTF-8 that was written as one reference a byte; null where a name stands for no byte or the bytes are no UTF-8."""
+    of_name = F.create_map(*(F.lit(x) for name in BYTE_NAMES for x in (name, f"{name2codepoint[name]:02X}")))
+    bytes_ = F.transform(F.regexp_extract_all(run, F.lit("&([A-Za-z0-9]+);"), F.lit(1)), lambda name: F.try_element_at(of_name, name))
+    return F.when(~F.exists(bytes_, lambda b: b.isNull()), F.try_validate_utf8(F.unhex(F.array_join(bytes_, "")).cast("string")))
+
+
+def references_decoded(text: Column) -> Column:
+    """Character references resolved in this order: runs of names that spell the bytes of UTF-8, hexadecimal numbers, decimal ones, names. Unknown ones stay."""
+    names = F.create_map(*(F.lit(x) for pair in NAMES.items() for x in pair))
+    text = _rewritten(text, "(?:&[A-Za-z0-9]+;){2,}", _mended)
+    text = _rewritten(text, "&#[xX][0-9A-Fa-f]+;", lambda r: _of_code(F.regexp_extract(r, "[xX](.*);", 1)))
+    text = _rewritten(text, "&#[0-9]+;", lambda r: _of_code(F.hex(F.regexp_extract(r, "#(.*);", 1).try_cast("bigint"))))
+    return _rewritten(text, "&[A-Za-z0-9]+;", lambda r: F.try_element_at(names, F.regexp_extract(r, "&(.*);", 1)))
 
 
 def decoded(text: Column) -> Column:
-    """Common character references resolved, and UTF-8 read as Latin-1 mended for letters with marks."""
-    for found, by in (("&amp;", "&"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("Ã©", "é"), ("Ã¨", "è"), ("Ã¼", "ü"), ("Ã¶", "ö"), ("â€™", "’"), ("â€“", "–")):
+    """Character references resolved, and UTF-8 read as Latin-1 mended for letters with marks."""
+    text = F.when(F.contains(text, F.lit("&")), references_decoded(text)).otherwise(text)
+    for found, by in (("Ã©", "é"), ("Ã¨", "è"), ("Ã¼", "ü"), ("Ã¶", "ö"), ("â€™", "’"), ("â€“", "–")):
         text = F.replace(text, F.lit(found), F.lit(by))
     return text
 

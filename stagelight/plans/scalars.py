@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -120,13 +122,42 @@ def checked_ratings(s: Star) -> DataFrame:
     return s.works.select("work_id", F.when(near, rating).alias("rating"), F.coalesce(~near, F.lit(False)).alias("other_year"))
 
 
-@plan("title_variants")
+_CLEAN_SQL = "case work_id % 6 when 0 then title when 1 then title when 3 then 'The ' || title when 5 then 'Quiz & ' || title else t end"
+
+
+@plan("title_variants", rf"""
+with n as (select work_id, title, {_NOISE_SQL} as t from works), c as (select work_id, t, {_CLEAN_SQL} as c from n),
+b as (select *, regexp_replace(c, '(?i)^(the|an|a)\s+', '') as bare, regexp_replace(t, '\([^)]*\)\s*$', '') as outer_, regexp_extract(t, '\(([A-Za-z0-9 ,.''!?&:-]+)\)\s*$', 1) as inner_ from c),
+l as (select *, [trim(t), c, trim(regexp_replace(c, ':.*$', '')), trim(regexp_extract(c, ':\s*(.+)$', 1)), bare, 'The ' || bare] as vs from b)
+select work_id, list_filter(vs, lambda v, i: v <> '' and list_position(vs, v) = i) as variants,
+ case when length(t) >= 10 and contains(t, ' ') and length(regexp_replace(t, '[^A-Z]', '', 'g')) >= 4 and upper(t) = t then array_to_string(list_transform(string_split(t, ' '), lambda w: case when regexp_matches(w, '[0-9.]') then w else upper(w[1]) || lower(w[2:]) end), ' ') else t end as cased,
+ case when inner_ <> '' and regexp_matches(outer_, '[^\x00-\x7F]') then trim(inner_) end as english from l
+""")
 def title_variants(s: Star) -> DataFrame:
     """Ordered search variants, smart case and bracketed titles."""
     t = F.col("noisy")
     return _noisy(s).select("work_id", titles.variants(t).alias("variants"), titles.smart_case(t).alias("cased"), titles.bracketed_english(t).alias("english"))
 
 
+#: Titles with references in them, in Spark and in SQL; the SQL has what they stand for.
+_BYTES = ["iexcl", "cent", "pound", "sect", "copy", "laquo", "deg", "plusmn", "micro", "middot", "raquo", "iquest"]
+_DECODED_SQL = "case work_id % 7 when 0 then title || chr((256 + work_id * 31 % 20000)::int) when 1 then chr((127744 + work_id % 400)::int) || title when 2 then title || ' & ' || maker when 3 then title || chr(192 + ascii([{}][1 + work_id % 12]) - 128) when 4 then title || '&Ouml;&Atilde;' when 5 then title || '&' else title || ' ½&nosuch; <' end".format(
+    ", ".join(f"'{chr(name2codepoint[n])}'" for n in _BYTES)
+)
+
+
+@plan("decoded_titles", f"select work_id, {_DECODED_SQL} as decoded from works")
+def decoded_titles(s: Star) -> DataFrame:
+    """References in titles: numbers of both kinds, names, runs of names that spell UTF-8, and what stands for nothing."""
+    k, t = F.col("work_id"), F.col("title")
+    byte = F.element_at(F.array(*map(F.lit, _BYTES)), (k % 12 + 1).cast("int"))
+    shapes = [
+        F.concat(t, F.lit("&#"), (k * 31 % 20000 + 256).cast("string"), F.lit(";")), F.concat(F.lit("&#x"), F.lower(F.hex(k % 400 + 127744)), F.lit(";"), t), F.concat(t, F.lit(" &amp; "), "maker"),
+        F.concat(t, F.lit("&Atilde;&"), byte, F.lit(";")), F.concat(t, F.lit("&Ouml;&Atilde;")), F.concat(t, F.lit("&#38;")), F.concat(t, F.lit(" &frac12;&nosuch; &lt;")),
+    ]
+    return s.works.select("work_id", titles.decoded(F.element_at(F.array(*shapes), (k % 7 + 1).cast("int"))).alias("decoded"))
+
+
 @plan("stripped_pages", """
 select page_id, length(trim(regexp_replace(html, '<[^>]*>', '', 'g'))) as chars, regexp_extract(html, '<title>([^<]*)</title>', 1) as title, len(regexp_extract_all(html, '<p>')) as paragraphs from pages
 """)

@@ -1,6 +1,9 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
+import re
+from html.entities import name2codepoint
 
 import pytest
 from pyspark.sql import functions as F
@@ -51,6 +54,37 @@ def test_normalisers_differ(spark):
     assert one(spark, titles.smart_case(F.lit("THE LONG GOODBYE"))) == "The Long Goodbye"
 
 
+def _plainly_decoded(text):
+    """References resolved by Python's own means, in the order that is asked for."""
+
+    def run(m):
+        names = re.findall("&([A-Za-z0-9]+);", m.group())
+        if any(n not in titles.BYTE_NAMES for n in names):
+            return m.group()
+        try:
+            return bytes(name2codepoint[n] for n in names).decode()
+        except UnicodeDecodeError:
+            return m.group()
+
+    def code(base):
+        return lambda m: chr(int(m[1], base)) if int(m[1], base) <= 0x10FFFF and not 0xD800 <= int(m[1], base) <= 0xDFFF else m.group()
+
+    text = re.sub("(?:&[A-Za-z0-9]+;){2,}", run, text)
+    text = re.sub("&#[xX]([0-9a-fA-F]+);", code(16), text)
+    text = re.sub("&#([0-9]+);", code(10), text)
+    return re.sub("&([A-Za-z0-9]+);", lambda m: titles.NAMES.get(m[1], m.group()), text)
+
+
+def test_references_equal_a_plain_decoder(spark):
+    """All names in all pairs, numbers at the edges of what is allowed, nested references and random strings of pieces."""
+    dice = random.Random(5)
+    pieces = [f"&{n};" for n in [*titles.BYTE_NAMES, *titles.NAMES, "nosuch"]] + "&#x26; &#X1F3AC; &#38; &#0065; &#xD800; &#x110000; &#x10FFFF; &#00000000000000000000233; &#99999999999999999999999; &#; &#x; & ; a # x \n".split(" ")
+    texts = ["", "&", "&&amp;", "&#x26;amp;", "&#38;#65;", "&Atilde;&iexcl;", "&Acirc;&nosuch;", *(a + b for a in pieces for b in pieces[::7]), *("".join(dice.choices(pieces, k=dice.randint(1, 9))) for _ in range(2000))]
+    rows = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").select("t", titles.decoded(F.col("t")).alias("d")).collect()
+    assert [(r.t, r.d) for r in rows if r.t is not None and r.d != _plainly_decoded(r.t)] == []
+    assert [r.d for r in rows if r.t is None] == [None]
+
+
 @pytest.mark.parametrize(("text", "minutes"), [("7:30", 1170), ("19:30", 1170), ("12am", 0), ("12pm", 720), ("11:05", 665), ("9:59 am", 599), ("25:00", None), ("none", None)])
 def test_clock(spark, text, minutes):
     assert one(spark, values.clock(F.lit(text))) == minutes
