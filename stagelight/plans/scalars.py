@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stagelight.functions import calendar, titles, values
+from stagelight.functions import extraction as X
 from stagelight.plans.listing import london_sql, ts
 from stagelight.plans.registry import plan
 from stagelight.sources.star import Star
@@ -158,6 +159,58 @@ def decoded_titles(s: Star) -> DataFrame:
     return s.works.select("work_id", titles.decoded(F.element_at(F.array(*shapes), (k % 7 + 1).cast("int"))).alias("decoded"))
 
 
+#: Titles inside those of events, in Spark and in SQL.
+_EVENTS = [
+    "NT Live: {}", "LFF: {} (35mm)", "{} + Q&amp;A with the crew", 'Reel Society presents "{}"', "Sing-A-Long-A {}", "{} + Second Film", "{} (4K Restoration) (Preview) [subtitled]", "The Big Quiz: {}",
+    "Classic Matinee: {} - 30th Anniversary screening", "  '{}'  ", "35mm: {} - 70mm", "{}",
+]
+_EVENTS_SQL = "case work_id % 12 " + " ".join("when {} then '{}' || title || '{}'".format(i, *(x.replace("'", "''") for x in o.split("{}"))) for i, o in enumerate(_EVENTS)) + " end"
+
+
+def _extraction_sql() -> str:
+    """The steps one by one, each a common table: text t, methods m, confidence f, compilation c, broadcast b."""
+    quoted = lambda p: "'(?i)" + p.replace("'", "''") + "'"
+    steps = ["s0 as (select work_id, o, replace(trim(o), '&amp;', '&') as t, []::varchar[] as m, 1.0::double as f, false as c, false as b from n)"]
+
+    def step(cond: str, **new: str) -> None:
+        cols = ", ".join(f"case when {cond} then {new[k]} else {k} end as {k}" if k in new else k for k in "tmfcb")
+        steps.append(f"s{len(steps)} as (select work_id, o, {cols} from s{len(steps) - 1})")
+
+    for pattern, method in ((X.PRESENTED, "presents_pattern"), (X.SUNG, "singalong_pattern")):
+        step(f"regexp_matches(t, {quoted(pattern)})", t=f"regexp_extract(t, {quoted(pattern)}, 1)", m=f"['{method}']", f=str(X.SURE[method]))
+    name, festivals = f"regexp_extract(t, {quoted(X.PREFIX)}, 1)", ", ".join(f"'{x}'" for x in X.FESTIVALS)
+    step(f"{name} <> ''", t=f"regexp_replace(t, {quoted(X.PREFIX)}, '')", m="list_append(m, 'prefix_removal')", f=f"case when upper({name}) in ({festivals}) then 0.3 else least(f, 0.9) end", c=f"upper({name}) in ({festivals})", b=f"regexp_matches(lower({name}), '{'|'.join(X.BROADCAST_WORDS)}')")
+    for e in X.ENDINGS:
+        step(f"regexp_matches(t, {quoted(e)})", t=f"trim(regexp_replace(t, {quoted(e)}, ''))", m="list_append(m, 'suffix_removal')", f="least(f, 0.85)")
+    step("contains(t, ' + ') and not list_contains(m, 'suffix_removal')", t=f"trim(regexp_extract(t, {quoted(X.FIRST_OF_TWO)}, 1))", m="list_append(m, 'double_feature')", f="least(f, 0.7)")
+    no_film = f"regexp_matches(o, {quoted('|'.join(X.NO_FILMS))})"
+    return f"""
+with n as (select work_id, {_EVENTS_SQL} as o from works), {", ".join(steps)},
+e as (select *, {no_film} as x, trim(regexp_replace(trim(regexp_replace(t, '\\s+', ' ', 'g')), '^["''“”]+|["''“”]+$', '', 'g')) as u from s{len(steps) - 1})
+select work_id, case when x then trim(o) else u end as extracted, case when x then 'non_film_detected' when u = o or len(m) = 0 then 'none' else array_to_string(m, '+') end as method, case when x then 0.0::double when u = o then 1.0::double else f end as confidence,
+ not x and u <> o and c as compilation, not x and u <> o and b as broadcast, x as non_film from e
+"""
+
+
+@plan("extracted_titles", _extraction_sql())
+def extracted_titles(s: Star) -> DataFrame:
+    """The film's title inside an event's, by which patterns it was found, and how sure that is."""
+    shapes = F.array(*(F.concat(F.lit(a), F.col("title"), F.lit(b)) for a, b in (o.split("{}") for o in _EVENTS)))
+    rows = s.works.select("work_id", F.element_at(shapes, (F.col("work_id") % 12 + 1).cast("int")).alias("t"))
+    return rows.select("work_id", X.extracted(F.col("t")).alias("e")).select("work_id", "e.*")
+
+
+@plan("known_kinds", """
+with e as (select lower(trim(title)) as key, case work_id // 50 % 4 when 0 then 'concert' when 1 then 'live_broadcast' else 'event' end as kind, row_number() over (partition by lower(trim(title)) order by work_id) as r from works where work_id % 50 = 0 and title <> '')
+select work_id, title, coalesce(kind, case when regexp_matches(title, '(?i)^royal') then 'live_broadcast' when regexp_matches(title, '(?i)ring\\b') then 'event' end) as known from works left join e on lower(trim(title)) = key and r = 1
+""")
+def known_kinds(s: Star) -> DataFrame:
+    """Entries that a list knows to be no films, by title and then by pattern; the list is every fiftieth work."""
+    kinds = F.element_at(F.array(F.lit("concert"), F.lit("live_broadcast"), F.lit("talk"), F.lit(None)), (F.floor(F.col("work_id") / 50) % 4 + 1).cast("int"))
+    entries = s.works.where(F.col("work_id") % 50 == 0).select(F.col("work_id").alias("place"), "title", kinds.alias("kind"))
+    return X.known_kinds(s.works.select("work_id", "title"), entries, [("^royal", "live_broadcast"), (r"ring\b", None)])
+
+
 @plan("stripped_pages", """
 select page_id, length(trim(regexp_replace(html, '<[^>]*>', '', 'g'))) as chars, regexp_extract(html, '<title>([^<]*)</title>', 1) as title, len(regexp_extract_all(html, '<p>')) as paragraphs from pages
 """)

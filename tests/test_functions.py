@@ -8,7 +8,7 @@ from html.entities import name2codepoint
 import pytest
 from pyspark.sql import functions as F
 
-from stagelight.functions import calendar, titles, values
+from stagelight.functions import calendar, extraction, titles, values
 from stagelight.operators import dedupe, health, ingest, requests, search
 from stagelight.operators import listing as L
 from stagelight.sources.saved import saved
@@ -85,6 +85,31 @@ def test_references_equal_a_plain_decoder(spark):
     assert [r.d for r in rows if r.t is None] == [None]
 
 
+def test_titles_inside_events(spark):
+    cases = [
+        ("Heat", "Heat", "none", 1.0, False, False, False), ("", "", "none", 1.0, False, False, False), (None, "", "none", 1.0, False, False, False), ("  Heat ", "Heat", "none", 1.0, False, False, False),
+        ("nt live: Hamlet", "Hamlet", "prefix_removal", 0.9, False, True, False), ("LFF: Shorts + Q&A", "Shorts", "prefix_removal+suffix_removal", 0.3, True, False, False),
+        ("Pub Quiz: Heat", "Pub Quiz: Heat", "non_film_detected", 0.0, False, False, True), ("Club presents “Heat”", "Heat", "presents_pattern", 0.95, False, False, False),
+        ("Sing-A-Long-A Grease + Hair", "Grease", "singalong_pattern+double_feature", 0.7, False, False, False), ("Heat + Ronin", "Heat", "double_feature", 0.7, False, False, False),
+        ("Heat (4K Restoration) (Preview)", "Heat (4K Restoration)", "suffix_removal", 0.85, False, False, False), ("Heat (Preview) [sub]", "Heat (Preview)", "suffix_removal", 0.85, False, False, False), ("Encore", "Encore", "none", 1.0, False, False, False),
+        ("Heat (15) [sub]", "Heat (15)", "suffix_removal", 0.85, False, False, False), ("Heat [sub] (15)", "Heat", "suffix_removal+suffix_removal", 0.85, False, False, False), ("Tom &amp; Viv", "Tom & Viv", "none", 1.0, False, False, False),
+    ]
+    rows = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, t string").select("i", extraction.extracted(F.col("t")).alias("e")).collect()
+    assert [(cases[r.i], tuple(r.e)) for r in rows if tuple(r.e) != cases[r.i][1:]] == []
+
+
+def test_every_event_prefix_is_known(spark):
+    rows = spark.createDataFrame([(p, f"{p.upper()}: Some Title") for p in extraction.EVENT_PREFIXES], "p string, t string").select("p", extraction.extracted(F.col("t")).alias("e")).collect()
+    assert [r.p for r in rows if r.e.extracted != "Some Title"] == []
+
+
+def test_known_kinds(spark):
+    entries = spark.createDataFrame([(2, " Jazz Night ", "concert"), (1, "jazz night", None), (3, "Opera", "live_broadcast"), (4, None, "concert"), (5, "", "concert")], "place int, title string, kind string")
+    rows = spark.createDataFrame([("JAZZ NIGHT",), ("Opera ",), ("Opera club",), ("Heat",), (None,), ("",)], "title string")
+    got = {r.title: r.known for r in extraction.known_kinds(rows, entries, [("club$", "talk")]).collect()}
+    assert got == {"JAZZ NIGHT": "event", "Opera ": "live_broadcast", "Opera club": "event", "Heat": None, None: None, "": None}
+
+
 @pytest.mark.parametrize(("text", "minutes"), [("7:30", 1170), ("19:30", 1170), ("12am", 0), ("12pm", 720), ("11:05", 665), ("9:59 am", 599), ("25:00", None), ("none", None)])
 def test_clock(spark, text, minutes):
     assert one(spark, values.clock(F.lit(text))) == minutes
