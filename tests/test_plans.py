@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 
 from stagelight.plans import catalogue
@@ -38,3 +40,40 @@ def test_references_without_an_end(spark, tmp_path, name):
     titles = ["Ly.&amp;&amp; and&amp", "A title of more than forty characters &amp;&amp", "&am", "&amp;lt; &lt;b&gt; &#39;&quot; & x;"]
     spark.createDataFrame([(i, "http://a/", page % t) for i, t in enumerate(titles)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert compare(spark, QUERIES[name], SQL[name], str(tmp_path)) == ""
+
+
+def parts(spark, tmp_path, rows) -> str:
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    return str(tmp_path)
+
+
+def most_rows(df) -> int:
+    """Rows out of the step of a query's plan that has the most, once it is run."""
+    df.collect()
+    left, most = [df._jdf.queryExecution().executedPlan()], 0
+    while left:
+        node = left.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            left.append(node.executedPlan())
+            continue
+        if node.nodeName().endswith("QueryStage"):
+            left.append(node.plan())
+            continue
+        rows = node.metrics().get("numOutputRows")
+        most = max(most, rows.get().value() if rows.isDefined() else 0)
+        left += [node.children().apply(i) for i in range(node.children().size())]
+    return most
+
+
+def test_scores_of_odd_works(spark, tmp_path):
+    draw = random.Random(5)
+    rows = [(i, f"{draw.choice('abcdef')} {draw.choice(['ring', 'bolt'])}", "B", draw.choice(["X", "Y"]), draw.choice([1, 2, 3, 4, 5, 9, 12]), 900 + draw.randrange(30) / 10) for i in range(250)]
+    rows += [(1000, "lone ring", "B", "Z", 1, 900.0), (1001, "odd", "B", "Z", 1, 900.0), (1002, "even", "B", "Z", 9, 900.0), (1003, "a pin", "B", "Y", 4, 950.0), (1004, "a pin", "B", "Y", 4, 950.0)]
+    where = parts(spark, tmp_path, rows)
+    assert compare(spark, QUERIES["external_scores"], SQL["external_scores"], where) == ""
+
+
+def test_scores_meet_few_candidates(spark, tmp_path):
+    """A work meets a fixed number of candidates, however many share its genre and head."""
+    where = parts(spark, tmp_path, [(i, f"t{i % 700} ring", "B", "X", i % 5, 900 + i / 10) for i in range(2000)])
+    assert most_rows(QUERIES["external_scores"](spark, where)) <= 40 * 2000
