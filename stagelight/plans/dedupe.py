@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stagelight.operators import dedupe as D
@@ -11,6 +11,9 @@ from stagelight.plans.registry import plan
 from stagelight.sources.saved import saved
 from stagelight.sources.star import Star
 
+#: Works of a key that meet those of another block at once, and the pairs of a task, about.
+BLOCK, PAIRS_A_TASK = 1000, 2_000_000
+
 _ORDER_SQL = "shows_at, work_id, venue_id, price"
 
 
@@ -98,10 +101,21 @@ def dedup_ranks(s: Star) -> DataFrame:
 select a.work_id as a, b.work_id as b, a.year as year from works a join works b on regexp_replace(lower(a.title), '[^a-z0-9]', '', 'g') = regexp_replace(lower(b.title), '[^a-z0-9]', '', 'g') and a.year = b.year and a.work_id < b.work_id
 """)
 def normalised_title_pairs(s: Star) -> DataFrame:
-    """An equi self-join on a derived key and the year."""
+    """An equi self-join on a derived key and the year.
+
+    The pairs grow with the square of the works that share a key. So a key's works are cut into blocks, and each two blocks meet on their own: as many tasks
+    as the pairs need have about as many each.
+    """
     w = s.works.select("work_id", "year", F.regexp_replace(F.lower("title"), "[^a-z0-9]", "").alias("key"))
-    a, b = w.withColumnRenamed("work_id", "a"), w.withColumnRenamed("work_id", "b")
-    return a.join(b, ["key", "year"]).where("a < b").select("a", "b", "year")
+    n = F.col("count").cast("double")
+    pairs = w.groupBy("key", "year").count().agg(F.coalesce(F.sum(n * (n + 1) / 2), F.lit(0.0))).first()[0]
+    tasks = int(pairs // PAIRS_A_TASK) + 1
+    by = Window.partitionBy("key", "year")
+    w = w.withColumn("at", F.floor((F.row_number().over(by.orderBy("work_id")) - 1) / BLOCK)).withColumn("last", F.floor((F.count("*").over(by) - 1) / BLOCK))
+    a = w.select("key", "year", F.col("work_id").alias("a"), F.col("at").alias("i"), F.explode(F.sequence("at", "last")).alias("j"))
+    b = w.select("key", "year", F.col("work_id").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), "at")).alias("i"), F.col("at").alias("j"))
+    met = ["key", "year", "i", "j"]
+    return a.repartition(tasks, *met).hint("merge").join(b.repartition(tasks, *met), met).where("a < b").select("a", "b", "year")
 
 
 @plan("cross_venue_pairs", """

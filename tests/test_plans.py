@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from stagelight.plans import catalogue
 from tests.oracle import compare
@@ -77,3 +78,14 @@ def test_scores_meet_few_candidates(spark, tmp_path):
     """A work meets a fixed number of candidates, however many share its genre and head."""
     where = parts(spark, tmp_path, [(i, f"t{i % 700} ring", "B", "X", i % 5, 900 + i / 10) for i in range(2000)])
     assert most_rows(QUERIES["external_scores"](spark, where)) <= 40 * 2000
+
+
+def test_title_pairs_are_spread(spark, tmp_path, monkeypatch):
+    """The pairs of one title and year are many tasks' work."""
+    monkeypatch.setattr("stagelight.plans.dedupe.BLOCK", 20, raising=False)
+    monkeypatch.setattr("stagelight.plans.dedupe.PAIRS_A_TASK", 2000, raising=False)
+    where = parts(spark, tmp_path, [(i, "Hot-ring" if i % 2 else "hot ring", "B", "X", 1, 900.0) for i in range(501)] + [(900 + i, f"t {i % 7}", "B", "X", i % 3, 900.0) for i in range(40)] + [(999, None, "B", "X", 1, 900.0)])
+    name = "normalised_title_pairs"
+    assert compare(spark, QUERIES[name], SQL[name], where) == ""
+    shares = [r["count"] for r in QUERIES[name](spark, where).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(shares) > 501 * 500 / 2 and max(shares) < sum(shares) / 8
