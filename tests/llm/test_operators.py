@@ -426,6 +426,29 @@ def test_recall_of_fuzzy_passages(spark):
     assert not found - pairs and len(found) >= 0.95 * len(pairs)
 
 
+def test_recall_of_passages_that_several_changed(spark):
+    """Passages that 3 to 12 documents hold, each with changes of its own: pairs that meet the threshold, by brute force on what was planted."""
+    import random
+
+    random.seed(11)
+    vocabulary = [f"v{i}" for i in range(3_000)]
+    docs, pairs = [], set()
+    text = lambda n: random.choices(vocabulary, k=n)
+    for _ in range(20):
+        passage, held = text(random.randint(60, 120)), []
+        for _ in range(random.randint(3, 12)):
+            changed = [x for w in passage for x in random.choices(([w], [random.choice(vocabulary)], [], [w, "more"]), (33, 1, 1, 1))[0]]
+            for i, other in held:
+                longer = max(len(other), len(changed))
+                if longer >= 50 and 100 * substring_dedup.common_words(other, changed) >= 80 * longer:
+                    pairs.add((i, len(docs)))
+            held.append((len(docs), changed))
+            docs.append((len(docs), " ".join(text(random.randint(0, 60)) + changed + text(random.randint(0, 60)))))
+    got = substring_dedup.Passages(spark.createDataFrame(docs, "doc_id long, text string")).reported().collect()
+    found = {(min(r.doc_id, r.other_id), max(r.doc_id, r.other_id)) for r in got}
+    assert len(found & pairs) >= 0.8 * len(pairs), f"{len(found & pairs)} of {len(pairs)}"
+
+
 # ---- 7: pages
 
 
