@@ -449,6 +449,45 @@ def test_recall_of_passages_that_several_changed(spark):
     assert len(found & pairs) >= 0.8 * len(pairs), f"{len(found & pairs)} of {len(pairs)}"
 
 
+def test_intermediates_of_passages_are_no_larger_than_the_texts(spark):
+    """Bytes that are stored, of texts that share nothing but a few passages."""
+    import random
+    from pathlib import Path
+
+    random.seed(3)
+    docs = [(i, " ".join(random.choices(BASE, k=400))) for i in range(1_500)]
+    docs += [(2_000 + i, docs[i][1] + " more") for i in range(20)]
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")) / "stagelight"
+    size = lambda: sum(f.stat().st_size for f in shared.rglob("*.parquet"))
+    before = size() if shared.exists() else 0
+    got = substring_dedup.Passages(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).reported()
+    assert {frozenset((r.doc_id, r.other_id)) for r in got.collect()} == {frozenset((i, 2_000 + i)) for i in range(20)}
+    text = sum(len(t) for _, t in docs)
+    assert size() - before <= text, f"{size() - before} bytes stored for {text} of text"
+
+
+def test_hot_seeds_are_met_by_joins(spark, monkeypatch):
+    own = lambda i: [f"own{i}x{j}" for j in range(60)]
+    docs = [(i, " ".join(own(i) + [f"pass{i // 2}w{j}" if (i + j) % 14 else f"x{i}y{j}" for j in range(90)] + own(-i - 1))) for i in range(40)]
+    df, found = spark.createDataFrame(docs, "doc_id long, text string").repartition(4, "doc_id"), []
+    for hot in (substring_dedup.HOT, 1):
+        monkeypatch.setattr(substring_dedup, "HOT", hot)
+        found.append({(frozenset(((r.doc_id, r.start_word, r.end_word), (r.other_id, r.other_start, r.other_end))), r.same_words) for r in substring_dedup.Passages(df).reported().collect()})
+    assert found[0] == found[1] and {frozenset(i for i, _, _ in pair) for pair, _ in found[0]} == {frozenset((i, i + 1)) for i in range(0, 40, 2)}
+
+
+def test_hashes_of_words():
+    """Equal where lower-cased words are, whatever is about them; texts keep their own words."""
+    import pyarrow as pa
+
+    texts = ["One two\tTHREE", None, "", "é漢😀 ÉTÉ été", "w" * 300 + " " + "W" * 300 + " " + "w" * 299, "one", "two\x0bthree  ", "12345678 123456789 1234567 ", "\x1cone one\xa0two"]
+    hashes, ends = substring_dedup.hashed_words(pa.array(["left out", *texts]).slice(1))
+    words = [WORDS.findall((t or "").translate(SMALL)) for t in texts]
+    assert ends.tolist() == [sum(map(len, words[:i])) for i in range(len(words) + 1)]
+    pairs = set(zip(hashes.tolist(), [w for ws in words for w in ws], strict=True))
+    assert len(pairs) == len({h for h, _ in pairs}) == len({w for _, w in pairs})
+
+
 # ---- 7: pages
 
 
